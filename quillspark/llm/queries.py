@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import read
+from .ngram_join import ngram_join
 from .packing import pack
 from .pu_quality import pu_quality
 from .secrets import scan_secrets
@@ -37,6 +38,10 @@ def op5_secret_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_secrets(read(spark, sf_dir, "documents")).select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_entropy")
 
 
+def op6_divideskip_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join(read(spark, sf_dir, "documents"), words=4, num=85, den=100)
+
+
 def op9_length_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(read(spark, sf_dir, "documents"))
 
