@@ -120,8 +120,9 @@ def contamination(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id",
     """
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     kind = rows.schema["id"].dataType.simpleString()
-    schema = f"id {kind}, item {items.schema[item_id].dataType.simpleString()}, distance int, start int, end int, n_chars int"
+    schema = f"id {kind}, item {'long' if items.schema[item_id].dataType.simpleString() in ('bigint', 'int', 'smallint', 'tinyint') else 'string'}, distance int, start int, end int, n_chars int"
     found, held, size = None, [], 0
+    item_kind = pa.int64() if items.schema[item_id].dataType.simpleString() in ("bigint", "int", "smallint", "tinyint") else pa.string()
     wanted = items.where(F.col(item_text).isNotNull() & F.col(item_id).isNotNull()).select(item_id, item_text)
 
     def search(block):
@@ -135,7 +136,7 @@ def contamination(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id",
                 for key, text in zip(b.column(0), b.column(1), strict=True):
                     if text := text.as_py():
                         out += [(key.as_py(), block[i][0], d, s, e, len(texts[i])) for i, d, s, e in find_items(normal(text), automaton, texts, budgets)]
-                yield pa.RecordBatch.from_pylist([dict(zip(("id", "item", "distance", "start", "end", "n_chars"), x, strict=True)) for x in out], schema=pa.schema([b.schema.field(0).with_name("id"), ("item", pa.int64() if items.schema[item_id].dataType.simpleString() in ("bigint", "int") else pa.string()), *((c, pa.int32()) for c in ("distance", "start", "end", "n_chars"))]))
+                yield pa.RecordBatch.from_pylist([dict(zip(("id", "item", "distance", "start", "end", "n_chars"), x, strict=True)) for x in out], schema=pa.schema([b.schema.field(0).with_name("id"), ("item", item_kind), *((c, pa.int32()) for c in ("distance", "start", "end", "n_chars"))]))
 
         return rows.mapInArrow(run, schema)
 
