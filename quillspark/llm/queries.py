@@ -13,6 +13,7 @@ from .ngram_join import ngram_join
 from .packing import pack
 from .pu_quality import pu_quality
 from .secrets import scan_secrets
+from .suffix_dedup import suffix_dedup
 from .toxicity import score_toxicity
 from .url_templates import url_template_filter
 
@@ -49,6 +50,10 @@ def op6_divideskip_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join(read(spark, sf_dir, "documents"), words=4, num=85, den=100)
 
 
+def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup(read(spark, sf_dir, "documents")).drop("kept")
+
+
 def op8_line_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = line_run_dedup(read(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.select("doc_id", "n_lines", "n_removed", "n_words_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
