@@ -69,7 +69,8 @@ def readability(spark, sf):
 
 @query(f"SELECT band, count(*) AS n FROM (SELECT CASE WHEN e >= 90 THEN 'Very Easy' WHEN e >= 80 THEN 'Easy' WHEN e >= 70 THEN 'Fairly Easy' WHEN e >= 60 THEN 'Standard' WHEN e >= 50 THEN 'Fairly Difficult' WHEN e >= 30 THEN 'Difficult' ELSE 'Very Difficult' END AS band FROM (SELECT 206.835 - 1.015 * (w / s) - 84.6 * (y / w) AS e FROM ({_READ}))) GROUP BY band")
 def readability_bands(spark, sf):
-    return documents(spark, sf).groupBy(C.ease_band(C.readability(F.col("text"))["reading_ease"]).alias("band")).agg(F.count("*").alias("n"))
+    ease = documents(spark, sf).select(C.readability(F.col("text"))["reading_ease"].alias("ease"))
+    return ease.groupBy(C.ease_band(F.col("ease")).alias("band")).agg(F.count("*").alias("n"))
 
 
 @query(f"SELECT lang, CAST(sum({WORDS}) AS BIGINT) AS words, CAST(sum({SYLLABLES}) AS BIGINT) AS syllables, count(*) AS docs FROM documents GROUP BY lang")
