@@ -311,7 +311,7 @@ def is_table_row(t: Column) -> Column:
 
 
 def is_delimiter_row(t: Column) -> Column:
-    return t.rlike(r"^\s*\|?\s*:?-{3,}:?\s*(\|\s*:?-{3,}:?\s*)*\|?\s*$") & (t.contains("|") | t.contains(":"))
+    return t.rlike(r"^\s*\|?\s*:?-{3,}:?\s*(\|\s*:?-{3,}:?\s*)*\|?\s*$") & t.contains("|")
 
 
 def cell_alignment(t: Column) -> Column:

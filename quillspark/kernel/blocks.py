@@ -353,11 +353,18 @@ class Document:
         return node
 
     def _close_below(self, node: Node) -> None:
+        path = []
         while node.children and node.children[-1].at.get("open"):
-            self._close(node.children[-1])
+            node = node.children[-1]
+            path.append(node)
+        for x in reversed(path):
+            self._finish_block(x)
 
     def _close(self, node: Node, line: int | None = None, column: int | None = None) -> None:
         self._close_below(node)
+        self._finish_block(node, line, column)
+
+    def _finish_block(self, node: Node, line: int | None = None, column: int | None = None) -> None:
         if not node.at.pop("open", False):
             return
         line = self.line_no - 1 if line is None else line

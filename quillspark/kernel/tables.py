@@ -17,7 +17,7 @@ def split_row(line: str) -> list[str]:
 
 def is_delimiter_row(line: str) -> bool:
     line = line.strip()
-    if "|" not in line and ":" not in line or not line.strip("|:- \t") == "":
+    if "|" not in line or line.strip("|:- \t"):
         return False
     return all(_DASHES.match(x) for x in split_row(line))
 
