@@ -2,8 +2,8 @@
 
 Per host, URLs form a tree of path segments.  Segments that vary become
 wildcards, sibling branches that do not differ statistically are merged, and a
-template is rejected when its labelled purity, smoothed towards the corpus
-prior, is high.  Everything is DataFrame algebra over counts: the tree is kept
+template is rejected when it has blocked labels and its purity, smoothed
+towards the corpus prior, is high.  Everything is DataFrame algebra over counts: the tree is kept
 as aggregated (host, path shape) rows, so the only full-table steps are one
 partial aggregation and one join back.
 
@@ -86,10 +86,10 @@ def url_template_filter(
         tree = stage(_generalise(tree, depth, min_children, variable_ratio, z_merge))
     sums = tree.groupBy("host", "template").agg(*(F.sum(c).alias(c) for c in ("n", "labelled", "blocked")))
     prior = tree.agg((F.coalesce(F.sum("blocked"), F.lit(0)) + 1).alias("b"), (F.coalesce(F.sum("labelled"), F.lit(0)) + 2).alias("l"))
-    pure = sums.join(F.broadcast(prior)).select("host", "template", F.col("n").alias("n_template"), ((F.col("blocked") + smoothing * F.col("b") / F.col("l")) / (F.col("labelled") + smoothing)).alias("purity"))
+    pure = sums.join(F.broadcast(prior)).select("host", "template", F.col("n").alias("n_template"), "blocked", ((F.col("blocked") + smoothing * F.col("b") / F.col("l")) / (F.col("labelled") + smoothing)).alias("purity"))
     marked = tree.select("host", "shape", "template").join(pure, ["host", "template"])
     out = base.join(marked, ["host", "shape"], "left")
-    learned = F.when(F.col("purity") >= max_purity, "block").otherwise("allow")
+    learned = F.when((F.col("purity") >= max_purity) & (F.col("blocked") > 0), "block").otherwise("allow")
     return out.select("page_id", "host", "path", "rule", F.coalesce("ruled", learned).alias("verdict"), "template", "purity", "n_template")
 
 

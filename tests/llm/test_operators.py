@@ -201,7 +201,7 @@ def test_urls(spark):
 
 def test_template_purity(spark):
     """A host whose labelled urls are all blocked loses its like-shaped ones; an unlabelled branch stays."""
-    rows = [(i, f"http://h.example.com/en/a{i}/item{i}") for i in range(60)] + [(100 + i, f"http://h.example.com/fr/page{i}") for i in range(30)]
+    rows = [(i, f"http://h.example.com/en/a{i}/item{i + 100}") for i in range(60)] + [(100 + i, f"http://h.example.com/fr/page{i}") for i in range(30)]
     got = url_template_filter(spark.createDataFrame(rows, "page_id long, url string"), [("h.example.com/en/a1", "block"), ("h.example.com/en/a2", "block"), ("h.example.com/en/a3", "block")], max_purity=0.8, smoothing=1.0).collect()
     verdict = {r["page_id"]: r["verdict"] for r in got}
     assert all(verdict[i] == "block" for i in range(60)) and all(verdict[100 + i] == "allow" for i in range(30))
