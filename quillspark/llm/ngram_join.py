@@ -10,8 +10,9 @@ union``.  The steps:
    for its own size class and the next one.  Sets with more than ``e`` empty
    buckets also emit those, so no link is lost.  A frequent line fills no
    bucket alone, hence it makes no candidates.
-3. Blocks.  Sets that share a signature go to the family of the set that
-   shares most; families, and then pairs of families, are the blocks.  Blocks
+3. Blocks.  Every set points to the most sharing set of its signatures; sets
+   that pointers connect are a family, and families, and then pairs of
+   families that share a signature, are the blocks.  Blocks
    above ``tile_rows`` sets are cut into tiles that meet pairwise, so a family
    of any size is spread over tasks.
 4. T-occurrence by DivideSkip.  In a tile, inverted lists are split into short
@@ -271,8 +272,10 @@ def ngram_join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
     popular = live.join(popular, "sig").groupBy("id").agg(F.sum("k").alias("pop"))
     centre = live.join(popular, "id").groupBy("sig").agg(F.max_by(F.col("id"), F.struct("pop", -F.col("id"))).alias("centre"))
     votes = live.join(centre, "sig").groupBy("id", "centre").agg(F.count("*").alias("n"))
-    family = stage(votes.groupBy("id").agg(F.max_by("centre", F.struct("n", -F.col("centre"))).alias("family")))
-    wanted = rows.join(live.select("id").distinct(), "id", "left_semi")
+    best = stage(votes.groupBy("id").agg(F.max_by("centre", F.struct("n", -F.col("centre"))).alias("centre")))
+    joined = components(best, "id", "centre")
+    family = stage(best.join(joined, F.col("id") == F.col("node"), "left").select("id", F.coalesce("component", "id").alias("family")))
+    wanted = rows.join(live.select("id").distinct().hint("merge"), "id", "left_semi")  # one plan at every size
     sets = stage(_token_sets(wanted, words).dropDuplicates(["id"]))
     inner = family.select(F.col("family").alias("ka"), F.col("family").alias("kb"), F.lit(2).alias("side"), "id")
     inner = stage(_verify(inner, sets, num, den, tile_rows))
