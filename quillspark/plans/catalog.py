@@ -8,8 +8,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
+from ..functions import templates as TPL
 from ..functions.scalars import LATEX
 from ..operators import extract as X
+from ..operators import lines as L
 from ..operators import nodes as N
 from ..operators.render import render
 from ..sources.text import read_table
@@ -536,3 +538,55 @@ def event_windows(spark, sf):
 @query()
 def event_windows_stream(spark, sf):
     return S.run_to_table(S.event_counts(S.stream_table(spark, f"{sf}/events.parquet")))
+
+
+# --- templates, definition lists, abbreviations, TeX ----------------------------------------------
+
+
+@query("SELECT c_custkey, 'Dear ' || c_name || CASE WHEN c_acctbal > 0 THEN ', you have ' || CAST(CAST(c_acctbal AS DECIMAL(15,2)) AS VARCHAR) ELSE ', you owe' END || CASE WHEN c_mktsegment = 'BUILDING' THEN ' (builder)' ELSE '' END || '; tags: a=' || c_custkey || ', b=none.' AS letter FROM customer")
+def template_render(spark, sf):
+    c = read_table(spark, sf, "customer")
+    values = {"name": F.col("c_name"), "bal": D.money("c_acctbal"), "seg": F.col("c_mktsegment"), "empty": F.lit("")}
+    tags = F.array(F.create_map(F.lit("k"), F.lit("a"), F.lit("v"), F.col("c_custkey").cast("string")), F.create_map(F.lit("k"), F.lit("b"), F.lit("v"), F.lit("")))
+    source = 'Dear ${name}$if(bal > 0)$, you have ${bal}$else$, you owe$endif$$if(seg == "BUILDING")$ (builder)$endif$$ifnot(empty)$; $partial(tags)$$endif$.$-- end'
+    return c.select("c_custkey", TPL.render(source, values, {"tags": tags}, {"tags": "tags: $for(tags)$${k}=${v:none}$sep$, $endfor$"}).alias("letter"))
+
+
+@query("SELECT n_regionkey AS doc_id, n_name AS term, ['key ' || n_nationkey, 'region ' || n_regionkey] AS definitions FROM nation")
+def definition_lists(spark, sf):
+    n = read_table(spark, sf, "nation")
+    line = F.concat("n_name", F.lit("\n: key "), F.col("n_nationkey").cast("string"), F.lit("\n: region "), F.col("n_regionkey").cast("string"), F.lit("\n"))
+    docs = n.groupBy(F.col("n_regionkey").alias("doc_id")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n_nationkey", line.alias("l")))), lambda x: x["l"]), "\n").alias("text"))
+    return L.definition_lists(docs).select("doc_id", "term", "definitions")
+
+
+@query("SELECT r_regionkey AS doc_id, 'The <abbr title=\"' || r_name || ' area\">R' || r_regionkey || '</abbr> and R' || r_regionkey || 'x.' || chr(10) AS text FROM region")
+def abbreviations(spark, sf):
+    k = F.col("r_regionkey").cast("string")
+    docs = read_table(spark, sf, "region").select(F.col("r_regionkey").alias("doc_id"), F.concat(F.lit("The R"), k, F.lit(" and R"), k, F.lit("x.\n*[R"), k, F.lit("]: "), "r_name", F.lit(" area\n")).alias("text"))
+    return L.with_abbreviations(docs)
+
+
+@query("SELECT p_partkey AS doc_id, 'control sequence' AS type, 'item' AS literal, 1 AS line, 1 AS col FROM part UNION ALL SELECT p_partkey, 'comment', p_brand, 2, 3 FROM part")
+def tex_tokens(spark, sf):
+    docs = read_table(spark, sf, "part").select(F.col("p_partkey").alias("doc_id"), F.concat(F.lit("\\item{a}\nx $"), F.lit("%"), "p_brand").alias("text"))
+    docs = docs.withColumn("text", F.replace("text", F.lit("x $%"), F.lit("$ %")))
+    return L.tex_tokens(docs).where("type in ('control sequence', 'comment')").select("doc_id", "type", "literal", "line", "col")
+
+
+@query("SELECT c_custkey AS doc_id, '[TOC levels=1-2]: # ' AS marker, 3 AS first, 4 AS last FROM customer")
+def toc_marker(spark, sf):
+    docs = read_table(spark, sf, "customer").select(F.col("c_custkey").alias("doc_id"), F.concat(F.lit("# "), "c_name", F.lit("\n[TOC levels=1-2]: # \n\n- a\n1. b\n\ntext\n- c\n")).alias("text"))
+    return L.toc_marker(docs)
+
+
+@query(f"SELECT doc_id, ord, 'https://base.org' || {_ENC.format(u='u')} AS url FROM ({_PAGE_LINKS})")
+def rewritten_links(spark, sf):
+    n = L.rewrite_urls(nodes_of(D.md_pages, spark, sf), lambda u: F.when(u.startswith("/"), F.concat(F.lit("https://base.org"), u)).otherwise(u))
+    return X.links(n).select("doc_id", "ord", "url")
+
+
+@query("SELECT DISTINCT doc_id // 10 AS doc_id, 'https://none.org' AS url FROM documents")
+def resolved_links(spark, sf):
+    known = spark.createDataFrame([("None", "https://none.org")], "label string, url string")
+    return L.resolve_broken_links(X.links(nodes_of(D.md_dup, spark, sf)), known).where("text = 'none'").select("doc_id", "url")
