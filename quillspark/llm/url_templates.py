@@ -85,8 +85,9 @@ def url_template_filter(
     for depth in range(max_depth + 1):
         tree = stage(_generalise(tree, depth, min_children, variable_ratio, z_merge))
     sums = tree.groupBy("host", "template").agg(*(F.sum(c).alias(c) for c in ("n", "labelled", "blocked")))
-    prior = tree.agg((F.coalesce(F.sum("blocked"), F.lit(0)) + 1).alias("b"), (F.coalesce(F.sum("labelled"), F.lit(0)) + 2).alias("l"))
-    pure = sums.join(F.broadcast(prior)).select("host", "template", F.col("n").alias("n_template"), "blocked", ((F.col("blocked") + smoothing * F.col("b") / F.col("l")) / (F.col("labelled") + smoothing)).alias("purity"))
+    got = tree.agg(F.sum("blocked").alias("b"), F.sum("labelled").alias("l")).first()
+    prior = ((got["b"] or 0) + 1) / ((got["l"] or 0) + 2)
+    pure = sums.select("host", "template", F.col("n").alias("n_template"), "blocked", ((F.col("blocked") + smoothing * prior) / (F.col("labelled") + smoothing)).alias("purity"))
     marked = tree.select("host", "shape", "template").join(pure, ["host", "template"])
     out = base.join(marked, ["host", "shape"], "left")
     learned = F.when((F.col("purity") >= max_purity) & (F.col("blocked") > 0), "block").otherwise("allow")
