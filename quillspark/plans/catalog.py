@@ -150,8 +150,8 @@ _SCHEMES = "(VALUES (0, 'javascript'), (1, 'https'), (2, 'DATA'), (3, 'ftp'), (4
 
 @query(f"SELECT page_id, k, k IN (1, 4) OR (k = 2 AND page_id % 2 = 0) AS safe, CASE WHEN k = 2 THEN CASE WHEN page_id % 2 = 0 THEN 'image/png' ELSE 'text/html' END END AS mime FROM pages, {_SCHEMES} AS s(k, name)")
 def url_schemes(spark, sf):
-    s = F.broadcast(spark.createDataFrame([(0, "javascript"), (1, "https"), (2, "DATA"), (3, "ftp"), (4, "mailto")], "k int, name string"))  # five rows
-    p = pages(spark, sf).select("page_id").crossJoin(s)
+    names = F.array(*(F.lit(x) for x in ("javascript", "https", "DATA", "ftp", "mailto")))
+    p = pages(spark, sf).select("page_id", F.posexplode(names).alias("k", "name"))
     u = F.when(F.col("k") == 2, F.concat(F.lit("data:"), F.when(F.col("page_id") % 2 == 0, "image/png").otherwise("text/html"), F.lit(";base64,AA=="))).otherwise(F.concat("name", F.lit(":x@y")))
     return p.select("page_id", "k", C.is_safe_url(u).alias("safe"), C.data_uri_mime(u).alias("mime"))
 
