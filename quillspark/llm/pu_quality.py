@@ -164,7 +164,7 @@ def fit_quality(docs: DataFrame, positives: DataFrame, unlabelled: DataFrame, *,
     """Fit on at most ``fit_rows`` ids of each of two id tables (doc_id); returns the network and the prior."""
     pick = lambda ids, kind: ids.select("doc_id", F.lit(kind).alias("kind")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit_rows)
     ids = pick(positives, 1).union(pick(unlabelled, 0))
-    rows = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id")
+    rows = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"))  # an id counts once
     data = feature_rows(rows).join(F.broadcast(ids), "doc_id").select("kind", "f").toPandas()
     if data["kind"].nunique() < 2:
         return None, 0.5

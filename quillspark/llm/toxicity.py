@@ -150,8 +150,8 @@ def _terms(batches):
         yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.binary()), pa.array([k[1] for k in keys], pa.bool_()), pa.array([k[2] for k in keys], pa.int32()), pa.array(list(counts.values()), pa.int64())], names=["term", "whole", "toxic", "n"])
 
 
-def learn_grammar(labelled: DataFrame, *, fit_rows: int = 12_000, max_terms: int = 4000, least_rows: int = 4, least_odds: float = 3.5) -> Grammar:
-    """Learn terms and the link from (doc_id, text, toxic); ``labelled`` holds at most ``fit_rows`` rows."""
+def learn_grammar(labelled: DataFrame, *, max_terms: int = 4000, least_rows: int = 4, least_odds: float = 3.5) -> Grammar:
+    """Learn terms and the link from (doc_id, text, toxic); ``labelled`` is a bounded sample."""
     n_tox, n_all = labelled.agg(F.coalesce(F.sum("toxic"), F.lit(0)), F.count("*")).first()
     if not n_tox or n_tox == n_all:
         return Grammar()
@@ -184,4 +184,5 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, train: Column, *, fit_row
     """Learn from the labels' rows where ``train`` holds, score all of ``docs``: (doc_id, heaviest, total, score)."""
     ids = labels.where(train & F.col("toxic").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit_rows)
     rows = docs.select("doc_id", F.col("text").cast("string").alias("text")).where("doc_id is not null")
-    return weigh(docs, learn_grammar(rows.join(F.broadcast(ids), "doc_id").persist(), fit_rows=fit_rows))
+    sample = rows.join(F.broadcast(ids), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic"))  # an id counts once
+    return weigh(docs, learn_grammar(sample.persist()))
