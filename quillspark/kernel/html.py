@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from ..functions.scalars import escape_href, escape_html, filter_html
-from .tree import Node, text_of
+from .tree import Node, text_of, walk
 
 
 class Html:
@@ -45,15 +45,37 @@ class Html:
         return ' data-sourcepos="%d:%d-%d:%d"' % n.pos if self.sourcepos and n.pos[0] else ""
 
     def render(self, root: Node) -> str:
-        stack = [(True, root)]
+        self.notes = {n.at["footnote_name"]: n for n in walk(root) if n.kind == "footnote_definition"}
+        self.used: list[str] = []
+        self._write([n for n in root.children if n.kind != "footnote_definition"])
+        if self.used:
+            self._footnotes()
+        return "".join(self.out).rstrip("\n")
+
+    def _footnotes(self) -> None:
+        """The definitions that are referred to, in the order of their first reference."""
+        self.fresh()
+        self.put('<section class="footnotes">\n<ol>\n')
+        done = 0
+        while done < len(self.used):  # a note can refer to another
+            name = self.used[done]
+            done += 1
+            self.put(f'<li id="fn-{escape_html(name)}">\n')
+            self._write(self.notes[name].children)
+            self.put(f' <a href="#fnref-{escape_html(name)}" class="footnote-backref">↩</a></li>\n')
+        self.put("</ol>\n</section>\n")
+
+    def _write(self, nodes: list[Node]) -> None:
+        stack = [(True, n) for n in reversed(nodes)]
         while stack:
             entering, node = stack.pop()
+            if node.kind == "footnote_definition":
+                continue
             getattr(self, ("on_" if entering else "off_") + node.kind, self.skip)(node)
             if entering:
                 stack.append((False, node))
                 if node.kind != "image":
                     stack.extend((True, c) for c in reversed(node.children))
-        return "".join(self.out).rstrip("\n")
 
     def skip(self, n: Node) -> None:
         pass
@@ -177,6 +199,13 @@ class Html:
     def on_shortcode(self, n):
         self.put(n.at["emoji"])
 
+    def on_footnote_reference(self, n):
+        name = n.at["footnote_name"]
+        if name in self.notes and name not in self.used:
+            self.used.append(name)
+        name = escape_html(name)
+        self.put(f'<sup class="footnote-ref"><a href="#fn-{name}" id="fnref-{name}">[{name}]</a></sup>')
+
     def on_table(self, n):
         self.put("<table>\n<thead>\n")
         self.header = True

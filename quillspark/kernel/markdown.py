@@ -236,9 +236,9 @@ def leaf_block(n: Node, o: Options, width: int) -> str:
     return ""
 
 
-def to_markdown(root: Node, width: int = 0, cjk_spacing: bool = False) -> str:
+def to_markdown(root: Node, width: int = 0, cjk_spacing: bool = False, bullet: str = "-") -> str:
     """Bottom-up over the tree without recursion: every block's text from the texts of its children."""
-    o = Options(width, cjk_spacing=cjk_spacing)
+    o = Options(width, bullet, cjk_spacing)
     depth: dict[int, int] = {id(root): 0}
     order = [n for n in walk(root)]
     for n in order:
@@ -292,3 +292,49 @@ _HAN = "぀-ヿ㐀-䶿一-鿿가-힯豈-﫿"
 
 def add_cjk_spacing(text: str) -> str:
     return re.sub(rf"(?<=[{_HAN}])(?=[A-Za-z0-9])|(?<=[A-Za-z0-9])(?=[{_HAN}])", " ", text)
+
+
+# --- contents ---------------------------------------------------------------------
+
+_MARKER = re.compile(r"^\[TOC\s*([^\]]*)\]\s*:\s*#(?:\s+.*)?$")
+
+
+def slug(text: str) -> str:
+    return "".join(c for c in text.lower() if c.isalnum() or c == " ").replace(" ", "-")
+
+
+def contents(root: Node, low: int = 1, high: int = 6, numbered: bool = False, linked: bool = True) -> str:
+    """The headings of a level range as an indented list."""
+    heads = [(n.at["level"], text_of(n)) for n in walk(root) if n.kind == "heading" and low <= n.at["level"] <= high]
+    if not heads:
+        return ""
+    top, counters, out = min(level for level, _ in heads), [0] * 7, []
+    for level, text in heads:
+        d = level - top
+        counters[d] += 1
+        counters[d + 1 :] = [0] * (6 - d)
+        label = (".".join(map(str, counters[: d + 1])) + " " if numbered else "") + text
+        out.append("  " * d + "- " + (f"[{label}](#{slug(text)})" if linked else label))
+    return "\n".join(out)
+
+
+def format_text(text: str, width: int = 0, cjk_spacing: bool = False) -> str:
+    """Format a document; a ``[TOC levels=a-b numbered no-links]: #`` line stays and the list after it is made anew."""
+    from .blocks import parse
+
+    lines = text.split("\n")
+    at = next((i for i, x in enumerate(lines) if _MARKER.match(x.strip())), None)
+    if at is None:
+        return to_markdown(parse(text), width, cjk_spacing)
+    end = at + 1
+    while end < len(lines) and not lines[end].strip():
+        end += 1
+    while end < len(lines) and re.match(r"\s*(-|\d)", lines[end]):
+        end += 1
+    args = _MARKER.match(lines[at].strip())[1]
+    m = re.search(r"levels=(\d)(?:-(\d))?", args)
+    low, high = (min(max(int(m[1]), 1), 6), min(max(int(m[2] or m[1]), 1), 6)) if m else (1, 6)
+    head, tail = "\n".join(lines[:at]), "\n".join(lines[end:])
+    toc = contents(parse(head + "\n\n" + tail), low, high, "numbered" in args, "no-links" not in args)
+    parts = [to_markdown(parse(head), width, cjk_spacing), lines[at].strip(), toc, to_markdown(parse(tail), width, cjk_spacing)]
+    return "\n\n".join(p for p in parts if p)

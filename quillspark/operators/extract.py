@@ -160,3 +160,30 @@ def validation_report(issues: DataFrame) -> DataFrame:
     """(doc_id, errors, warnings, infos, valid) of documents that have issues."""
     n = lambda s: F.count(F.when(F.col("severity") == s, 1))
     return issues.groupBy("doc_id").agg(n("error").alias("errors"), n("warning").alias("warnings"), n("info").alias("infos"), (n("error") == 0).alias("valid"))
+
+
+def toc_html(nodes: DataFrame) -> DataFrame:
+    """(doc_id, html): a nested list by level differences, with unique anchors."""
+    t = toc(nodes).join(unique_anchors(nodes).select("doc_id", "ord", "anchor"), ["doc_id", "ord"])
+    w = Window.partitionBy("doc_id").orderBy("ord")
+    step = F.col("level") - F.coalesce(F.lag("level").over(w), F.lit(1))
+    t = t.withColumn("step", step)
+    line = F.concat(F.repeat(F.lit("<ul>\n"), F.greatest("step", F.lit(0))), F.repeat(F.lit("</ul>\n"), F.greatest(-F.col("step"), F.lit(0))), F.lit('<li><a href="#'), "anchor", F.lit('">'), C.escape_html(F.col("text")), F.lit("</a></li>\n"))
+    g = t.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("ord", line.alias("line")))).alias("x"), F.max_by("level", "ord").alias("last"))
+    return g.select("doc_id", F.concat(F.lit('<nav class="toc">\n<ul>\n'), F.array_join(F.transform("x", lambda x: x["line"]), ""), F.repeat(F.lit("</ul>\n"), F.col("last") - 1), F.lit("</ul>\n</nav>")).alias("html"))
+
+
+def footnotes(nodes: DataFrame) -> DataFrame:
+    """(doc_id, name, content, n_refs) of footnote definitions (extended profile): the text of the first paragraph, and how often each is referred to."""
+    d = nodes.where("kind = 'footnote_definition'").select("doc_id", "footnote_name", F.col("node_id").alias("note_id"), F.col("subtree_end").alias("note_end"))
+    p = nodes.where("kind = 'paragraph'").select("doc_id", "node_id", "text_content")
+    text = d.join(p, "doc_id").where("node_id between note_id and note_end").groupBy("doc_id", "note_id").agg(F.min_by("text_content", "node_id").alias("content"))
+    refs = nodes.where("kind = 'footnote_reference'").groupBy("doc_id", "footnote_name").agg(F.count("*").alias("n_refs"))
+    out = d.join(text, ["doc_id", "note_id"], "left").join(refs, ["doc_id", "footnote_name"], "left")
+    return out.select("doc_id", F.col("footnote_name").alias("name"), F.coalesce("content", F.lit("")).alias("content"), F.coalesce("n_refs", F.lit(0)).alias("n_refs"))
+
+
+def with_toc_slide(s: DataFrame) -> DataFrame:
+    """Slides with a contents slide before them; the others move up by one."""
+    toc_slide = s.select("doc_id").distinct().select("doc_id", F.lit(0).cast("long").alias("slide"), F.lit("Contents").alias("title"), F.lit(None).cast("int").alias("level"), F.lit(0).cast("long").alias("n_blocks"))
+    return s.withColumn("slide", F.row_number().over(Window.partitionBy("doc_id").orderBy("slide")).cast("long")).unionByName(toc_slide)

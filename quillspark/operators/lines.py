@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import csv
+import io
 import re
 from collections.abc import Callable
 
@@ -101,3 +103,20 @@ def resolve_broken_links(links: DataFrame, known: DataFrame) -> DataFrame:
     k = known.select(C.normalize_label(F.col("label")).alias("key"), F.col("url").alias("known_url"))
     out = links.withColumn("key", C.normalize_label(F.col("text"))).join(k, "key", "left")
     return out.withColumn("url", F.when(F.trim("url") == "", F.coalesce("known_url", "url")).otherwise(F.col("url"))).drop("key", "known_url")
+
+
+def read_csv_grid(text: str, sep: str = ",", quote: str = '"') -> list[list[str]] | None:
+    """Rows of delimited text with quotes and doubled quotes; None where rows differ in length."""
+    rows = [r for r in csv.reader(io.StringIO(text, newline=""), delimiter=sep, quotechar=quote, skipinitialspace=True) if r]
+    return None if len({len(r) for r in rows}) > 1 else rows
+
+
+def csv_grids(docs: DataFrame, sep: str = ",") -> DataFrame:
+    """(doc_id, ok, rows) of delimited texts; a ragged one has ok false and null rows, it fails no job."""
+
+    def run(batches):
+        for b in batches:
+            grids = [read_csv_grid(t.as_py() or "", sep) for t in b.column(1)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([g is not None for g in grids]), pa.array(grids, pa.list_(pa.list_(pa.string())))], names=["doc_id", "ok", "rows"])
+
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, ok boolean, rows array<array<string>>")

@@ -13,7 +13,7 @@ from ..functions.scalars import LATEX
 from ..operators import extract as X
 from ..operators import lines as L
 from ..operators import nodes as N
-from ..operators.render import render
+from ..operators.render import format_documents, render
 from ..sources.text import read_table
 from ..streaming import streams as S
 from . import corpora as D
@@ -240,9 +240,9 @@ def table_sum(spark, sf):
     return cells.join(tables, ["doc_id", "table_id"]).join(heads, ["doc_id", "heading_id"]).groupBy("nation").agg(F.count("*").alias("customers"), F.sum("v").cast("double").alias("acctbal"))
 
 
-@query("SELECT DISTINCT list_transform(['none', 'left', 'right'], lambda x: x) AS alignments, 3 AS num_columns FROM customer")
+@query("SELECT DISTINCT 'none left right' AS alignments, 3 AS num_columns FROM customer")
 def table_alignments(spark, sf):
-    return nodes_of(D.md_customers, spark, sf).where("kind = 'table'").select("alignments", "num_columns").distinct()
+    return nodes_of(D.md_customers, spark, sf).where("kind = 'table'").select(F.array_join("alignments", " ").alias("alignments"), "num_columns").distinct()
 
 
 _ENC = "replace(replace(url_encode({u}), '%2F', '/'), '%2C', ',')"
@@ -552,12 +552,12 @@ def template_render(spark, sf):
     return c.select("c_custkey", TPL.render(source, values, {"tags": tags}, {"tags": "tags: $for(tags)$${k}=${v:none}$sep$, $endfor$"}).alias("letter"))
 
 
-@query("SELECT n_regionkey AS doc_id, n_name AS term, ['key ' || n_nationkey, 'region ' || n_regionkey] AS definitions FROM nation")
+@query("SELECT n_regionkey AS doc_id, n_name AS term, 'key ' || n_nationkey || '; region ' || n_regionkey AS definitions FROM nation")
 def definition_lists(spark, sf):
     n = read_table(spark, sf, "nation")
     line = F.concat("n_name", F.lit("\n: key "), F.col("n_nationkey").cast("string"), F.lit("\n: region "), F.col("n_regionkey").cast("string"), F.lit("\n"))
     docs = n.groupBy(F.col("n_regionkey").alias("doc_id")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n_nationkey", line.alias("l")))), lambda x: x["l"]), "\n").alias("text"))
-    return L.definition_lists(docs).select("doc_id", "term", "definitions")
+    return L.definition_lists(docs).select("doc_id", "term", F.array_join("definitions", "; ").alias("definitions"))
 
 
 @query("SELECT r_regionkey AS doc_id, 'The <abbr title=\"' || r_name || ' area\">R' || r_regionkey || '</abbr> and R' || r_regionkey || 'x.' || chr(10) AS text FROM region")
@@ -590,3 +590,27 @@ def rewritten_links(spark, sf):
 def resolved_links(spark, sf):
     known = spark.createDataFrame([("None", "https://none.org")], "label string, url string")
     return L.resolve_broken_links(X.links(nodes_of(D.md_dup, spark, sf)), known).where("text = 'none'").select("doc_id", "url")
+
+
+@query(f"SELECT doc_id, '<nav class=\"toc\">' || chr(10) || '<ul>' || chr(10) || '<li><a href=\"#' || replace(replace(lower(r_name), '_', '-'), ' ', '-') || '\">' || r_name || '</a></li>' || chr(10) || '<ul>' || chr(10) || '<li><a href=\"#' || replace(replace(lower(n_name), '_', '-'), ' ', '-') || '\">' || n_name || '</a></li>' || chr(10) || '</ul>' || chr(10) || '</ul>' || chr(10) || '</nav>' AS html FROM {_CUST}")
+def toc_html(spark, sf):
+    return X.toc_html(nodes_of(D.md_customers, spark, sf))
+
+
+@query("SELECT c_custkey AS doc_id, '# ' || c_name || chr(10) || chr(10) || '[TOC levels=2 numbered]: #' || chr(10) || chr(10) || '- [1 Bal](#bal)' || chr(10) || chr(10) || '## Bal' || chr(10) || chr(10) || '- x' AS body FROM customer")
+def fmt_with_toc(spark, sf):
+    docs = read_table(spark, sf, "customer").select(F.col("c_custkey").alias("doc_id"), F.concat(F.lit("# "), "c_name", F.lit(" #\n[TOC levels=2 numbered]: #\n- old\n\nBal\n-\n* x\n")).alias("text"))
+    return format_documents(docs.withColumn("text", F.replace("text", F.lit("Bal\n-\n"), F.lit("## Bal ##\n"))))
+
+
+@query("SELECT o_custkey AS doc_id, 'n' || o_custkey AS name, 'about ' || o_custkey AS content, 2::BIGINT AS n_refs FROM (SELECT DISTINCT o_custkey FROM orders)")
+def footnotes(spark, sf):
+    k = F.col("o_custkey").cast("string")
+    docs = read_table(spark, sf, "orders").select("o_custkey").distinct().select(F.col("o_custkey").alias("doc_id"), F.concat(F.lit("a[^n"), k, F.lit("] b[^n"), k, F.lit("]\n\n[^n"), k, F.lit("]: about "), k, F.lit("\n")).alias("text"))
+    return X.footnotes(N.parse_nodes(docs, extended=True))
+
+
+@query("SELECT n_nationkey AS doc_id, true AS ok, 'k|na\"me' || chr(10) || n_nationkey || '|' || n_name || ', x' AS rows FROM nation")
+def csv_grids(spark, sf):
+    docs = read_table(spark, sf, "nation").select(F.col("n_nationkey").alias("doc_id"), F.concat(F.lit('k, "na""me"\r\n'), F.col("n_nationkey").cast("string"), F.lit(',"'), "n_name", F.lit(', x"\n')).alias("text"))
+    return L.csv_grids(docs).select("doc_id", "ok", F.array_join(F.transform("rows", lambda r: F.array_join(r, "|")), "\n").alias("rows"))

@@ -171,3 +171,17 @@ def test_writers():
 def test_unescape_and_labels():
     assert unescape("a\\_b &amp; &#x41; \\q") == "a_b & A \\q"
     assert normalize_label(" Foo\n  bar ") == "FOO BAR" and normalize_label("ẞ") == normalize_label("SS")
+
+
+def test_footnotes_html():
+    html = to_html(extend(parse("a[^x] b[^y]\n\n[^x]: note *one*\n\n[^z]: unused")))
+    assert html.startswith('<p>a<sup class="footnote-ref"><a href="#fn-x" id="fnref-x">[x]</a></sup>')
+    assert html.count('<li id="fn-') == 1 and '<p>note <em>one</em></p>\n <a href="#fnref-x" class="footnote-backref">↩</a></li>' in html
+
+
+def test_format_text_with_contents():
+    from quillspark.kernel.markdown import format_text
+
+    assert format_text("# A\n[TOC]: #\n- old\n1. old\n\ntext\n\n## B C") == "# A\n\n[TOC]: #\n\n- [A](#a)\n  - [B C](#b-c)\n\ntext\n\n## B C"
+    assert format_text("* a") == "- a"
+    assert to_markdown(parse("- a"), bullet="+") == "+ a"
