@@ -245,3 +245,13 @@ def test_held_out_is_crc(spark):
 
     rows = spark.range(200).select(F.col("id").alias("doc_id")).withColumn("m", Q.crc_mod(5)).collect()
     assert all(r["m"] == zlib.crc32(str(r["doc_id"]).encode()) % 5 for r in rows)
+
+
+@pytest.mark.parametrize("name", sorted(Q.ORACLE))
+def test_sql(spark, duck, name):
+    got = Q.queries()[name](spark, SF).toPandas()
+    want = duck.sql(Q.ORACLE[name]).df()
+    cols = sorted(got.columns)
+    assert cols == sorted(want.columns)
+    rows = lambda d: sorted(map(tuple, d[cols].astype("int64").to_numpy().tolist()))
+    assert rows(got) == rows(want)
