@@ -116,7 +116,7 @@ def line_run_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     gone = repeated_windows(slim, min_words).groupBy("id").agg(F.collect_list(F.struct("first", "n")).alias("gone"))
     inner = {c: f"c{i}" for i, c in enumerate(docs.columns)}
     rows = docs.select(*(F.col(c).alias(inner[c]) for c in docs.columns), F.col(id_col).cast("long").alias("__id"))
-    rows = rows.join(gone, F.col("__id") == F.col("id"), "left").drop("id", "__id")
+    rows = rows.join(gone.hint("merge"), F.col("__id") == F.col("id"), "left").drop("id", "__id")  # one plan at every size
     at = [inner[c] for c in docs.columns].index(inner[text_col])
     names = [*inner.values()]
 
