@@ -39,6 +39,7 @@ K = 24  #: bytes of an anchor
 SHALLOW = 40  #: depth of the multikey quicksort
 HOT, VERY_HOT = 16_384, 1_000_000  #: anchors of one hash from which bands of 8, or of 1, offsets are dealt out
 GATHER = 24_576  #: rows that a task sorts at once
+REMEMBER = 60_000  #: surroundings that a task remembers while it cuts them out
 
 
 def anchors(texts: list[bytes], length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -233,22 +234,44 @@ def _anchor_rows(docs: DataFrame, length: int) -> DataFrame:
 
 
 def _contexts(docs: DataFrame, length: int) -> DataFrame:
-    """(id, text, at array<struct<at, h, band>>) to (key, id, at, low, high, left, right): what windows around anchors reach."""
+    """(id, text, at array<struct<at, h, band>>) to (key, id, at, low, high, left, right): what windows around anchors reach.
+
+    An anchor whose surroundings came by earlier in the task, in a document
+    that is earlier too, is a copy for certain: it becomes a span at once, a
+    row without ``left`` whose low and high are the bytes to remove.  So texts
+    that repeat within themselves and frequent passages shrink before they are
+    dealt out.  What a task remembers is bounded; forgetting changes no result.
+    """
     reach = length - K
 
     def run(batches):
+        known: dict[tuple, tuple[int, int]] = {}
         for b in batches:
             out: list[tuple] = []
             for key, text, where in zip(b.column(0), b.column(1), b.column(2), strict=True):
                 key, text = key.as_py(), (text.as_py() or "").encode()
-                for x in where.as_py():
+                spans: list[list[int]] = []
+                for x in sorted(where.as_py(), key=lambda x: x["at"]):
                     at, h, band = x["at"], x["h"], x["band"]
                     for low in range(0, reach + 1, band):
                         high = min(reach, low + band - 1)
                         if at < low or at + length - high > len(text):
                             continue  # not one window of the band fits
+                        left, right = text[max(0, at - high) : at], text[at : at + length - low]
+                        first = known.get((low, left, right))
+                        if first is not None and first < (key, at):
+                            a, z = at - min(high, len(left)), at - max(low, length - len(right)) + length
+                            if spans and a <= spans[-1][1] and a >= spans[-1][0]:
+                                spans[-1][1] = max(spans[-1][1], z)
+                            else:
+                                spans.append([a, z])
+                            continue
+                        if len(known) >= REMEMBER:
+                            known.clear()
+                        known[low, left, right] = (key, at)
                         name = h if band > reach else _name(h, low, text[at - low : at + length - high])
-                        out.append((name, key, at, low, high, text[max(0, at - high) : at], text[at : at + length - low]))
+                        out.append((name, key, at, low, high, left, right))
+                out += [(_name(0, 0, key.to_bytes(8, "little", signed=True)), key, -1, a, z, None, None) for a, z in spans]
                 if len(out) > 5000:
                     yield _rows(out)
                     out = []
@@ -286,6 +309,9 @@ def _copied_spans(length: int):
         for b in batches:
             copies = []
             for row in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if row[5] is None:  # a span that is known already
+                    copies.append((row[1], row[3], row[4]))
+                    continue
                 if row[0] != now:
                     if len(group) > 1:
                         held += group
@@ -323,13 +349,14 @@ def suffix_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     live = stage(live)
     hot = live.groupBy("h").agg(F.count("*").alias("k")).select("h", F.when(F.col("k") > VERY_HOT, 1).when(F.col("k") > HOT, 8).otherwise(length).alias("band"))
     where = live.join(hot, "h").groupBy("id").agg(F.collect_list(F.struct("at", "h", "band")).alias("where"))
-    texts = ids.join(where, "id").select("id", "text", "where")
+    texts = ids.join(where.hint("merge"), "id")  # texts move the same way at every size
+    texts = texts.select("id", "text", "where")
     reach = _contexts(texts, length).repartition("key").sortWithinPartitions("key", "id", "at")
     spans = reach.mapInArrow(_copied_spans(length), "id long, first int, last int")
     spans = stage(spans.groupBy("id").agg(F.collect_list(F.struct("first", "last")).alias("spans")))
     copies = known.join(reps, "sha").where("id > rep").select("id").distinct().select("id", F.lit(True).alias("copy"))
     marks = spans.join(copies, "id", "full")
-    joined = rows.join(marks, "id", "left").select("id", "text", "spans", F.coalesce("copy", F.lit(False)).alias("copy"))
+    joined = rows.join(marks.hint("merge"), "id", "left").select("id", "text", "spans", F.coalesce("copy", F.lit(False)).alias("copy"))
 
     def run(batches):
         for b in batches:
