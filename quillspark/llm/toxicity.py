@@ -11,7 +11,8 @@ turns clause weights into the score of a document.
 Learning uses at most ``fit_rows`` labelled rows by hash order of the id; term
 counts are aggregated by Spark and at most ``max_terms`` terms reach the
 driver.  Scoring is one Arrow pass without a shuffle: word and stem hashes
-find the clauses with a trigger, and only those are walked.
+find the clauses with a trigger, and only those are walked, each from border to
+border.
 
 Defined cases: null and empty texts score the base rate's lower bound like any
 text without a trigger; long texts are read whole; repeated rows score alike;
@@ -41,9 +42,10 @@ NEGATED, REPORTED, TARGETED, SCOPE = 0.7, 0.75, 1.25, 4
 STEMS = (4, 5, 6, 7)
 
 _WORD = re.compile(rb"[0-9A-Za-z\x80-\xff]+")
-_CLAUSE = re.compile(rb"[.;:?!\n]+")
 _LETTER = np.zeros(256, bool)
 _LETTER[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
+_BORDER = np.zeros(256, bool)
+_BORDER[list(b".;:?!\n")] = True
 
 
 class Grammar:
@@ -99,18 +101,12 @@ class Grammar:
         for n, known in self.by_length.items():
             hit |= np.isin(piece(np.minimum(ends, starts + n)), known) & (ends - starts >= n)
         offsets = np.cumsum([0, *(len(t) + 1 for t in texts)])
+        borders = np.flatnonzero(_BORDER[buf])  # every text ends with one
         out = np.zeros((len(texts), 2))
-        done = -1
-        for p in starts[hit]:
-            if p < done:
-                continue
-            i = int(np.searchsorted(offsets, p, "right")) - 1
-            a, b = int(offsets[i]), int(offsets[i + 1])
-            # the clause around p; a window bounds what is looked at in a text without punctuation
-            left = max((m.end() + max(a, p - 400) for m in _CLAUSE.finditer(joined[max(a, p - 400) : p])), default=max(a, p - 400, done))
-            right = _CLAUSE.search(joined, int(p), min(b, int(p) + 2000))
-            done = right.start() if right else min(b, int(p) + 2000)
-            w = self.clause(joined[left:done])
+        for k in np.unique(np.searchsorted(borders, starts[hit])):
+            left, right = int(borders[k - 1]) + 1 if k else 0, int(borders[k])
+            i = int(np.searchsorted(offsets, left, "right")) - 1
+            w = self.clause(joined[left:right])
             out[i, 0] = max(out[i, 0], w)
             out[i, 1] += w
         return out

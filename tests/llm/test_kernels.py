@@ -2,6 +2,7 @@
 
 import math
 import random
+import re
 
 import numpy as np
 import pytest
@@ -193,6 +194,21 @@ def test_grammar():
     assert w("", "x" * 5000, "idiot " * 2000)[2] > 0
 
 
+def test_grammar_reads_whole_clauses():
+    g = toxicity.Grammar([(b"lowei", False, 1.5)])
+    w = lambda *t: g.weigh([x.encode() for x in t]).tolist()
+    fill = "word " * 1000
+    aimed, negated, one, two = w("you " + fill + "idiot", "not idiot", "idiot", "idiot " + fill + "idiot")
+    assert w("you are an idiot")[0] == aimed and negated < one < aimed and two == [2 * one[0]] * 2
+    assert w("you " + fill + "kill")[0][0] > 0 and w("idiot " + fill + "you idiot")[0][0] > two[0]
+    assert w("x" * 1990 + "idiot", "idiot " + "x" * 1991 + "idiot " + fill) == [[0, 0], one]  # no cut makes a word
+    texts = ["", "idiot", "a. you idiot! idiot", "\n", "", "kill.", "you;idiot:" + fill]
+    assert w(*texts) == [w(t)[0] for t in texts]
+    for t in texts:
+        sums = [g.clause(c) for c in re.split(rb"[.;:?!\n]", t.encode())]
+        assert w(t)[0] == [max(sums), sum(sums)]
+
+
 @pytest.mark.parametrize("n", [0, 1, 5])
 def test_blind_trie_with_equal_keys(n):
     keys = [b"same"] * n + [b"sam", b"same", b"sand"]
