@@ -1,4 +1,4 @@
-"""The batch operators on streams; sinks are exactly-once Parquet tables with their own checkpoint."""
+"""The batch operators on streams; sinks are Parquet tables with their own checkpoint, written exactly once or, in complete mode, replaced by each batch."""
 
 from __future__ import annotations
 
@@ -19,11 +19,11 @@ def scratch(spark: SparkSession) -> str:
     return f"{(base or tempfile.gettempdir()).rstrip('/')}/quillspark-stream/{uuid.uuid4().hex}"
 
 
-def stream_table(spark: SparkSession, path: str) -> DataFrame:
-    """A Parquet table, a folder of files or a single one, as a stream of its files."""
+def stream_table(spark: SparkSession, path: str, files: int = 1000) -> DataFrame:
+    """A Parquet table, a folder of files or a single one, as a stream of its files, so many in a batch."""
     at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     folder = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(at).isDirectory()
-    reader = spark.readStream.schema(spark.read.parquet(path).schema).option("maxFilesPerTrigger", 1000)
+    reader = spark.readStream.schema(spark.read.parquet(path).schema).option("maxFilesPerTrigger", files)
     if folder:
         return reader.parquet(path)
     parent, _, name = path.rstrip("/").rpartition("/")
@@ -35,11 +35,12 @@ def stream_nodes(docs: DataFrame, **options) -> DataFrame:
     return parse_nodes(docs, **options)
 
 
-def event_counts(events: DataFrame, window: str = "1 hour", late: str = "2 hours", slide: str | None = None) -> DataFrame:
-    """(start, event_type, n, total) in tumbling or sliding windows; late rows beyond the watermark are dropped."""
+def event_counts(events: DataFrame, window: str = "1 hour", late: str | None = "2 hours", slide: str | None = None) -> DataFrame:
+    """(start, event_type, n, total) in tumbling or sliding windows; late rows beyond the watermark are dropped, none without one."""
     w = F.window("ts", window, slide) if slide else F.window("ts", window)
     events = events.withColumn("ts", F.col("ts").cast("timestamp"))
-    return events.withWatermark("ts", late).groupBy(w.alias("w"), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total")).select(F.col("w.start").alias("start"), "event_type", "n", "total")
+    events = events.withWatermark("ts", late) if late else events
+    return events.groupBy(w.alias("w"), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total")).select(F.col("w.start").alias("start"), "event_type", "n", "total")
 
 
 def session_counts(events: DataFrame, gap: str = "30 minutes", late: str = "2 hours") -> DataFrame:
@@ -49,9 +50,18 @@ def session_counts(events: DataFrame, gap: str = "30 minutes", late: str = "2 ho
 
 
 def run_to_table(stream: DataFrame, mode: str = "append") -> DataFrame:
-    """Run a stream over all that is there now, and return what it wrote."""
+    """Run a stream over all that is there now, and return what it wrote.
+
+    In append mode groups that the watermark has not passed are not written;
+    complete mode, over groups without a watermark, returns all of them.
+    """
     spark = stream.sparkSession
     path = scratch(spark)
-    q = stream.writeStream.outputMode(mode).format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start()
-    q.awaitTermination()
+    out = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{path}/state").trigger(availableNow=True)
+    if mode == "complete":  # files cannot be a sink of it: each batch replaces the table
+        spark.createDataFrame([], stream.schema).write.parquet(f"{path}/out")
+        out = out.foreachBatch(lambda batch, _: batch.write.mode("overwrite").parquet(f"{path}/out"))
+    else:
+        out = out.format("parquet").option("path", f"{path}/out")
+    out.start().awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{path}/out")
