@@ -504,6 +504,12 @@ def fmt_wrap80(spark, sf):
     return x.select("doc_id", F.md5(C.normalize_ws(F.regexp_replace("body", r"\\(?=[-+.)=])", ""))).alias("words"))
 
 
+@query()
+def fmt_wrap80_whole(spark, sf):
+    """Every document, wrapped as it stands: code spans, links, tables, several paragraphs.  SQL cannot state it."""
+    return render(documents(spark, sf), "commonmark", width=80)
+
+
 @query()
 def raw_documents(spark, sf):
     """The parser is total on the raw texts: kinds of nodes by language."""
