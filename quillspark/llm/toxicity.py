@@ -2,7 +2,8 @@
 
 Five transducers read the words of a clause: insults and threats emit weight,
 while target, negation and reported speech change the state that multiplies
-what is emitted.  Their composition is one weighted automaton, run clause by
+what is emitted; a target counts on either side, the others from where they
+stand.  Their composition is one weighted automaton, run clause by
 clause; isolated words are never scored outside their clause.  The insult
 transducer is the union of a seed list and of words and stems learned from
 labelled rows by smoothed log-odds; a logistic link fitted on the same rows
@@ -67,8 +68,8 @@ class Grammar:
         self.by_length = {n: s for n in STEMS if len(s := h([t for t in self.stems if len(t) == n]))}
 
     def clause(self, clause: bytes) -> float:
-        """Weight that the automaton emits over one lower-cased clause."""
-        total, negated, reported, targeted = 0.0, 0, False, False
+        """Weight that the automaton emits over one lower-cased clause; threats wait for a target, on either side."""
+        insults, threats, negated, reported, targeted = 0.0, 0.0, 0, False, False
         for m in _WORD.finditer(clause):
             word = m[0]
             kind, weight = self.arcs.get(word, ("", 0.0))
@@ -82,10 +83,10 @@ class Grammar:
             elif kind == "target":
                 targeted = True
             elif kind:
-                need = kind == "threat" and not targeted
-                total += 0 if need else weight * (NEGATED if negated else 1) * (REPORTED if reported else 1) * (TARGETED if targeted else 1)
+                emitted = weight * (NEGATED if negated else 1) * (REPORTED if reported else 1)
+                threats, insults = threats + emitted * (kind == "threat"), insults + emitted * (kind == "insult")
             negated = max(0, negated - (kind != "negate"))
-        return total
+        return (insults + threats) * TARGETED if targeted else insults
 
     def weigh(self, texts: list[bytes]) -> np.ndarray:
         """(heaviest clause, sum over clauses) of each text."""

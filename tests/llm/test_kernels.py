@@ -209,6 +209,16 @@ def test_grammar_reads_whole_clauses():
         assert w(t)[0] == [max(sums), sum(sums)]
 
 
+def test_target_on_either_side():
+    g = toxicity.Grammar()
+    w = lambda *t: g.weigh([x.encode() for x in t])[:, 0].tolist()
+    before, after, far, two, other, none = w("you kill", "I will kill you", "kill " + "word " * 600 + "them", "kill and burn them", "kill. you", "kill time")
+    assert before == after == far == two / 2 > 0 == other == none
+    assert w("idiot you")[0] == w("you idiot")[0] > w("idiot")[0] == w("idiot! you")[0]
+    assert 0 < w("do not kill them")[0] < after and 0 < w("she said kill them")[0] < after
+    assert w("kill not them")[0] == after  # a negation acts on what follows
+
+
 @pytest.mark.parametrize("n", [0, 1, 5])
 def test_blind_trie_with_equal_keys(n):
     keys = [b"same"] * n + [b"sam", b"same", b"sand"]
