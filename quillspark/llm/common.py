@@ -53,6 +53,24 @@ def drop_staged(df: DataFrame) -> None:
         at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def numbered(rows: DataFrame, id_col: str = "id", text_col: str = "text") -> tuple[DataFrame, DataFrame | None]:
+    """Rows under ids that no two texts share, and (node, doc): what the new ids stand for.
+
+    Where no id repeats with another text, which one aggregation tells, the rows
+    stay as they are and there are no names.  Else every pair of id and text
+    gets a number; numbers are in the order of the ids, and of a hash of the
+    text where ids are equal.  Null ids stay null.
+    """
+    version = F.xxhash64(text_col)
+    seen = rows.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("doc"), version.alias("v"))
+    if seen.groupBy("doc").agg(F.min("v").alias("a"), F.max("v").alias("b")).where("a <> b").isEmpty():
+        return rows, None
+    names = seen.distinct().repartitionByRange("doc", "v").sortWithinPartitions("doc", "v").withColumn("node", F.monotonically_increasing_id())
+    names = stage(names)
+    joined = rows.withColumn("__v", version).join(names.hint("merge"), (F.col(id_col) == F.col("doc")) & (F.col("__v") == F.col("v")), "left")
+    return joined.select(*(F.col("node").alias(id_col) if c == id_col else c for c in rows.columns)), names.select("node", "doc")
+
+
 def slices(batch: pa.RecordBatch, column: str = "text"):
     """Yield (first row, list of UTF-8 bytes) slices of a batch; null texts are empty."""
     col = batch.column(batch.schema.get_field_index(column)).cast(pa.large_binary())
