@@ -106,7 +106,8 @@ def test_boundaries_are_optimal(hist, k):
 def test_link_tile(sets, t):
     num, den = t
     ids = np.arange(len(sets)) + 7
-    a, b = ngram_join.link_tile(ids, [np.array(sorted(s), np.uint64) for s in sets], np.full(len(sets), 2), num, den)
+    every = np.ones(len(sets), bool)
+    a, b = ngram_join.link_tile(ids, np.array([len(s) for s in sets]), [np.array(sorted(s), np.uint64) for s in sets], every, every, num, den)
     root = {i: i for i in ids.tolist()}
     for _ in range(len(sets)):
         for i, x in enumerate(sets):
@@ -189,20 +190,42 @@ def test_grammar():
     g = toxicity.Grammar([(b"lowei", False, 1.5)])
     w = lambda *t: g.weigh([x.encode() for x in t])[:, 0].tolist()
     plain, aimed, negated, quoted, clean, stem = w("an idiot.", "you are an idiot.", "he is not an idiot.", "she said idiot.", "a fine day. not one", "der Loweient!")
-    assert aimed > plain > 0 and negated < aimed and quoted < plain and clean == 0 and stem == 1.5
-    assert w("I will kill time", "I will kill you", "you will kill")[0] == 0
-    assert w("", "x" * 5000, "idiot " * 2000)[2] > 0
+    assert aimed > plain > 0 and negated < aimed and quoted < plain * toxicity.TARGETED and clean == 0 and stem == 1.5
+    assert [x > 0 for x in w("I will kill time", "I will kill you", "you will kill")] == [False, True, True]
+    empty, one, many = w("", "x" * 5000, "idiot " * 2000)
+    assert empty == one == 0 < many
+
+
+def test_isolated_words_do_not_match():
+    g = toxicity.Grammar()
+    w = lambda *t: g.weigh([x.encode() for x in t])[:, 0].tolist()
+    assert w("idiot", "Idiot!", "kill", "you. idiot. kill") == [0, 0, 0, 0]
+    assert all(x > 0 for x in w("an idiot", "you idiot", "kill them"))
+
+
+def test_composition_is_the_product_of_its_parts():
+    """The automaton against the parts run side by side over random words of all classes."""
+    rng = random.Random(3)
+    automaton = toxicity.compose(toxicity.PARTS)
+    for _ in range(300):
+        state, states = 0, [0] * len(toxicity.PARTS)
+        for c in rng.choices(toxicity.CLASSES, k=rng.randint(0, 12)):
+            factor = math.prod(p.factor(s) for p, s in zip(toxicity.PARTS, states, strict=True))
+            assert automaton.factor[state][c] == (factor if c in (toxicity.INSULT, toxicity.THREAT) else 0)
+            state, states = automaton.step[state][c], [p.step(s, c) for p, s in zip(toxicity.PARTS, states, strict=True)]
+        ends = [p.final(s) for p, s in zip(toxicity.PARTS, states, strict=True)]
+        assert automaton.final[state] == (math.prod(e[0] for e in ends), math.prod(e[1] for e in ends))
 
 
 def test_grammar_reads_whole_clauses():
     g = toxicity.Grammar([(b"lowei", False, 1.5)])
-    w = lambda *t: g.weigh([x.encode() for x in t]).tolist()
+    w = lambda *t: g.weigh([x.encode() for x in t])[:, :2].tolist()
     fill = "word " * 1000
-    aimed, negated, one, two = w("you " + fill + "idiot", "not idiot", "idiot", "idiot " + fill + "idiot")
+    aimed, negated, one, two = w("you " + fill + "idiot", "not idiot", "an idiot", "idiot " + fill + "idiot")
     assert w("you are an idiot")[0] == aimed and negated < one < aimed and two == [2 * one[0]] * 2
     assert w("you " + fill + "kill")[0][0] > 0 and w("idiot " + fill + "you idiot")[0][0] > two[0]
     assert w("x" * 1990 + "idiot", "idiot " + "x" * 1991 + "idiot " + fill) == [[0, 0], one]  # no cut makes a word
-    texts = ["", "idiot", "a. you idiot! idiot", "\n", "", "kill.", "you;idiot:" + fill]
+    texts = ["", "idiot", "a. you idiot! idiot", "\n", "", "kill.", "you;idiot:" + fill, "an idiot; the idiot"]
     assert w(*texts) == [w(t)[0] for t in texts]
     for t in texts:
         sums = [g.clause(c) for c in re.split(rb"[.;:?!\n]", t.encode())]
@@ -214,7 +237,7 @@ def test_target_on_either_side():
     w = lambda *t: g.weigh([x.encode() for x in t])[:, 0].tolist()
     before, after, far, two, other, none = w("you kill", "I will kill you", "kill " + "word " * 600 + "them", "kill and burn them", "kill. you", "kill time")
     assert before == after == far == two / 2 > 0 == other == none
-    assert w("idiot you")[0] == w("you idiot")[0] > w("idiot")[0] == w("idiot! you")[0]
+    assert w("idiot you")[0] == w("you idiot")[0] > w("an idiot")[0] == w("an idiot! you")[0]
     assert 0 < w("do not kill them")[0] < after and 0 < w("she said kill them")[0] < after
     assert w("kill not them")[0] == after  # a negation acts on what follows
 

@@ -100,6 +100,69 @@ def test_suffix_dedup(docs):
             assert tuple(r)[1:] == want[r["doc_id"]]
 
 
+def brute_suffixes(rows, length=100):
+    """(n_bytes, n_removed, n_spans) of (order, text) rows; rows of equal order are one document."""
+    seen, out = {}, []
+    for order, t in sorted(rows):
+        b = t.encode()
+        dead = np.zeros(len(b), bool)
+        for k in range(len(b) - length + 1):
+            first = seen.setdefault(b[k : k + length], (order, k))
+            if first < (order, k):
+                dead[k : k + length] = True
+        out.append((order, (len(b), int(dead.sum()), int((np.diff(np.concatenate(([0], dead.astype(int)))) == 1).sum()))))
+    return out
+
+
+@pytest.mark.parametrize("hot,gather,remember", [((2, 10**6), 4, 3), ((1, 2), 10, 1)])
+def test_suffix_dedup_bounds(docs, hot, gather, remember):
+    """Bands of 8 and of 1 offsets, small gatherings and a short memory change no result."""
+    want = dict(brute_suffixes(plain_rows(docs).items()))
+    for r in suffix_dedup(docs, hot=hot, gather=gather, remember=remember).collect():
+        if r["doc_id"] is not None:
+            assert (r["n_bytes"], r["n_removed"], r["n_spans"]) == want[r["doc_id"]]
+
+
+@pytest.fixture(scope="module")
+def repeated(spark):
+    """Ids that repeat with other texts, and 40 near copies of one text (a frequent key of the slice)."""
+    a, b, c = prose(60), prose(60) + "\n" + LINE, prose(45) + "\n" + prose(20)
+    near = [(200 + i, "\n".join([a, LINE, f"copy {i}"])) for i in range(40)]
+    return [(1, a), (7, a + " x"), (7, b), (7, b), (2, b + " y"), (9, c), (9, None), (9, ""), (8, c + " z"), (3, LINE + "\n" + LINE), (3, LINE), *near]
+
+
+def test_repeated_ids(spark, repeated):
+    df = spark.createDataFrame(repeated, "doc_id long, text string").repartition(3)
+    order = {(r["doc_id"], r["text"]): (r["doc_id"], r["v"]) for r in df.select("*", F.xxhash64("text").alias("v")).collect()}
+    # op6: an id carries the links of all of its texts
+    sets = collections.defaultdict(list)
+    for i, t in repeated:
+        w = (t or "").encode().lower().split()
+        sets[i].append({tuple(w[k : k + 4]) for k in range(len(w) - 3)})
+    want = groups(list(sets), lambda p, q: any(x and y and 100 * len(x & y) >= 80 * len(x | y) for x in sets[p] for y in sets[q]))
+    got = ngram_join(df, words=4, num=80).collect()
+    assert len(got) == len(repeated) and all(r["component_id"] == want[r["doc_id"]] for r in got)
+    # op7: texts of one id are documents of their own, in the order of their hash
+    brute = dict(brute_suffixes((order[x], x[1] or "") for x in repeated))
+    got = suffix_dedup(df).select("doc_id", "n_bytes", "n_removed", "n_spans").collect()
+    assert sorted(map(tuple, got)) == sorted((x[0], *brute[order[x]]) for x in repeated)
+    # op8: likewise
+    lines = {order[x]: (x[1] or "").split("\n") for x in repeated}
+    first, dead = collections.defaultdict(list), {}
+    for d in sorted(lines):
+        dead[d] = [False] * len(lines[d])
+        for at, x in enumerate(lines[d]):
+            for j, k in first[x]:
+                n = 0
+                while at + n < len(lines[d]) and k + n < len(lines[j]) and lines[d][at + n] == lines[j][k + n]:
+                    n += 1
+                if sum(len(y.split()) for y in lines[d][at : at + n]) >= 20:
+                    dead[d][at : at + n] = [True] * n
+            first[x].append((d, at))
+    got = line_run_dedup(df, min_words=20).select("doc_id", "n_removed").collect()
+    assert sorted(map(tuple, got)) == sorted((x[0], sum(dead[order[x]]) if x[1] else 0) for x in repeated)
+
+
 def test_line_runs(docs):
     least, first, dead = 20, collections.defaultdict(list), {}
     lines = {i: [x.strip() for x in t.split("\n")] if t else [] for i, t in plain_rows(docs).items()}
