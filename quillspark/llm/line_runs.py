@@ -16,9 +16,12 @@ repeated runs, which is deleted.
 
 Defined cases: null and empty texts have no lines and stay as they are; lines
 compare without surrounding white space; blank lines take part in runs but
-have no words; rows that repeat an id are one document to the order, so they
-are no copies of each other; a document whose every line goes has an empty
-text; an empty table gives an empty result.  Ids are integers.
+have no words; rows that repeat an id and a text are one document to the order,
+so they are no copies of each other; rows that repeat an id with other texts are
+documents of their own, ordered by a hash of the text; rows with a null id stay
+as they are; a document whose every line goes has an empty text; other columns
+pass through, and a count whose name an input column has is left out; an empty
+table gives an empty result.  Ids are integers.
 """
 
 from __future__ import annotations
@@ -30,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stage
+from .common import numbered, stage
 
 
 def windows(counts: list[int], least: int) -> tuple[list[int], list[int]]:
@@ -112,10 +115,11 @@ def repeated_windows(docs: DataFrame, least: int) -> DataFrame:
 
 def line_run_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", min_words: int = 20) -> DataFrame:
     """The columns of ``docs`` with later copies of repeated line runs deleted from the text, and n_lines, n_removed, n_words_removed."""
-    slim = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).where("id is not null")
-    gone = repeated_windows(slim, min_words).groupBy("id").agg(F.collect_list(F.struct("first", "n")).alias("gone"))
     inner = {c: f"c{i}" for i, c in enumerate(docs.columns)}
     rows = docs.select(*(F.col(c).alias(inner[c]) for c in docs.columns), F.col(id_col).cast("long").alias("__id"))
+    rows, _ = numbered(rows, "__id", inner[text_col])
+    slim = rows.select(F.col("__id").alias("id"), F.col(inner[text_col]).cast("string").alias("text")).where("id is not null")
+    gone = repeated_windows(slim, min_words).groupBy("id").agg(F.collect_list(F.struct("first", "n")).alias("gone"))
     rows = rows.join(gone.hint("merge"), F.col("__id") == F.col("id"), "left").drop("id", "__id")  # one plan at every size
     at = [inner[c] for c in docs.columns].index(inner[text_col])
     names = [*inner.values()]
