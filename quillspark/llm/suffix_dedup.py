@@ -19,9 +19,12 @@ windows of a band share, so that no task gets all of them; copies inside a
 band collapse while they stream by.
 
 Defined cases: a null text is an empty one; texts shorter than ``length``
-bytes lose nothing; matches never cross texts; overlapping matches count; a
-row that repeats an id is the same document to the order, so neither row is
-earlier; an empty table gives an empty result.  Ids are integers.
+bytes lose nothing; matches never cross texts; overlapping matches count; rows
+that repeat an id and a text are the same document to the order, so neither is
+earlier; rows that repeat an id with other texts are documents of their own,
+ordered by a hash of the text; rows with a null id lose nothing; other columns
+of the input, whatever their names, are ignored; an empty table gives an empty
+result.  Ids are integers.
 """
 
 from __future__ import annotations
@@ -33,12 +36,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import _BYTE, _powers, mix, slices, stage
+from .common import _BYTE, _powers, drop_staged, mix, numbered, slices, stage
 
 K = 24  #: bytes of an anchor
 SHALLOW = 40  #: depth of the multikey quicksort
 HOT, VERY_HOT = 16_384, 1_000_000  #: anchors of one hash from which bands of 8, or of 1, offsets are dealt out
 GATHER = 24_576  #: rows that a task sorts at once
+SALTS = 64  #: keys over which an anchor that is frequent in a slice is dealt out
 REMEMBER = 60_000  #: surroundings that a task remembers while it cuts them out
 
 
@@ -169,16 +173,18 @@ def copied_windows(left: list[bytes], right: list[bytes], low: np.ndarray, high:
     n, reach = len(right), length - K
     width = (length + 7) // 8 * 8
     matrix = np.frombuffer(b"".join(r.ljust(width, b"\0") for r in right), np.uint8).reshape(n, width)
-    before = np.frombuffer(b"".join(x[::-1].ljust(reach + 1, b"\0") for x in left), np.uint8).reshape(n, reach + 1)
+    wide = (reach + 8) // 8 * 8
+    before = np.frombuffer(b"".join(x[::-1].ljust(wide, b"\0") for x in left), np.uint8).reshape(n, wide)
     n_left, n_right = np.array([len(x) for x in left]), np.array([len(x) for x in right])
     order, lcp = suffix_array(matrix, right)
+    back, _ = shallow_sort(before.view(">u8"))
+    differ = before[back][1:] != before[back][:-1]
+    back_lcp = np.where(differ.any(1), differ.argmax(1), wide)
     flags = np.zeros((n, reach + 1), bool)
-    up, _ = _powers(reach + 2)
-    part = np.zeros(n, np.uint64)
+    left_class = np.zeros(n, np.int64)
     for o in range(reach + 1):
         need = length - o
-        if o:
-            part = part + _BYTE[before[:, o - 1]] * up[o]
+        left_class[back] = np.concatenate(([0], np.cumsum(back_lcp < o)))
         right_class = np.concatenate(([0], np.cumsum(lcp < need)))
         ok = (n_right >= need) & (n_left >= o) & (low <= o) & (o <= high)
         ok = ok[order]
@@ -188,7 +194,7 @@ def copied_windows(left: list[bytes], right: list[bytes], low: np.ndarray, high:
         rows = order[shared & ok]
         if len(rows) < 2:
             continue
-        key = mix(right_class[shared & ok].astype(np.uint64)) ^ part[rows]
+        key = right_class[shared & ok] * n + left_class[rows]
         by = np.lexsort((rows, key))
         same = np.concatenate(([False], key[by][1:] == key[by][:-1]))
         flags[rows[by[same]], o] = True
@@ -198,42 +204,48 @@ def copied_windows(left: list[bytes], right: list[bytes], low: np.ndarray, high:
 # --- the distributed part ---------------------------------------------------
 
 
-def _shared(rows: DataFrame, by: str) -> DataFrame:
-    """Rows whose ``by`` another row has too: one shuffle and a streaming pass over sorted rows."""
+def _shared(rows: DataFrame) -> DataFrame:
+    """Rows (h, salt, ...) whose h another row has too: one shuffle and a streaming pass over sorted rows; those with a salt are known to be shared."""
 
     def run(batches):
         tail, last, out = None, None, False
         for b in batches:
             if not b.num_rows:
                 continue
-            h = np.asarray(b.column(0))
-            back = np.concatenate(([h[0] == last], h[1:] == h[:-1]))
-            keep = back.copy()
+            h, salt = np.asarray(b.column(0)), np.asarray(b.column(1))
+            back = np.concatenate(([(h[0], salt[0]) == last], (h[1:] == h[:-1]) & (salt[1:] == salt[:-1])))
+            keep = back | (salt > 0)
             keep[:-1] |= back[1:]
             if back[0] and not out:
                 yield tail
             yield b.filter(pa.array(keep))
-            tail, last, out = b.slice(b.num_rows - 1, 1), h[-1], bool(keep[-1])
+            tail, last, out = b.slice(b.num_rows - 1, 1), (h[-1], salt[-1]), bool(keep[-1])
 
-    cols = [by, *(c for c in rows.columns if c != by)]
-    kinds = ", ".join(f"{c} {rows.schema[c].dataType.simpleString()}" for c in cols)
-    return rows.select(*cols).repartition(by).sortWithinPartitions(by).mapInArrow(run, kinds)
+    return rows.select("h", "salt", "id", "at").repartition("h", "salt").sortWithinPartitions("h", "salt").mapInArrow(run, "h long, salt int, id long, at int")
 
 
 def _anchor_rows(docs: DataFrame, length: int) -> DataFrame:
+    """(h, salt, id, at) of all anchors; a hash that is frequent in a slice is dealt out over salts, and a row without id tells the others."""
+
     def run(batches):
         for b in batches:
             for start, texts in slices(b):
                 h, of, at = anchors(texts, length)
-                ids = np.asarray(b.column(0).slice(start, len(texts)))
-                for a in range(0, max(len(h), 1), 50_000):
-                    z = np.s_[a : a + 50_000]
-                    yield pa.RecordBatch.from_arrays([pa.array(h[z].view(np.int64)), pa.array(ids[of[z]], pa.int64()), pa.array(at[z], pa.int32())], names=["h", "id", "at"])
+                ids = np.asarray(b.column(0).slice(start, len(texts)))[of]
+                uniq, inverse, counts = np.unique(h, return_inverse=True, return_counts=True)
+                hot = counts >= max(16, len(texts) / 16)
+                salt = np.where(hot[inverse], 1 + (mix(ids.view(np.uint64) + at.astype(np.uint64)) % np.uint64(SALTS)).astype(np.int64), 0)
+                told = np.zeros(int(hot.sum()), np.int64)
+                null = np.arange(len(h) + len(told)) >= len(h)
+                cols = [np.concatenate(x) for x in ((h.view(np.int64), uniq[hot].view(np.int64)), (salt, told), (ids, told), (at, told))]
+                out = pa.RecordBatch.from_arrays([pa.array(cols[0]), pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.int64(), mask=null), pa.array(cols[3], pa.int32(), mask=null)], names=["h", "salt", "id", "at"])
+                for a in range(0, max(out.num_rows, 1), 50_000):
+                    yield out.slice(a, 50_000)
 
-    return docs.mapInArrow(run, "h long, id long, at int")
+    return docs.mapInArrow(run, "h long, salt int, id long, at int")
 
 
-def _contexts(docs: DataFrame, length: int) -> DataFrame:
+def _contexts(docs: DataFrame, length: int, remember: int) -> DataFrame:
     """(id, text, at array<struct<at, h, band>>) to (key, id, at, low, high, left, right): what windows around anchors reach.
 
     An anchor whose surroundings came by earlier in the task, in a document
@@ -266,7 +278,7 @@ def _contexts(docs: DataFrame, length: int) -> DataFrame:
                             else:
                                 spans.append([a, z])
                             continue
-                        if len(known) >= REMEMBER:
+                        if len(known) >= remember:
                             known.clear()
                         known[low, left, right] = (key, at)
                         name = h if band > reach else _name(h, low, text[at - low : at + length - high])
@@ -290,7 +302,7 @@ def _rows(out):
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["key", "id", "at", "low", "high", "left", "right"])
 
 
-def _copied_spans(length: int):
+def _copied_spans(length: int, gather: int):
     """Arrow function over rows sorted by (key, id, at): spans (id, first, last) of bytes to remove."""
 
     def spans(rows):
@@ -316,7 +328,7 @@ def _copied_spans(length: int):
                     if len(group) > 1:
                         held += group
                     group, seen, now = [], {}, row[0]
-                    if len(held) >= GATHER:
+                    if len(held) >= gather:
                         yield from spans(held)
                         held = []
                 what = (row[3], row[5], row[6])
@@ -337,22 +349,29 @@ def _copied_spans(length: int):
     return run
 
 
-def suffix_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", length: int = 100) -> DataFrame:
-    """(id_col, n_bytes, n_removed, n_spans, kept binary, kept_sha256) of every row."""
+def suffix_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", length: int = 100, hot: tuple[int, int] = (HOT, VERY_HOT), gather: int = GATHER, remember: int = REMEMBER) -> DataFrame:
+    """(id_col, n_bytes, n_removed, n_spans, kept binary, kept_sha256) of every row.
+
+    ``hot``, ``gather`` and ``remember`` bound what a task gets and holds; the
+    result is the same whatever they are.
+    """
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    rows, names = numbered(rows)
     ids = rows.where("id is not null")
     hashed = rows.select("id", F.sha2("text", 256).alias("sha"), F.octet_length("text").alias("size"))
     known = stage(hashed)
     reps = stage(known.where(f"id is not null and size >= {length}").groupBy("sha").agg(F.min("id").alias("rep")))
-    live = stage(_shared(_anchor_rows(ids, length), "h"))
-    live = _shared(live.distinct().join(reps.select(F.col("rep").alias("id")), "id", "left_semi"), "h")
-    live = stage(live)
-    hot = live.groupBy("h").agg(F.count("*").alias("k")).select("h", F.when(F.col("k") > VERY_HOT, 1).when(F.col("k") > HOT, 8).otherwise(length).alias("band"))
-    where = live.join(hot, "h").groupBy("id").agg(F.collect_list(F.struct("at", "h", "band")).alias("where"))
+    first = stage(_shared(_anchor_rows(ids, length)))
+    seen = first.distinct()
+    live = seen.join(reps.select(F.col("rep").alias("id")), "id", "left_semi").select("h", "salt", "id", "at").union(seen.where("id is null"))
+    live = stage(_shared(live).where("id is not null").drop("salt"))
+    drop_staged(first)
+    bands = live.groupBy("h").agg(F.count("*").alias("k")).select("h", F.when(F.col("k") > hot[1], 1).when(F.col("k") > hot[0], 8).otherwise(length).alias("band"))
+    where = live.join(bands, "h").groupBy("id").agg(F.collect_list(F.struct("at", "h", "band")).alias("where"))
     texts = ids.join(where.hint("merge"), "id")  # texts move the same way at every size
     texts = texts.select("id", "text", "where")
-    reach = _contexts(texts, length).repartition("key").sortWithinPartitions("key", "id", "at")
-    spans = reach.mapInArrow(_copied_spans(length), "id long, first int, last int")
+    reach = _contexts(texts, length, remember).repartition("key").sortWithinPartitions("key", "id", "at")
+    spans = reach.mapInArrow(_copied_spans(length, gather), "id long, first int, last int")
     spans = stage(spans.groupBy("id").agg(F.collect_list(F.struct("first", "last")).alias("spans")))
     copies = known.join(reps, "sha").where("id > rep").select("id").distinct().select("id", F.lit(True).alias("copy"))
     marks = spans.join(copies, "id", "full")
@@ -379,4 +398,7 @@ def suffix_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
                     out.append((len(text), len(text) - len(kept), len(merged), kept))
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array([x[i] for x in out], pa.int64()) for i in range(3)), pa.array([x[3] for x in out], pa.binary()), pa.array([hashlib.sha256(x[3]).hexdigest() for x in out], pa.string())], names=["id", "n_bytes", "n_removed", "n_spans", "kept", "kept_sha256"])
 
-    return joined.mapInArrow(run, "id long, n_bytes long, n_removed long, n_spans long, kept binary, kept_sha256 string").withColumnRenamed("id", id_col)
+    out = joined.mapInArrow(run, "id long, n_bytes long, n_removed long, n_spans long, kept binary, kept_sha256 string")
+    if names is not None:
+        out = out.join(names.hint("merge"), F.col("id") == F.col("node"), "left").withColumn("id", F.col("doc")).drop("node", "doc")
+    return out.withColumnRenamed("id", id_col)
