@@ -7,14 +7,22 @@ a grid on its two leading coordinates, each vector in its own cell and in the
 next one where it is within reach of the border.  A pair is counted in the
 first block that finds it, and its cosine is computed in double precision.
 
-Cells above ``tile_rows`` vectors are cut into tiles that meet pairwise.
-Tiles return counts and spanning links, never pairs; equal vectors with equal
-labels are one class that carries its size.
+A grid pays only where vectors spread further than its cells.  The cells of
+each label are counted first; where the grids of all blocks would compare more
+pairs than the label has, as with vectors that point everywhere alike, the
+whole label is the only cell, each pair meets once, and its blocks are tested
+one after another.  Both ways find the same pairs.
+
+Cells above ``tile_rows`` vectors are cut into tiles that meet pairwise; cells
+are dealt out as ids, and the vectors join them once.  Tiles return counts and
+spanning links, never pairs; equal vectors with equal labels are one class that
+carries its size.
 
 Defined cases: vectors that are null, empty, zero, or hold null or non-finite
 components, and null labels, link with nothing and are their own component;
 vectors of different lengths do not link; rows that repeat an id count as
-vectors each; an empty table gives an empty result.  Ids are integers.
+vectors each; equal vectors are ties and link; other columns, whatever their
+names, are ignored; an empty table gives an empty result.  Ids are integers.
 """
 
 from __future__ import annotations
@@ -50,14 +58,15 @@ def budget(dim: int, cuts: list[int], block: int, tau: float) -> float:
 
 
 def _spread(tau: float):
-    """Arrow function: a row of (rep, label, n, emb) for each block and cell that it is compared in."""
+    """Arrow function over (label, rep, emb): a row for each block and cell that a vector is compared in."""
 
     def run(batches):
         for b in batches:
             for a in range(0, b.num_rows, 512):
                 part = b.slice(a, 512)
-                lists = part.column(3)
+                lists = part.column(2)
                 lens = np.diff(np.asarray(lists.offsets))
+                label, rep = part.column(0).to_numpy(), part.column(1).to_numpy()
                 for dim in np.unique(lens):
                     rows = np.flatnonzero(lens == dim)
                     x = np.stack([np.asarray(lists[i].values, float) for i in rows.tolist()])
@@ -65,19 +74,15 @@ def _spread(tau: float):
                     cuts = block_cuts(int(dim))
                     for block in range(len(cuts) - 1):
                         reach = math.sqrt(budget(dim, cuts, block, tau)) + 1e-7
-                        side = z[:, cuts[block] : cuts[block] + 2]
+                        side = z[:, cuts[block] : cuts[block + 1]][:, :2]
                         home = np.floor(side / (2 * reach)).astype(np.int64)
                         near = (home + 1) * 2 * reach - side <= reach
-                        two = side.shape[1] == 2
-                        for d1 in (0, 1):
-                            for d2 in (0, 1) if two else (0,):
-                                on = (near[:, 0] if d1 else True) & (near[:, 1] if d2 else True) & np.ones(len(rows), bool)
-                                take = pa.array(rows[on])
-                                picked = part.take(take)
-                                h1, h2 = home[on, 0], home[on, 1] if two else np.zeros(on.sum(), np.int64)
-                                n = len(take)
-                                cols = [np.full(n, dim), np.full(n, block), h1 + d1, h2 + d2, h1, h2]
-                                yield pa.RecordBatch.from_arrays([picked.column(1).cast(pa.int64()), *(pa.array(c.astype(np.int64)) for c in cols), picked.column(0), picked.column(2), picked.column(3)], names=["label", "dim", "block", "c1", "c2", "h1", "h2", "rep", "n", "emb"])
+                        if side.shape[1] < 2:
+                            home, near = np.pad(home, ((0, 0), (0, 1))), np.pad(near, ((0, 0), (0, 1)))
+                        for d1, d2 in ((0, 0), (0, 1), (1, 0), (1, 1)):
+                            on = (near[:, 0] | (d1 == 0)) & (near[:, 1] | (d2 == 0))
+                            cols = [label[rows[on]], np.full(on.sum(), dim), np.full(on.sum(), block), home[on, 0] + d1, home[on, 1] + d2, home[on, 0], home[on, 1], rep[rows[on]]]
+                            yield pa.RecordBatch.from_arrays([pa.array(c.astype(np.int64)) for c in cols], names=["label", "dim", "block", "c1", "c2", "h1", "h2", "rep"])
 
     return run
 
@@ -91,20 +96,19 @@ def compare_tile(emb: np.ndarray, reps: np.ndarray, n: np.ndarray, home: np.ndar
     count, label = np.zeros(rows, np.int64), np.arange(rows)
     for a in range(0, len(ask), 256):
         i, j = ask[a : a + 256], answer
-        ok = None
-        for k in range(block, -1, -1):  # in reach in this block, and in no earlier one
-            x, y = z[i, cuts[k] : cuts[k + 1]], z[j, cuts[k] : cuts[k + 1]]
-            d2 = (x * x).sum(1)[:, None] + (y * y).sum(1)[None] - 2 * x @ y.T
-            inside = d2 <= budget(dim, cuts, k, tau) + 1e-9
-            if k == block:
-                first = (np.maximum(home[i, None, 0], home[None, j, 0]) == cell[0]) & (np.maximum(home[i, None, 1], home[None, j, 1]) == cell[1])
-                ok = inside & first & ((reps[i][:, None] < reps[j][None]) if same else True)
-                keep_i, keep_j = ok.any(1), ok.any(0)
-                i, j, ok = i[keep_i], j[keep_j], ok[np.ix_(keep_i, keep_j)]
-                if not ok.size:
-                    break
-            else:
-                ok &= ~inside
+        inside = lambda k, i, j: _within(z[i, cuts[k] : cuts[k + 1]], z[j, cuts[k] : cuts[k + 1]], budget(dim, cuts, k, tau) + 1e-9)
+        ok = (reps[i][:, None] < reps[j][None]) if same else np.ones((len(i), len(j)), bool)
+        if block < 0:  # the only cell: any block may find the pair
+            found = inside(0, i, j)
+            for k in range(1, len(cuts) - 1):
+                found |= inside(k, i, j)
+            ok &= found
+        else:  # in reach in this block, and in no earlier one; in the cell that both share first
+            ok &= inside(block, i, j) & (np.maximum(home[i, None, 0], home[None, j, 0]) == cell[0]) & (np.maximum(home[i, None, 1], home[None, j, 1]) == cell[1])
+            keep_i, keep_j = ok.any(1), ok.any(0)
+            i, j, ok = i[keep_i], j[keep_j], ok[np.ix_(keep_i, keep_j)]
+            for k in range(block if ok.size else 0):
+                ok &= ~inside(k, i, j)
         if not ok.size:
             continue
         ok &= u[i] @ u[j].T >= threshold
@@ -119,6 +123,10 @@ def compare_tile(emb: np.ndarray, reps: np.ndarray, n: np.ndarray, home: np.ndar
     return count, low[label]
 
 
+def _within(x: np.ndarray, y: np.ndarray, most: float) -> np.ndarray:
+    return (x * x).sum(1)[:, None] + (y * y).sum(1)[None] - 2 * x @ y.T <= most
+
+
 def near_vectors(vectors: DataFrame, *, id_col: str = "vec_id", vec_col: str = "embedding", label_col: str = "label", threshold: float = 0.93, tile_rows: int = 4096) -> DataFrame:
     """(id_col, n_links, component_id, kept) of every vector; only vectors with equal labels are compared."""
     tau = 2 - 2 * threshold + 1e-9
@@ -127,13 +135,20 @@ def near_vectors(vectors: DataFrame, *, id_col: str = "vec_id", vec_col: str = "
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).alias("label"), F.when(F.coalesce(valid, F.lit(False)), F.col(vec_col)).alias("emb"))
     good = rows.where("emb is not null and id is not null")
     classes = stage(good.groupBy("label", "emb").agg(F.min("id").alias("rep"), F.count("*").alias("n")).select("rep", "label", "n", "emb"))
-    kind = classes.schema["emb"].dataType.simpleString()
-    cells = stage(classes.select("rep", F.xxhash64("label").alias("label"), "n", "emb").mapInArrow(_spread(tau), f"label long, dim long, block long, c1 long, c2 long, h1 long, h2 long, rep long, n long, emb {kind}"))
+    codes = classes.groupBy("label").agg(F.min("rep").alias("code"))  # a number for each label
+    coded = stage(classes.join(codes, "label").select(F.col("code").alias("label"), "rep", "n", "emb"))
+    cells = stage(coded.select("label", "rep", "emb").mapInArrow(_spread(tau), "label long, dim long, block long, c1 long, c2 long, h1 long, h2 long, rep long"))
     key = ["label", "dim", "block", "c1", "c2"]
+    homes = F.count(F.when((F.col("block") == 0) & (F.col("c1") == F.col("h1")) & (F.col("c2") == F.col("h2")), 1))
+    costs = cells.groupBy(*key).agg(F.count("*").cast("double").alias("k"), homes.alias("m")).groupBy("label", "dim").agg((F.sum(F.col("k") * F.col("k")) < F.sum("m") * F.sum("m").cast("double")).alias("grid"))
+    cells = cells.join(costs, ["label", "dim"])
+    alone = cells.where("not grid and block = 0 and c1 = h1 and c2 = h2").select("label", "dim", F.lit(-1).cast("long").alias("block"), *(F.lit(0).cast("long").alias(c) for c in ("c1", "c2", "h1", "h2")), "rep")
+    cells = stage(cells.where("grid").drop("grid").select(*alone.columns).union(alone))
     sizes = cells.groupBy(*key).agg(F.ceil(F.count("*") / tile_rows).cast("int").alias("tiles"), F.count("*").alias("k")).where("k > 1")
     own = F.pmod(F.xxhash64("rep"), F.col("tiles")).cast("long")
     tiles = cells.join(sizes.drop("k"), key).select(*cells.columns, own.alias("own"), F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("other"))
     tiles = tiles.withColumn("ta", F.least("own", F.col("other").cast("long"))).withColumn("tb", F.greatest("own", F.col("other").cast("long")))
+    tiles = tiles.join(coded.select("rep", "n", "emb"), "rep")
     key += ["ta", "tb"]
 
     def run(batches):
