@@ -1,234 +1,161 @@
-"""Trees as HTML."""
+"""Trees as HTML, built from the leaves up.
+
+A first pass over the tree says in which surroundings every node stands; a
+second one, in reverse, makes the text of a node from the texts of its
+children.  What parts two blocks follows from their place alone.
+"""
 
 from __future__ import annotations
 
 from ..functions.scalars import escape_href, escape_html, filter_html
 from .tree import Node, text_of, walk
 
+#: Inline kinds that put plain tags around their content.
+_TAGS = {"emph": "em", "strong": "strong", "strikethrough": "del"}
+#: Blocks that stand on a line of their own.
+_OWN_LINE = {"block_quote", "code_block", "html_block", "thematic_break"}
 
-class Html:
-    """Event-driven writer; ``unsafe`` passes HTML blocks unfiltered, ``sourcepos`` marks block positions."""
-
-    def __init__(self, unsafe: bool = False, sourcepos: bool = False):
-        self.out: list[str] = []
-        self.last = "\n"
-        self.unsafe, self.sourcepos = unsafe, sourcepos
-        self.tight: list[bool] = []
-        self.counts: list[int] = []
 
-    def put(self, s: str) -> None:
-        if s:
-            self.out.append(s)
-            self.last = s[-1]
+def _has_text(block: Node) -> bool:
+    """Whether text is visible in the block; the description of an image is not."""
+    todo = [block]
+    while todo:
+        n = todo.pop()
+        if n.kind == "text":
+            return True
+        todo += () if n.kind == "image" else n.children
+    return False
 
-    def fresh(self) -> None:
-        if self.last != "\n":
-            self.put("\n")
 
-    def in_tight(self) -> bool:
-        return bool(self.tight) and self.tight[-1]
+def _fills(block: Node) -> bool:
+    """Whether a block of a tight item makes the next one start a line lower."""
+    return block.kind in _OWN_LINE or block.kind == "heading" or (block.kind in ("paragraph", "table") and _has_text(block))
 
-    def count(self) -> bool:
-        """Count a child of the innermost item; true for a later child of a tight one."""
-        if self.counts:
-            self.counts[-1] += 1
-            return self.in_tight() and self.counts[-1] > 1
-        return False
 
-    def gap(self) -> None:
-        if self.count():
-            self.put("\n")
-        else:
-            self.fresh()
+class Html:
+    """Writer of one tree; ``unsafe`` passes HTML blocks unfiltered, ``sourcepos`` marks block positions."""
 
-    def pos(self, n: Node) -> str:
-        return ' data-sourcepos="%d:%d-%d:%d"' % n.pos if self.sourcepos and n.pos[0] else ""
+    def __init__(self, unsafe: bool = False, sourcepos: bool = False):
+        self.unsafe, self.sourcepos = unsafe, sourcepos
+        self.notes: dict[str, Node] = {}
+        self.used: list[str] = []
 
     def render(self, root: Node) -> str:
         self.notes = {n.at["footnote_name"]: n for n in walk(root) if n.kind == "footnote_definition"}
-        self.used: list[str] = []
-        self._write([n for n in root.children if n.kind != "footnote_definition"])
-        if self.used:
-            self._footnotes()
-        return "".join(self.out).rstrip("\n")
-
-    def _footnotes(self) -> None:
-        """The definitions that are referred to, in the order of their first reference."""
-        self.fresh()
-        self.put('<section class="footnotes">\n<ol>\n')
-        done = 0
+        body = self.blocks(root.children, "")
+        notes, done = [], 0
         while done < len(self.used):  # a note can refer to another
-            name = self.used[done]
+            name = escape_html(self.used[done])
+            back = f' <a href="#fnref-{name}" class="footnote-backref">↩</a></li>\n'
+            notes.append(self.blocks(self.notes[self.used[done]].children, f'<li id="fn-{name}">\n') + back)
             done += 1
-            self.put(f'<li id="fn-{escape_html(name)}">\n')
-            self._write(self.notes[name].children)
-            self.put(f' <a href="#fnref-{escape_html(name)}" class="footnote-backref">↩</a></li>\n')
-        self.put("</ol>\n</section>\n")
-
-    def _write(self, nodes: list[Node]) -> None:
-        stack = [(True, n) for n in reversed(nodes)]
-        while stack:
-            entering, node = stack.pop()
-            if node.kind == "footnote_definition":
+        if notes:
+            line = "" if body.endswith("\n") or not body else "\n"
+            body += line + '<section class="footnotes">\n<ol>\n' + "".join(notes) + "</ol>\n</section>\n"
+        return body.rstrip("\n")
+
+    def blocks(self, nodes: list[Node], opening: str) -> str:
+        """The texts of sibling blocks behind ``opening``."""
+        tight: dict[Node, bool] = {}
+        in_item: dict[Node, bool] = {}
+        order: list[Node] = []
+        todo = [(n, False, False) for n in reversed(nodes)]
+        while todo:
+            n, is_tight, inside = todo.pop()
+            if n.kind == "footnote_definition":
                 continue
-            getattr(self, ("on_" if entering else "off_") + node.kind, self.skip)(node)
-            if entering:
-                stack.append((False, node))
-                if node.kind != "image":
-                    stack.extend((True, c) for c in reversed(node.children))
-
-    def skip(self, n: Node) -> None:
-        pass
-
-    def on_block_quote(self, n):
-        self.gap()
-        self.put(f"<blockquote{self.pos(n)}>\n")
-        self.tight.append(False)
-
-    def off_block_quote(self, n):
-        self.put("</blockquote>\n")
-        self.tight.pop()
-
-    def on_list(self, n):
-        self.tight.append(n.at["tight"])
-        self.fresh()
-        if n.at["list_type"] == "bullet":
-            self.put(f"<ul{self.pos(n)}>\n")
-        else:
-            start = n.at["list_start"]
-            self.put(f"<ol{self.pos(n)}" + (f' start="{start}">\n' if start != 1 else ">\n"))
-
-    def off_list(self, n):
-        self.put("</ul>\n" if n.at["list_type"] == "bullet" else "</ol>\n")
-        self.tight.pop()
-
-    def on_item(self, n):
-        self.put(f"<li{self.pos(n)}>")
-        if not self.in_tight() and n.children:
-            self.put("\n")
-        self.counts.append(0)
-        if n.at.get("checked") is not None:
-            self.put('<input type="checkbox" disabled="disabled"' + (' checked="checked"' if n.at["checked"] else "") + " /> ")
-
-    def off_item(self, n):
-        self.put("</li>\n")
-        self.counts.pop()
-
-    def on_code_block(self, n):
-        self.gap()
-        lang = (n.at["info"].split() or [""])[0]
-        self.put(f"<pre><code{self.pos(n)}" + (f' class="language-{escape_html(lang)}"' if lang else "") + f">{escape_html(n.literal)}</code></pre>\n")
-
-    def on_html_block(self, n):
-        self.gap()
-        self.put(n.literal if self.unsafe else filter_html(n.literal))
-        self.put("\n")
-
-    def on_paragraph(self, n):
-        if not self.in_tight():
-            self.count()
-            self.put(f"<p{self.pos(n)}>")
-
-    def off_paragraph(self, n):
-        if not self.in_tight():
-            self.put("</p>\n")
-
-    def on_heading(self, n):
-        if self.counts:
-            self.count()
-            self.put("\n")
-        self.put(f"<h{n.at['level']}{self.pos(n)}>")
-
-    def off_heading(self, n):
-        self.put(f"</h{n.at['level']}>\n")
-
-    def on_thematic_break(self, n):
-        self.gap()
-        self.put(f"<hr{self.pos(n)} />\n")
-
-    def on_text(self, n):
-        if self.in_tight() and self.counts:
-            self.count()
-        self.put(escape_html(n.literal))
-
-    def on_softbreak(self, n):
-        self.put(" " if self.in_tight() else "\n")
-
-    def on_linebreak(self, n):
-        self.put("<br />\n")
-
-    def on_code(self, n):
-        self.put(f"<code>{escape_html(n.literal)}</code>")
-
-    def on_html_inline(self, n):
-        self.put(filter_html(n.literal))
-
-    def on_emph(self, n):
-        self.put("<em>")
-
-    def off_emph(self, n):
-        self.put("</em>")
-
-    def on_strong(self, n):
-        self.put("<strong>")
-
-    def off_strong(self, n):
-        self.put("</strong>")
-
-    def on_strikethrough(self, n):
-        self.put("<del>")
-
-    def off_strikethrough(self, n):
-        self.put("</del>")
-
-    def on_link(self, n):
-        title = f' title="{escape_html(n.at["title"])}"' if n.at["title"] else ""
-        self.put(f'<a href="{escape_href(n.at["url"])}"{title}>')
-
-    def off_link(self, n):
-        self.put("</a>")
-
-    def on_image(self, n):
-        title = f' title="{escape_html(n.at["title"])}"' if n.at["title"] else ""
-        self.put(f'<img src="{escape_href(n.at["url"])}" alt="{escape_html(text_of(n, " "))}"{title} />')
-
-    def on_math(self, n):
-        mark = "$$" if n.at["display_math"] else "$"
-        self.put(escape_html(mark + n.literal + mark))
-
-    def on_shortcode(self, n):
-        self.put(n.at["emoji"])
-
-    def on_footnote_reference(self, n):
-        name = n.at["footnote_name"]
-        if name in self.notes and name not in self.used:
-            self.used.append(name)
-        name = escape_html(name)
-        self.put(f'<sup class="footnote-ref"><a href="#fn-{name}" id="fnref-{name}">[{name}]</a></sup>')
-
-    def on_table(self, n):
-        self.put("<table>\n<thead>\n")
-        self.header = True
-
-    def off_table(self, n):
-        self.put("</table>\n")
-
-    def on_table_row(self, n):
-        if n.at["header_end"]:
-            self.put("</thead>\n<tbody>\n")
-            self.header = False
-        else:
-            self.put("<tr>\n")
-
-    def off_table_row(self, n):
-        if not n.at["header_end"]:
-            self.put("</tr>\n")
-
-    def on_table_cell(self, n):
-        self.put("<th>" if self.header else "<td>")
-
-    def off_table_cell(self, n):
-        self.put("</th>\n" if self.header else "</td>\n")
+            order.append(n)
+            tight[n], in_item[n] = is_tight, inside
+            if n.kind == "footnote_reference" and n.at["footnote_name"] in self.notes and n.at["footnote_name"] not in self.used:
+                self.used.append(n.at["footnote_name"])
+            if n.kind in ("list", "block_quote"):
+                is_tight = n.kind == "list" and n.at["tight"]
+            inside = inside or n.kind == "item"
+            todo += [] if n.kind == "image" else [(c, is_tight, inside) for c in reversed(n.children)]
+        made: dict[Node, str] = {}
+        for n in reversed(order):
+            made[n] = self.one(n, tight, in_item, made)
+        return self.joined(nodes, opening, tight, in_item, made)
+
+    def joined(self, nodes: list[Node], opening: str, tight: dict, in_item: dict, made: dict) -> str:
+        """Sibling blocks behind ``opening``, each where its kind and place put it."""
+        out, filled = [opening], False
+        ends_line = opening.endswith("\n") or not opening
+        for n in nodes:
+            if n not in made:
+                continue
+            lead = ""
+            if n.kind == "heading":
+                lead = "\n" if in_item[n] else ""
+            elif n.kind in _OWN_LINE and tight[n] and filled:
+                lead = "\n"
+            elif n.kind in _OWN_LINE or n.kind == "list":
+                lead = "" if ends_line else "\n"
+            text = lead + made[n]
+            out.append(text)
+            ends_line = text.endswith("\n") if text else ends_line
+            filled = filled or _fills(n)
+        return "".join(out)
+
+    def one(self, n: Node, tight: dict, in_item: dict, made: dict) -> str:
+        """The text of a node whose children are made."""
+        kind, at = n.kind, n.at
+        pos = ' data-sourcepos="%d:%d-%d:%d"' % n.pos if self.sourcepos and n.pos[0] else ""
+        if kind == "text":
+            return escape_html(n.literal)
+        if kind in ("block_quote", "list", "item"):
+            if kind == "block_quote":
+                start, end = f"<blockquote{pos}>\n", "</blockquote>\n"
+            elif kind == "item":
+                mark = "" if at.get("checked") is None else '<input type="checkbox" disabled="disabled"' + (' checked="checked"' if at["checked"] else "") + " /> "
+                start, end = f"<li{pos}>" + ("\n" if n.children and not tight[n] else "") + mark, "</li>\n"
+            else:
+                tag = "ul" if at["list_type"] == "bullet" else "ol"
+                first = f' start="{at["list_start"]}"' if tag == "ol" and at["list_start"] != 1 else ""
+                start, end = f"<{tag}{pos}{first}>\n", f"</{tag}>\n"
+            return self.joined(n.children, start, tight, in_item, made) + end
+        inner = "".join(made[c] for c in n.children if c in made)
+        if kind == "paragraph":
+            return inner if tight[n] else f"<p{pos}>{inner}</p>\n"
+        if kind == "heading":
+            return f"<h{at['level']}{pos}>{inner}</h{at['level']}>\n"
+        if kind in _TAGS:
+            return f"<{_TAGS[kind]}>{inner}</{_TAGS[kind]}>"
+        if kind == "table_cell":
+            return inner
+        if kind == "table_row":
+            cell = "th" if self._in_head(n) else "td"
+            return "".join(f"<{cell}>{made[c]}</{cell}>\n" for c in n.children)
+        if kind == "table":
+            return "<table>\n<thead>\n" + "".join("</thead>\n<tbody>\n" if r.at["header_end"] else f"<tr>\n{made[r]}</tr>\n" for r in n.children) + "</table>\n"
+        if kind in ("link", "image"):
+            title = f' title="{escape_html(at["title"])}"' if at["title"] else ""
+            if kind == "link":
+                return f'<a href="{escape_href(at["url"])}"{title}>{inner}</a>'
+            return f'<img src="{escape_href(at["url"])}" alt="{escape_html(text_of(n, " "))}"{title} />'
+        if kind == "code_block":
+            lang = (at["info"].split() or [""])[0]
+            name = f' class="language-{escape_html(lang)}"' if lang else ""
+            return f"<pre><code{pos}{name}>{escape_html(n.literal)}</code></pre>\n"
+        if kind == "footnote_reference":
+            name = escape_html(at["footnote_name"])
+            return f'<sup class="footnote-ref"><a href="#fn-{name}" id="fnref-{name}">[{name}]</a></sup>'
+        if kind == "math":
+            mark = "$$" if at["display_math"] else "$"
+            return escape_html(mark + n.literal + mark)
+        if kind == "html_block":
+            return (n.literal if self.unsafe else filter_html(n.literal)) + "\n"
+        if kind == "softbreak":
+            return " " if tight[n] else "\n"
+        simple = {"thematic_break": f"<hr{pos} />\n", "linebreak": "<br />\n", "code": f"<code>{escape_html(n.literal or '')}</code>", "html_inline": filter_html(n.literal or ""), "shortcode": at.get("emoji") or ""}
+        return simple.get(kind, inner)
+
+    @staticmethod
+    def _in_head(row: Node) -> bool:
+        for r in row.parent.children:
+            if r is row or r.at["header_end"]:
+                return r is row
+        return True
 
 
 def to_html(root: Node, unsafe: bool = False, sourcepos: bool = False) -> str:

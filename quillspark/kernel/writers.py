@@ -42,85 +42,94 @@ def to_xml(root: Node, sourcepos: bool = False) -> str:
 
 
 _SECTIONS = {False: ["section*", "subsection*", "subsubsection*", "paragraph*", "subparagraph*", "paragraph*"], True: ["section", "subsection", "subsubsection", "paragraph", "paragraph", "paragraph"]}
+_COLUMN = {"right": "r", "center": "c"}
+#: Text before and after the content, by kind.
+_AROUND = {"block_quote": ("\\begin{quote}\n", "\\end{quote}\n"), "item": ("\\item ", "\n"), "paragraph": ("", "\n\n"), "emph": ("\\emph{", "}"), "strong": ("\\textbf{", "}"), "strikethrough": ("\\sout{", "}")}
+_CONSTANT = {"thematic_break": "\\hrule\n", "softbreak": " ", "linebreak": "\\\\\n"}
+#: Blocks after which a block that starts a line of its own is set off by a blank one.
+_SETS_OFF = {"block_quote", "list", "heading", "code_block", "thematic_break", "table"}
+_IS_SET_OFF = _SETS_OFF - {"list"} | {"paragraph", "html_block"}
+
+
+def _set_off(nodes: list[Node]) -> set[Node]:
+    """The blocks below ``nodes`` that a blank line sets off from what ends before them.
+
+    What ends before a block is its elder sibling; before the first block of an
+    item or list it is what ends before the item or list.
+    """
+    out: set[Node] = set()
+    todo = [(nodes, False)]
+    while todo:
+        siblings, after = todo.pop()
+        for n in siblings:
+            if after and n.kind in _IS_SET_OFF:
+                out.add(n)
+            if n.children and n.kind != "table":
+                todo.append((n.children, after and n.kind not in _IS_SET_OFF))
+            last = n
+            while last.kind in ("item", "footnote_definition") and last.children:
+                last = last.children[-1]
+            after = last.kind in _SETS_OFF or (after and last.kind in ("item", "footnote_definition"))
+    return out
 
 
 def latex_body(nodes: list[Node], beamer: bool = False) -> str:
-    out: list[str] = []
-    gap = False
-    stack = [(True, n) for n in reversed(nodes)]
-    while stack:
-        entering, n = stack.pop()
-        kind = n.kind
-        if entering:
-            if gap and kind in ("block_quote", "code_block", "html_block", "paragraph", "heading", "thematic_break", "table"):
-                out.append("\n")
-                gap = False
-            if kind == "block_quote":
-                out.append("\\begin{quote}\n")
-            elif kind == "list":
-                out.append("\\begin{itemize}\n" if n.at["list_type"] == "bullet" else "\\begin{enumerate}\n")
-            elif kind == "item":
-                out.append("\\item ")
-            elif kind == "code_block":
-                lang = (n.at["info"].split() or [""])[0]
-                a, z = (f"\\begin{{lstlisting}}[language={escape_latex(lang)}]\n", "\\end{lstlisting}\n") if lang else ("\\begin{verbatim}\n", "\\end{verbatim}\n")
-                out.append(a + n.literal + z)
-                gap = True
-            elif kind == "heading":
-                out.append("\\" + _SECTIONS[beamer][n.at["level"] - 1] + "{")
-            elif kind == "thematic_break":
-                out.append("\\hrule\n")
-                gap = True
-            elif kind == "text":
-                out.append(escape_latex(n.literal))
-            elif kind == "softbreak":
-                out.append(" ")
-            elif kind == "linebreak":
-                out.append("\\\\\n")
-            elif kind == "code":
-                out.append("\\texttt{" + escape_latex(n.literal) + "}")
-            elif kind == "math":
-                out.append("\\[" + n.literal + "\\]" if n.at["display_math"] else "$" + n.literal + "$")
-            elif kind == "shortcode":
-                out.append(n.at["emoji"])
-            elif kind in ("emph", "strong", "strikethrough"):
-                out.append({"emph": "\\emph{", "strong": "\\textbf{", "strikethrough": "\\sout{"}[kind])
-            elif kind == "link":
-                out.append("\\href{" + escape_latex(n.at["url"]) + "}{")
-            elif kind == "image":
-                out.append("\\includegraphics{" + escape_latex(n.at["url"]) + "}")
-                continue
-            elif kind == "table":
-                out.append("\\begin{tabular}{" + "".join({"right": "r", "center": "c"}.get(a, "l") for a in n.at["alignments"]) + "}\n")
-                out += [" & ".join(escape_latex(text_of(c)) for c in r.children) + " \\\\\n" if not r.at["header_end"] else "\\hline\n" for r in n.children]
-                out.append("\\end{tabular}\n")
-                gap = True
-                continue
-            stack.append((False, n))
-            stack.extend((True, c) for c in reversed(n.children))
-        elif kind == "block_quote":
-            out.append("\\end{quote}\n")
-            gap = True
-        elif kind == "list":
-            out.append("\\end{itemize}\n" if n.at["list_type"] == "bullet" else "\\end{enumerate}\n")
-            gap = True
-        elif kind == "item":
-            out.append("\n")
-        elif kind == "paragraph":
-            out.append("\n\n")
-        elif kind == "heading":
-            out.append("}")
-            gap = True
-        elif kind in ("emph", "strong", "strikethrough", "link"):
-            out.append("}")
-    return "".join(out)
-
-
-def preamble(document_class: str = "article", beamer: bool = False, packages: tuple[str, ...] = ()) -> str:
-    lines = [f"\\documentclass{{{document_class}}}\n", "\\usepackage[utf8]{inputenc}", "\\usepackage[T1]{fontenc}", "\\usepackage{hyperref}"]
-    lines += ["\\usetheme{Madrid}", "\\usecolortheme{default}", "\\usepackage{ulem}", "\\usepackage{listings}"] if beamer else ["\\usepackage{listings}", "\\usepackage{graphicx}"]
-    lines += [f"\\usepackage{{{p}}}" for p in packages if p not in ("hyperref", "ulem")]
-    return "\n".join(lines) + "\n\n"
+    """Blocks as LaTeX: the text of a node is made from the texts of its children."""
+    order, todo = [], list(reversed(nodes))
+    while todo:
+        n = todo.pop()
+        order.append(n)
+        todo += [] if n.kind in ("table", "image") else reversed(n.children)
+    set_off, made = _set_off(nodes), {}
+    for n in reversed(order):
+        text = _latex_of(n, "".join(made[c] for c in n.children if c in made), beamer)
+        made[n] = "\n" + text if n in set_off else text
+    return "".join(made[n] for n in nodes)
+
+
+def _latex_of(n: Node, inner: str, beamer: bool) -> str:
+    kind, at = n.kind, n.at
+    if kind in _CONSTANT:
+        return _CONSTANT[kind]
+    if kind in _AROUND:
+        return inner.join(_AROUND[kind])
+    if kind == "text":
+        return escape_latex(n.literal)
+    if kind == "code":
+        return f"\\texttt{{{escape_latex(n.literal)}}}"
+    if kind == "heading":
+        return f"\\{_SECTIONS[beamer][at['level'] - 1]}{{{inner}}}"
+    if kind == "list":
+        name = "itemize" if at["list_type"] == "bullet" else "enumerate"
+        return f"\\begin{{{name}}}\n{inner}\\end{{{name}}}\n"
+    if kind == "code_block":
+        lang = (at["info"].split() or [""])[0]
+        name, option = ("lstlisting", f"[language={escape_latex(lang)}]") if lang else ("verbatim", "")
+        return f"\\begin{{{name}}}{option}\n{n.literal}\\end{{{name}}}\n"
+    if kind == "table":
+        rows = ("\\hline\n" if r.at["header_end"] else " & ".join(escape_latex(text_of(c)) for c in r.children) + " \\\\\n" for r in n.children)
+        return f"\\begin{{tabular}}{{{''.join(_COLUMN.get(a, 'l') for a in at['alignments'])}}}\n{''.join(rows)}\\end{{tabular}}\n"
+    if kind == "link":
+        return f"\\href{{{escape_latex(at['url'])}}}{{{inner}}}"
+    if kind == "image":
+        return f"\\includegraphics{{{escape_latex(at['url'])}}}"
+    if kind == "math":
+        return f"\\[{n.literal}\\]" if at["display_math"] else f"${n.literal}$"
+    return at["emoji"] if kind == "shortcode" else inner
+
+
+#: What a document of each class loads, in order.
+_PACKAGES = {"article": ("[utf8]{inputenc}", "[T1]{fontenc}", "{hyperref}", "{listings}", "{graphicx}"), "beamer": ("[utf8]{inputenc}", "[T1]{fontenc}", "{hyperref}", "{ulem}", "{listings}")}
+_THEME = "\\usetheme{Madrid}\n\\usecolortheme{default}\n"
+
+
+def preamble(document_class: str = "article", packages: tuple[str, ...] = ()) -> str:
+    """The head of a document; packages that the class loads already are not loaded twice."""
+    loads = dict.fromkeys(_PACKAGES.get(document_class, _PACKAGES["article"]) + tuple(f"{{{p}}}" for p in packages))
+    lines = "".join(f"\\usepackage{p}\n" for p in loads)
+    if document_class == "beamer":
+        lines = lines.replace("\\usepackage{ulem}\n", _THEME + "\\usepackage{ulem}\n")
+    return f"\\documentclass{{{document_class}}}\n\n{lines}\n"
 
 
 def to_latex(root: Node, standalone: bool = False) -> str:
@@ -147,7 +156,7 @@ def document_title(root: Node) -> str:
 
 def to_beamer(root: Node, slide_level: int = 2) -> str:
     """Level-1 headings are sections, others frames; every block is in one frame only."""
-    out = [preamble("beamer", True)]
+    out = [preamble("beamer")]
     if title := document_title(root):
         out.append(f"\\title{{{escape_latex(title)}}}\n\\date{{\\today}}\n\n")
     out.append("\\begin{document}\n\n" + ("\\frame{\\titlepage}\n\n" if title else ""))
