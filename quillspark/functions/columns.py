@@ -16,7 +16,7 @@ from .scalars import BLOCKED_SCHEMES, DATA_IMAGES, FILTERED_TAGS
 # Fixed table: media types by extension.
 MIME = {
     "html": "text/html", "htm": "text/html", "css": "text/css", "csv": "text/csv", "txt": "text/plain", "md": "text/markdown", "markdown": "text/markdown", "xml": "application/xml",
-    "js": "application/javascript", "json": "application/json", "pdf": "application/pdf", "zip": "application/zip", "gz": "application/gzip", "tex": "application/x-tex",
+    "js": "text/javascript", "json": "application/json", "pdf": "application/pdf", "zip": "application/zip", "gz": "application/gzip", "tex": "application/x-tex",
     "png": "image/png", "jpg": "image/jpeg", "jpeg": "image/jpeg", "gif": "image/gif", "svg": "image/svg+xml", "webp": "image/webp", "bmp": "image/bmp", "ico": "image/x-icon",
     "mp3": "audio/mpeg", "wav": "audio/wav", "ogg": "audio/ogg", "mp4": "video/mp4", "webm": "video/webm", "ttf": "font/ttf", "otf": "font/otf", "woff": "font/woff", "woff2": "font/woff2",
 }
@@ -173,7 +173,7 @@ def xml_to_bool(t: Column) -> Column:
 
 def is_safe_url(u: Column) -> Column:
     low = F.lower(F.trim(u))
-    ok = F.when(low.startswith("data:"), low.rlike("^data:(" + "|".join(DATA_IMAGES) + ")")).otherwise(~low.rlike("^(&#|&x|(" + "|".join(BLOCKED_SCHEMES) + "):)"))
+    ok = F.when(low.startswith("data:"), low.rlike("^data:(" + "|".join(DATA_IMAGES) + ")(,|;base64,)")).otherwise(~low.rlike("^(&#|&x|(" + "|".join(BLOCKED_SCHEMES) + "):)"))
     return ok & (F.octet_length(u) <= 8192) & ~u.rlike(r"[\x00-\x1F\x7F]")
 
 
@@ -410,9 +410,26 @@ def footnote_refs(t: Column) -> Column:
 
 
 def smart_dashes(t: Column) -> Column:
-    """Ellipses, then runs of hyphens: threes are em dashes, an even rest en dashes."""
+    """Ellipses, then runs of two hyphens or more.
+
+    A run whose length is a multiple of three is em dashes, any other even one
+    en dashes; of the rest, one or two en dashes close a run of em dashes.
+    """
     t = F.replace(t, F.lit("..."), F.lit("…"))
-    return F.regexp_replace(F.regexp_replace(t, "---", "—"), "--", "–")
+    run = r"(?<!-)%s(?!-)"
+    for rest, made in (("---", "—"), ("--", "–"), ("----", "––"), ("-----", "—–"), ("-------", "—––"), ("------", "——")):
+        t = F.regexp_replace(t, run % rest, made)
+    longer = F.regexp_extract_all(t, F.lit(r"(?<!-)(-{8,})(?!-)"), 1)
+    between = F.split(t, r"(?<!-)-{8,}(?!-)")
+
+    def dashes(x: Column) -> Column:
+        n = F.length(x)
+        em, en = (lambda k: F.repeat(F.lit("—"), k.cast("int"))), (lambda k: F.repeat(F.lit("–"), k.cast("int")))
+        mixed = F.when(n % 3 == 2, F.concat(em((n - 2) / 3), F.lit("–"))).otherwise(F.concat(em((n - 4) / 3), F.lit("––")))
+        return F.when(n % 3 == 0, em(n / 3)).when(n % 2 == 0, en(n / 2)).otherwise(mixed)
+
+    made = F.concat(F.transform(longer, dashes), F.array(F.lit("")))
+    return F.when(F.size(longer) == 0, t).otherwise(F.array_join(F.zip_with(between, made, lambda a, b: F.concat(a, b)), ""))
 
 
 # --- scripts ------------------------------------------------------------------------

@@ -31,7 +31,7 @@ def is_safe_url(url: str) -> bool:
         return False
     low = url.strip().lower()
     if low.startswith("data:"):
-        return low.startswith(tuple(f"data:{t}" for t in DATA_IMAGES))
+        return low.startswith(tuple(f"data:{t}{end}" for t in DATA_IMAGES for end in (",", ";base64,")))
     return not low.startswith(("&#", "&x", *(s + ":" for s in BLOCKED_SCHEMES)))
 
 

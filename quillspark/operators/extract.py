@@ -128,32 +128,45 @@ def unique_anchors(nodes: DataFrame) -> DataFrame:
     return h.select("doc_id", "a", F.posexplode("h").alias("p", "x")).select("doc_id", F.col("x.ord").alias("ord"), F.col("x.text").alias("text"), F.get("a", F.col("p")).alias("anchor"))
 
 
+#: Kinds that the rules of :func:`validate` read.
+CHECKED = ("link", "image", "heading", "footnote_reference", "footnote_definition")
+
+
 def validate(nodes: DataFrame, *, check_urls: bool = True, check_anchors: bool = True, assets: DataFrame | None = None) -> DataFrame:
-    """(doc_id, severity, category, message): the union of the rules, each an anti join, a window or a filter."""
-    link, image, head = links(nodes), images(nodes), headings(nodes).withColumn("slug", C.slug_cli(F.col("text")))
-    issue = lambda df, severity, category, message: df.select("doc_id", F.lit(severity).alias("severity"), F.lit(category).alias("category"), message.alias("message"))
-    seen = Window.partitionBy("doc_id", "slug").orderBy("ord")
+    """(doc_id, severity, category, message): every rule in one pass over the documents' links, images, headings and notes.
+
+    Rules that compare nodes look at all of a key within its document: a window
+    over (doc_id, class, key) puts a heading beside the links to it, and a
+    footnote's references beside its definitions.
+    """
+    n = nodes.where(F.col("kind").isin(*CHECKED)).select("doc_id", "node_id", "kind", "url", "text_content", "text_alt", "footnote_name")
+    slug = F.when(F.col("kind") == "heading", C.slug_cli(F.col("text_content"))).when((F.col("kind") == "link") & F.col("url").startswith("#"), F.substr(F.col("url"), F.lit(2)))
+    group = F.when(F.col("kind").startswith("footnote"), "note").when((F.col("kind") == "heading") | (slug != ""), "anchor")
+    n = n.withColumn("key", F.coalesce("footnote_name", slug)).withColumn("group", F.coalesce(group, F.lit("alone")))
+    n = n.withColumn("key", F.when(F.col("group") != "alone", F.col("key")).otherwise(F.col("node_id").cast("string")))
+    peers = Window.partitionBy("doc_id", "group", "key")
+    has = lambda kind: F.max((F.col("kind") == kind).cast("int")).over(peers) == 1
+    rank = F.row_number().over(Window.partitionBy("doc_id", "group", "key", "kind").orderBy("node_id"))
+    n = n.select("*", rank.alias("k"), has("heading").alias("headed"), has("footnote_reference").alias("used"), has("footnote_definition").alias("defined"))
+    is_ = lambda kind: F.col("kind") == kind
+    issue = lambda when, severity, category, message: F.when(when, F.struct(F.lit(severity).alias("severity"), F.lit(category).alias("category"), message.alias("message")))
+    blank = F.trim("url") == ""
     rules = [
-        issue(link.where("trim(url) = ''"), "error", "link", F.concat(F.lit("Empty link URL for text: "), "text")),
-        issue(image.where("trim(url) = ''"), "error", "image", F.concat(F.lit("Empty image URL for alt: "), "alt")),
-        issue(head.withColumn("k", F.row_number().over(seen)).where("k > 1"), "warning", "heading", F.concat(F.lit("Duplicate heading id: "), "slug")),
+        issue(is_("link") & blank, "error", "link", F.concat(F.lit("Empty link URL for text: "), "text_content")),
+        issue(is_("image") & blank, "error", "image", F.concat(F.lit("Empty image URL for alt: "), "text_alt")),
+        issue(is_("heading") & (F.col("k") > 1), "warning", "heading", F.concat(F.lit("Duplicate heading id: "), "key")),
+        issue(is_("footnote_definition") & (F.col("k") == 1) & ~F.col("used"), "info", "footnote", F.concat(F.lit("Unused footnote: "), "key")),
+        issue(is_("footnote_reference") & (F.col("k") == 1) & ~F.col("defined"), "error", "footnote", F.concat(F.lit("Undefined footnote: "), "key")),
     ]
     if check_urls:
-        rules.append(issue(link.where(C.is_external_url(F.col("url")) & ~C.is_valid_url(F.col("url"))), "warning", "link", F.concat(F.lit("Malformed URL: "), "url")))
+        rules.append(issue(is_("link") & C.is_external_url(F.col("url")) & ~C.is_valid_url(F.col("url")), "warning", "link", F.concat(F.lit("Malformed URL: "), "url")))
     if check_anchors:
-        local = link.where(F.col("url").startswith("#") & (F.length("url") > 1)).withColumn("slug", F.substring("url", 2, 100_000))
-        rules.append(issue(local.join(head.select("doc_id", "slug").distinct(), ["doc_id", "slug"], "left_anti"), "error", "anchor", F.concat(F.lit("Broken anchor: #"), "slug")))
+        rules.append(issue(is_("link") & (F.col("group") == "anchor") & ~F.col("headed"), "error", "anchor", F.concat(F.lit("Broken anchor: #"), "key")))
     if assets is not None:
-        near = image.where(~C.is_external_url(F.col("url")) & (F.col("url") != ""))
-        rules.append(issue(near.join(assets.select(F.col("path").alias("url")), "url", "left_anti"), "warning", "image", F.concat(F.lit("Missing image: "), "url")))
-    refs = nodes.where("kind = 'footnote_reference'").select("doc_id", "footnote_name").distinct()
-    defs = nodes.where("kind = 'footnote_definition'").select("doc_id", "footnote_name").distinct()
-    rules.append(issue(defs.join(refs, ["doc_id", "footnote_name"], "left_anti"), "info", "footnote", F.concat(F.lit("Unused footnote: "), "footnote_name")))
-    rules.append(issue(refs.join(defs, ["doc_id", "footnote_name"], "left_anti"), "error", "footnote", F.concat(F.lit("Undefined footnote: "), "footnote_name")))
-    out = rules[0]
-    for r in rules[1:]:
-        out = out.unionByName(r)
-    return out
+        known = assets.select(F.col("path").alias("url"), F.lit(True).alias("there")).distinct()
+        n = n.join(known, "url", "left")
+        rules.append(issue(is_("image") & ~C.is_external_url(F.col("url")) & (F.col("url") != "") & F.col("there").isNull(), "warning", "image", F.concat(F.lit("Missing image: "), "url")))
+    return n.select("doc_id", F.explode(F.array_compact(F.array(*rules))).alias("issue")).select("doc_id", "issue.severity", "issue.category", "issue.message")
 
 
 def validation_report(issues: DataFrame) -> DataFrame:

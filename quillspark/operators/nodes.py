@@ -1,7 +1,8 @@
 """From documents to the node table, and navigation in it.
 
 ``parse_nodes`` is the only Python step; everything after it is relational.
-One Arrow pass without a shuffle: a document is parsed where it is read.
+One Arrow pass: a document is parsed where it is read, or, where few files
+would make few tasks, dealt out before (:func:`spread`).
 """
 
 from __future__ import annotations
@@ -39,10 +40,24 @@ def tree_of(text: str | None, extended: bool = False, **options: Any) -> Node:
     return root
 
 
-def parse_nodes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", extended: bool = False, smart: bool = False, shortcodes: dict[str, str] | None = None) -> DataFrame:
-    """(id_col, node columns): the tree of every document, pre-order ids and nested intervals."""
-    rows = docs.select(F.col(id_col).alias("doc"), F.col(text_col).cast("string").alias("text"))
-    kind = rows.schema["doc"].dataType.simpleString()
+def spread(rows: DataFrame) -> DataFrame:
+    """Deal the rows out where fewer tasks would read them than the cluster runs at once.
+
+    A table of one row group is read by one task, however large its texts are;
+    one round-robin shuffle of the texts costs less than parsing them there.
+    Streams, rows that come from no files, and tables that many tasks read, stay
+    as they are.
+    """
+    if rows.isStreaming:
+        return rows
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores) if 0 < len(rows.inputFiles()) < cores else rows
+
+
+def parse_nodes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", extended: bool = False, smart: bool = False, shortcodes: dict[str, str] | None = None, kinds: tuple[str, ...] = ()) -> DataFrame:
+    """(id_col, node columns): the tree of every document, pre-order ids and nested intervals; with ``kinds``, only nodes of those."""
+    rows = spread(docs.select(F.col(id_col).alias("doc"), F.col(text_col).cast("string").alias("text")))
+    kind, at = rows.schema["doc"].dataType.simpleString(), [n for n, _ in FIELDS].index("kind")
 
     def run(batches):
         for b in batches:
@@ -54,6 +69,7 @@ def parse_nodes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
 
             for k, text in zip(b.column(0), b.column(1), strict=True):
                 got = rows_of(tree_of(text.as_py(), extended, smart=smart, shortcodes=shortcodes))
+                got = [x for x in got if x[at] in kinds] if kinds else got
                 key += [k.as_py()] * len(got)
                 out += got
                 if len(out) >= CHUNK_NODES:

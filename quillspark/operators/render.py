@@ -12,7 +12,7 @@ from ..kernel import writers
 from ..kernel.html import to_html
 from ..kernel.markdown import format_text, to_markdown
 from ..sources.text import FORMATS, register_format
-from .nodes import tree_of
+from .nodes import spread, tree_of
 
 for _name, _render in {"html": to_html, "xml": writers.to_xml, "latex": writers.to_latex, "beamer": writers.to_beamer, "revealjs": writers.to_revealjs, "page": writers.to_page, "bibtex": writers.to_bibtex, "commonmark": to_markdown}.items():
     register_format(_name, _render)
@@ -23,7 +23,7 @@ def render(docs: DataFrame, fmt: str = "html", *, id_col: str = "doc_id", text_c
     if fmt not in FORMATS:
         raise ValueError(f"unknown format {fmt!r}; known: {sorted(FORMATS)}")
     write = FORMATS[fmt]
-    rows = docs.select(F.col(id_col).alias("doc"), F.col(text_col).cast("string").alias("text"))
+    rows = spread(docs.select(F.col(id_col).alias("doc"), F.col(text_col).cast("string").alias("text")))
 
     def run(batches):
         for b in batches:
@@ -35,7 +35,7 @@ def render(docs: DataFrame, fmt: str = "html", *, id_col: str = "doc_id", text_c
 
 def format_documents(docs: DataFrame, *, width: int = 0, cjk_spacing: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id_col, body): formatted Markdown; a contents marker keeps its place and gets a new list."""
-    rows = docs.select(F.col(id_col).alias("doc"), F.col(text_col).cast("string").alias("text"))
+    rows = spread(docs.select(F.col(id_col).alias("doc"), F.col(text_col).cast("string").alias("text")))
 
     def run(batches):
         for b in batches:

@@ -129,9 +129,15 @@ def truncate_and_squeeze(spark, sf):
     return documents(spark, sf).select("doc_id", C.truncate(t, 80).alias("short"), F.md5(C.normalize_ws(t)).alias("squeezed"), F.md5(C.normalize_label(t)).alias("label"))
 
 
-@query("SELECT doc_id, md5(replace(replace(replace(replace(text, '.', '...'), '...', '…'), '---', '—'), '--', '–')) AS smart FROM documents")
+_RUNS = "replace(replace(replace(text, '.', '...'), ',', '----'), ';', '-------')"
+
+
+@query(f"""WITH t AS (SELECT doc_id, regexp_split_to_array({_RUNS}, '-+') AS p, list_transform(regexp_extract_all({_RUNS}, '-+'), lambda r: CASE WHEN length(r) = 1 THEN r WHEN length(r) % 3 = 0 THEN repeat('—', length(r) // 3) WHEN length(r) % 2 = 0 THEN repeat('–', length(r) // 2)
+  WHEN length(r) % 3 = 2 THEN repeat('—', (length(r) - 2) // 3) || '–' ELSE repeat('—', (length(r) - 4) // 3) || '––' END) AS d FROM documents)
+SELECT doc_id, md5(replace(array_to_string(list_transform(range(1, len(p) + 1), lambda i: p[i] || coalesce(d[i], '')), ''), '...', '…')) AS smart FROM t""")
 def smart_dashes(spark, sf):
-    return documents(spark, sf).select("doc_id", F.md5(C.smart_dashes(F.replace("text", F.lit("."), F.lit("...")))).alias("smart"))
+    t = F.replace(F.replace(F.replace("text", F.lit("."), F.lit("...")), F.lit(","), F.lit("----")), F.lit(";"), F.lit("-------"))
+    return documents(spark, sf).select("doc_id", F.md5(C.smart_dashes(t)).alias("smart"))
 
 
 # --- URLs and media types --------------------------------------------------------------
@@ -371,18 +377,18 @@ UNION ALL SELECT DISTINCT doc_id // 10, 'error', 'link', 'Empty link URL for tex
 
 @query(_ISSUES)
 def validate(spark, sf):
-    return X.validate(nodes_of(D.md_dup, spark, sf))
+    return X.validate(nodes_of(D.md_dup, spark, sf, kinds=X.CHECKED))
 
 
 @query(f"SELECT doc_id, count(*) FILTER (severity = 'error') AS errors, count(*) FILTER (severity = 'warning') AS warnings, count(*) FILTER (severity = 'info') AS infos, count(*) FILTER (severity = 'error') = 0 AS valid FROM ({_ISSUES}) GROUP BY doc_id")
 def validate_report(spark, sf):
-    return X.validation_report(X.validate(nodes_of(D.md_dup, spark, sf)))
+    return X.validation_report(X.validate(nodes_of(D.md_dup, spark, sf, kinds=X.CHECKED)))
 
 
 @query("SELECT doc_id, 'warning' AS severity, 'image' AS category, 'Missing image: /img/' || doc_id || '.png' AS message FROM documents WHERE doc_id % 3 <> 0")
 def validate_images(spark, sf):
     assets = documents(spark, sf).where("doc_id % 3 = 0").select(F.concat(F.lit("/img/"), F.col("doc_id").cast("string"), F.lit(".png")).alias("path"))
-    return X.validate(nodes_of(D.md_docs, spark, sf), assets=assets).where("category = 'image'")
+    return X.validate(nodes_of(D.md_docs, spark, sf, kinds=X.CHECKED), assets=assets).where("category = 'image'")
 
 
 @query("SELECT o_custkey AS doc_id, 'a' || o_custkey AS name, CASE WHEN o_custkey % 2 = 0 THEN 'info' ELSE 'error' END AS severity FROM (SELECT DISTINCT o_custkey FROM orders)")
@@ -496,11 +502,14 @@ def to_bibtex(spark, sf):
     return x.select("doc_id", F.regexp_extract("body", r"^(% Document \d+)", 1).alias("head"), F.regexp_extract("body", r"(chars = \d+)", 1).alias("code"))
 
 
-@query("SELECT doc_id, md5(trim(regexp_replace(text, '\\s+', ' ', 'g'))) AS words FROM documents WHERE NOT regexp_matches(text, '[*_$&|<>\\[\\]`~#\\\\]')")
+_PLAIN = r"[*_$&|<>\[\]`~#\\]"
+
+
+@query(f"SELECT doc_id, md5(trim(regexp_replace(regexp_replace(text, '{_PLAIN}', ' ', 'g'), '\\s+', ' ', 'g'))) AS words FROM documents")
 def fmt_wrap80(spark, sf):
-    """Wrapping keeps every word of plain text in order."""
-    d = documents(spark, sf).where(~F.col("text").rlike(r"[*_$&|<>\[\]`~#\\]"))
-    x = render(d.select("doc_id", C.normalize_ws(F.col("text")).alias("text")), "commonmark", width=80)
+    """Wrapping keeps every word in order: all documents, their marks blanked out."""
+    d = documents(spark, sf)
+    x = render(d.select("doc_id", C.normalize_ws(F.regexp_replace("text", _PLAIN, " ")).alias("text")), "commonmark", width=80)
     return x.select("doc_id", F.md5(C.normalize_ws(F.regexp_replace("body", r"\\(?=[-+.)=])", ""))).alias("words"))
 
 
@@ -534,17 +543,22 @@ def stream_headings(spark, sf):
     return S.run_to_table(n.select(F.col("k.conv_id").alias("doc_id"), F.col("k.turn").alias("turn"), F.col("text_content").alias("heading")))
 
 
-@query("SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")
+_WINDOWS = "SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL"
+
+
+def _plain_windows(counts: DataFrame) -> DataFrame:
+    return counts.withColumn("total", F.round("total", 4)).withColumn("start", F.col("start").cast("timestamp_ntz"))
+
+
+@query(_WINDOWS)
 def event_windows(spark, sf):
-    e = read_table(spark, sf, "events")
-    out = S.event_counts(e).withColumn("total", F.round("total", 4))
-    return out.withColumn("start", F.col("start").cast("timestamp_ntz"))
+    return _plain_windows(S.event_counts(read_table(spark, sf, "events")))
 
 
-@query()
+@query(_WINDOWS)
 def event_windows_stream(spark, sf):
     """All windows of the finite run, those up to the last event too; no row is late."""
-    return S.run_to_table(S.event_counts(S.stream_table(spark, f"{sf}/events.parquet"), late=None), "complete")
+    return _plain_windows(S.run_to_table(S.event_counts(S.stream_table(spark, f"{sf}/events.parquet"), late=None), "complete"))
 
 
 # --- templates, definition lists, abbreviations, TeX ----------------------------------------------

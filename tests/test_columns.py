@@ -148,3 +148,27 @@ def test_late_events_and_sessions(spark):
     assert S.event_counts(e).count() == 2
     assert S.event_counts(e, slide="30 minutes").count() > 2
     assert sorted(r["n"] for r in S.session_counts(e).collect()) == [1, 1, 2]
+
+
+def test_smart_dashes_of_every_run(spark):
+    """The column and the parser agree on runs of hyphens of every length."""
+    from quillspark.kernel.inlines import _dashes
+
+    texts = ["a" + "-" * n + "b" for n in range(30)] + ["-" * 4 + " x--y " + "-" * 9 + "-z"]
+    df = spark.createDataFrame(list(enumerate(texts)), "k int, t string")
+    assert {r["k"]: r["s"] for r in df.select("k", C.smart_dashes(F.col("t")).alias("s")).collect()} == {i: _dashes(t) for i, t in enumerate(texts)}
+
+
+def test_data_urls_need_an_end_of_type(spark):
+    from quillspark.functions.scalars import is_safe_url
+
+    urls = ["data:image/png,x", "data:image/png;base64,x", "data:image/pngx;text/html,x", "data:image/svg+xml,x", "data:image/png;text/html,x"]
+    df = spark.createDataFrame(list(enumerate(urls)), "k int, u string")
+    assert [r[0] for r in df.orderBy("k").select(C.is_safe_url(F.col("u"))).collect()] == [is_safe_url(u) for u in urls] == [True, True, False, False, False]
+
+
+def test_validate_parses_once(spark):
+    from quillspark.plans import catalog
+
+    plan = catalog.QUERIES["validate"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1
