@@ -6,6 +6,7 @@ lineage are written below ``spark.checkpoint.dir``, which every executor sees.
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -34,13 +35,21 @@ def shared_dir(spark: SparkSession) -> str:
     return spark.sparkContext.getCheckpointDir().rstrip("/")
 
 
-def stage(df: DataFrame) -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and read it back: cuts lineage, survives lost executors."""
+def stage(df: DataFrame, sweep: bool = False) -> DataFrame:
+    """Write ``df`` as Parquet in the shared folder and read it back: cuts lineage, survives lost executors.
+
+    ``sweep``, for steps that shuffle much: the driver's garbage is collected,
+    so that Spark's cleaner deletes the shuffle files of the steps before, which
+    nothing refers to any more, instead of keeping all until the end.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/quillspark/{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.staged_path = path
+    if sweep:
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
     return out
 
 

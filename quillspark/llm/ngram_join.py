@@ -120,18 +120,18 @@ def _sets(docs: DataFrame, n: int) -> DataFrame:
 
 
 def salted(keys: np.ndarray, ids: np.ndarray, sets: int) -> pa.RecordBatch:
-    """(key, salt, id) rows; a key that 1/16 of ``sets`` sets (and 16) hold is dealt out, with one null row at salt 0 to tell the others."""
+    """(sig, id, salt) rows; a key that 1/16 of ``sets`` sets (and 16) hold is dealt out, with one null row at salt 0 to tell the others."""
     uniq, inverse, counts = np.unique(keys, return_inverse=True, return_counts=True)
     hot = counts >= max(16, sets / 16)
     salt = np.where(hot[inverse], 1 + (mix(ids.view(np.uint64)) % np.uint64(SALTS)).astype(np.int64), 0)
     told = uniq[hot]
     key = np.concatenate((keys, told)).view(np.int64)
     null = np.concatenate((np.zeros(len(keys), bool), np.ones(len(told), bool)))
-    return pa.RecordBatch.from_arrays([pa.array(key), pa.array(np.concatenate((salt, 0 * told.astype(np.int64))), pa.int32()), pa.array(np.concatenate((ids, 0 * told.astype(np.int64))), mask=null)], names=["sig", "salt", "id"])
+    return pa.RecordBatch.from_arrays([pa.array(key), pa.array(np.concatenate((salt, 0 * told.astype(np.int64))), pa.int32()), pa.array(np.concatenate((ids, 0 * told.astype(np.int64))), mask=null)], names=["sig", "salt", "id"]).select(["sig", "id", "salt"])
 
 
 def _postings(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
-    """(sig, salt, id) rows of all sets; of equal sets in a slice only the smallest id emits, as no other can stand for its class."""
+    """(sig, id, salt) rows of all sets; of equal sets in a slice only the smallest id emits, as no other can stand for its class."""
 
     def run(batches):
         buckets = Buckets(num, den)
@@ -146,11 +146,11 @@ def _postings(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
                 sig, of = buckets.signatures([sets[i] for i in own])
                 yield salted(sig, ids[own][of], len(own))
 
-    return docs.mapInArrow(run, "sig long, salt int, id long")
+    return docs.mapInArrow(run, "sig long, id long, salt int")
 
 
 def _inverted(sets: DataFrame) -> DataFrame:
-    """(sig, salt, id) rows of all shingles of (id, n, tokens)."""
+    """(sig, id, salt) rows of all shingles of (id, n, tokens)."""
 
     def run(batches):
         for b in batches:
@@ -160,11 +160,11 @@ def _inverted(sets: DataFrame) -> DataFrame:
                 ids = np.repeat(part.column(0).to_numpy(), sizes)
                 yield salted(part.column(2).flatten().to_numpy().view(np.uint64), ids, part.num_rows)
 
-    return sets.select("id", "n", "tokens").mapInArrow(run, "sig long, salt int, id long")
+    return sets.select("id", "n", "tokens").mapInArrow(run, "sig long, id long, salt int")
 
 
 def shared_rows(rows: DataFrame) -> DataFrame:
-    """Of (sig, salt, id), those (sig, id, df) whose sig another id has too: one shuffle, then a streaming pass over sorted rows."""
+    """Of (sig, id, salt), those (sig, id, df) whose sig another id has too: one shuffle, then a streaming pass over sorted rows."""
 
     def whole(sig, salt, ids, null):
         start = np.concatenate(([True], (sig[1:] != sig[:-1]) | (salt[1:] != salt[:-1])))
@@ -179,8 +179,8 @@ def shared_rows(rows: DataFrame) -> DataFrame:
         for b in batches:
             if not b.num_rows:
                 continue
-            null = ~np.asarray(b.column(2).is_valid())
-            cols = [np.asarray(b.column(0)), np.asarray(b.column(1)), b.column(2).fill_null(0).to_numpy(), null]
+            null = ~np.asarray(b.column(1).is_valid())
+            cols = [np.asarray(b.column(0)), np.asarray(b.column(2)), b.column(1).fill_null(0).to_numpy(), null]
             if held is not None:
                 cols = [np.concatenate(c) for c in zip(held, cols, strict=True)]
             sig, salt, ids, null = cols
@@ -198,7 +198,7 @@ def shared_rows(rows: DataFrame) -> DataFrame:
         if held is not None:
             yield whole(*held)
 
-    return rows.select("sig", "salt", "id").repartition("sig", "salt").sortWithinPartitions("sig", "salt", "id").mapInArrow(run, "sig long, id long, df int")
+    return rows.select("sig", "id", "salt").repartition("sig", "salt").sortWithinPartitions("sig", "salt", "id").mapInArrow(run, "sig long, id long, df int")
 
 
 def _rows_of(sig, ids, df, keep):
@@ -325,13 +325,13 @@ def ngram_join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
     rows, names = numbered(rows)
     known = stage(_sets(rows, words))
     classes = stage(known.where("n > 0 and id is not null").groupBy("n", "k1", "k2").agg(F.min("id").alias("rep")))
-    shared = stage(shared_rows(_postings(rows.where("id is not null"), words, num, den)).select("id").distinct())
+    shared = stage(shared_rows(_postings(rows.where("id is not null"), words, num, den)).select("id").distinct(), sweep=True)
     wanted = shared.join(classes.select(F.col("rep").alias("id")), "id", "left_semi").hint("merge")  # one plan at every size
-    sets = stage(_token_sets(rows.join(wanted, "id", "left_semi"), words).dropDuplicates(["id"]))
+    sets = stage(_token_sets(rows.join(wanted, "id", "left_semi"), words).dropDuplicates(["id"]), sweep=True)
     lists = shared_rows(_inverted(sets)).groupBy("id").agg(F.sort_array(F.collect_list(F.struct("df", "sig"))).alias("lists"))
     least = f"cast((n * {num} + {den - 1}) div {den} as int)"  # T of a set, whatever its partner
     lists = lists.join(sets.select("id", "n"), "id").where(f"size(lists) >= {least}")
-    lists = stage(lists.select("id", "n", F.col("lists.sig").alias("tokens"), F.expr(f"slice(lists.sig, 1, size(lists) - {least} + 1)").alias("short")))
+    lists = stage(lists.select("id", "n", F.col("lists.sig").alias("tokens"), F.expr(f"slice(lists.sig, 1, size(lists) - {least} + 1)").alias("short")), sweep=True)
     drop_staged(sets)
     drop_staged(shared)
     sets = lists.select("id", "n", "tokens")

@@ -361,10 +361,10 @@ def suffix_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     hashed = rows.select("id", F.sha2("text", 256).alias("sha"), F.octet_length("text").alias("size"))
     known = stage(hashed)
     reps = stage(known.where(f"id is not null and size >= {length}").groupBy("sha").agg(F.min("id").alias("rep")))
-    first = stage(_shared(_anchor_rows(ids, length)))
+    first = stage(_shared(_anchor_rows(ids, length)), sweep=True)
     seen = first.distinct()
     live = seen.join(reps.select(F.col("rep").alias("id")), "id", "left_semi").select("h", "salt", "id", "at").union(seen.where("id is null"))
-    live = stage(_shared(live).where("id is not null").drop("salt"))
+    live = stage(_shared(live).where("id is not null").drop("salt"), sweep=True)
     drop_staged(first)
     bands = live.groupBy("h").agg(F.count("*").alias("k")).select("h", F.when(F.col("k") > hot[1], 1).when(F.col("k") > hot[0], 8).otherwise(length).alias("band"))
     where = live.join(bands, "h").groupBy("id").agg(F.collect_list(F.struct("at", "h", "band")).alias("where"))
