@@ -5,15 +5,18 @@ has one piece that occurs exactly.  All pieces of all items form one
 Aho-Corasick automaton; each hit proposes where the item would start, and
 Myers' bit-parallel distance verifies the stretch around it.
 
-Items come to the driver in blocks of at most ``block_chars`` characters, and
-each block is one pass over the texts, so what the tasks hold is bounded
-however many items there are.  No shuffle but one aggregation of the matches.
+Items stream through the driver, which holds one block of at most
+``block_chars`` characters of them; each block is one pass over the texts whose
+matches are written before the next block is read, so neither the driver nor a
+task holds more than a block however many items there are.  No shuffle but one
+aggregation of the matches.
 
 Defined cases: matching ignores letter case and takes any white space as a
-space; null and empty texts match nothing; null items, and items shorter than
-``min_item_chars``, are no evidence and are skipped; equal items are reported
-under each id; rows that repeat an id are reported once with their best match;
-long texts are searched whole; empty tables give an empty result.
+space; null and empty texts match nothing; null and blank items are skipped;
+items too short for an error are searched as they are; equal items are reported
+under each id; rows that repeat an id are reported once with their best match,
+and of equally good matches the first; long texts are searched whole; other
+columns, whatever their names, are ignored; empty tables give an empty result.
 """
 
 from __future__ import annotations
@@ -26,6 +29,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import stage
+
 _WHITE = re.compile(r"[\t\n\r\x0b\x0c\xa0]")
 
 
@@ -113,7 +118,7 @@ def _automaton(items: tuple[str, ...], budgets: tuple[int, ...]):
     return automaton
 
 
-def contamination(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", error_rate: float = 0.08, min_item_chars: int = 24, block_chars: int = 8_000_000) -> DataFrame:
+def contamination(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", error_rate: float = 0.08, block_chars: int = 8_000_000) -> DataFrame:
     """(id_col, item_id, distance, start, end, n_chars of the item) of every item found in every text.
 
     The error budget of an item is ``floor(error_rate * characters)``.
@@ -121,12 +126,12 @@ def contamination(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id",
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     kind = rows.schema["id"].dataType.simpleString()
     schema = f"id {kind}, item {'long' if items.schema[item_id].dataType.simpleString() in ('bigint', 'int', 'smallint', 'tinyint') else 'string'}, distance int, start int, end int, n_chars int"
-    found, held, size = None, [], 0
+    found, held, size = None, [], 0  # matches so far; the block that is being filled
     item_kind = pa.int64() if items.schema[item_id].dataType.simpleString() in ("bigint", "int", "smallint", "tinyint") else pa.string()
     wanted = items.where(F.col(item_text).isNotNull() & F.col(item_id).isNotNull()).select(item_id, item_text)
 
     def search(block):
-        texts = tuple(normal(t) for _, t in block)
+        texts = tuple(t for _, t in block)
         budgets = tuple(int(error_rate * len(t)) for t in texts)
 
         def run(batches):
@@ -140,20 +145,17 @@ def contamination(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id",
 
         return rows.mapInArrow(run, schema)
 
-    def add(block):
-        nonlocal found
-        got = search(block)
-        found = got if found is None else found.union(got)
-
     for r in wanted.orderBy(item_id, item_text).toLocalIterator():
-        if len(normal(r[1]).strip()) < min_item_chars:
+        text = normal(r[1]).strip()
+        if not text:
             continue
-        if size + len(r[1]) > block_chars and held:
-            add(tuple(held))
-            held, size = [], 0
-        held.append((r[0], r[1].strip()))
-        size += len(r[1])
+        if size + len(text) > block_chars and held:
+            got = stage(search(tuple(held)))
+            found, held, size = got if found is None else found.union(got), [], 0
+        held.append((r[0], text))
+        size += len(text)
     if held or found is None:
-        add(tuple(held))
+        got = search(tuple(held))
+        found = got if found is None else found.union(got)
     best = found.groupBy("id", "item").agg(F.min(F.struct("distance", "start", "end", "n_chars")).alias("m"))
     return best.select(F.col("id").alias(id_col), F.col("item").alias(item_id), F.col("m.distance").alias("distance"), F.col("m.start").alias("start"), F.col("m.end").alias("end"), F.col("m.n_chars").alias("item_chars"))

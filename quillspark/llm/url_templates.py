@@ -5,12 +5,14 @@ wildcards, sibling branches that do not differ statistically are merged, and a
 template is rejected when it has blocked labels and its purity, smoothed
 towards the corpus prior, is high.  Everything is DataFrame algebra over counts: the tree is kept
 as aggregated (host, path shape) rows, so the only full-table steps are one
-partial aggregation and one join back.
+partial aggregation and one join back.  The tree is generalised level by level
+down to its deepest path; a level works on the paths that reach it.
 
 Defined cases: a null url, or one without ``://``, has empty host and path; an
 empty path is the root template; repeated urls count with their multiplicity;
 an empty table gives an empty result; columns of the input other than the id
-and the url are ignored, whatever their names.
+and the url are ignored, whatever their names; of rules that fit, the longest
+wins, and of equally long ones the later in the order of their text.
 """
 
 from __future__ import annotations
@@ -54,7 +56,6 @@ def url_template_filter(
     *,
     id_col: str = "page_id",
     url_col: str = "url",
-    max_depth: int = 5,
     min_children: int = 16,
     variable_ratio: float = 0.25,
     z_merge: float = 1.96,
@@ -68,22 +69,31 @@ def url_template_filter(
     ``min_children`` values and more than ``variable_ratio`` values per url;
     otherwise sibling values whose share of blocked labels is within
     ``z_merge`` standard errors of their pooled share are merged, as are
-    unlabelled siblings.  Segments below ``max_depth`` form one tail ``**``.
+    unlabelled siblings.
     """
     url = F.col(url_col)
     base = pages.select(F.col(id_col).alias("page_id"), host_of(url).alias("host"), path_of(url).alias("path"))
     rule, verdict = match_rules(F.col("host"), F.col("path"), rules)
     base = base.select("*", rule.alias("rule"), verdict.alias("ruled"))
     parts = F.filter(F.split("path", "/"), lambda s: s != "")
-    base = base.withColumn("shape", F.concat_ws("/", F.transform(F.slice(parts, 1, max_depth), shape_of), F.when(F.size(parts) > max_depth, F.lit("**"))))
+    base = base.withColumn("shape", F.array_join(F.transform(parts, shape_of), "/"))
     tree = base.groupBy("host", "shape").agg(
         F.count("*").alias("n"),
         F.count("ruled").alias("labelled"),
         F.count(F.when(F.col("ruled") == "block", 1)).alias("blocked"),
     )
     tree = stage(tree.withColumn("template", F.lit("")).withColumn("segs", F.split("shape", "/")))
-    for depth in range(max_depth + 1):
+    # at a level, paths that end there count as one more child, without a name
+    done, depth = None, 0
+    while tree is not None:
         tree = stage(_generalise(tree, depth, min_children, variable_ratio, z_merge))
+        depth += 1
+        ended = tree.where(F.size("segs") < depth)
+        done = ended if done is None else done.union(ended)
+        tree = tree.where(F.size("segs") >= depth)
+        if tree.isEmpty():
+            tree = None
+    tree = done
     sums = tree.groupBy("host", "template").agg(*(F.sum(c).alias(c) for c in ("n", "labelled", "blocked")))
     got = tree.agg(F.sum("blocked").alias("b"), F.sum("labelled").alias("l")).first()
     prior = ((got["b"] or 0) + 1) / ((got["l"] or 0) + 2)

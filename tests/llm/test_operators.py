@@ -197,7 +197,7 @@ def test_secrets(docs, spark):
 
 def test_contamination(docs, spark):
     text = plain_rows(docs)[42][:400]
-    items = spark.createDataFrame([(1, BASE[40:200]), (2, None), (3, "short"), (4, text[50:250].upper()), (5, BASE[40:200]), (6, prose(40))], "item_id long, text string")
+    items = spark.createDataFrame([(1, BASE[40:200]), (2, None), (3, "zq short"), (4, text[50:250].upper()), (5, BASE[40:200]), (6, prose(40))], "item_id long, text string")
     got = {(r["doc_id"], r["item_id"]): r["distance"] for r in contamination(docs, items, block_chars=300).collect()}
     holders = {i for i, t in plain_rows(docs).items() if BASE[60:190] in t} | {None}
     assert {i for i, k in got if k == 1} == {i for i, k in got if k == 5} and {i for i, k in got if k == 1} >= holders
@@ -205,6 +205,44 @@ def test_contamination(docs, spark):
     assert contamination(docs, items.limit(0)).count() == 0
 
 
+def test_contamination_against_all_distances(docs, spark):
+    """Every item within its budget of some stretch of a text, by the full table of edit distances."""
+    rng = random.Random(8)
+    texts = {i: t for i, t in plain_rows(docs).items() if 0 < len(t) < 1500}
+    items = {}
+    for k in range(30):
+        t = texts[rng.choice(sorted(texts))]
+        n = rng.randint(1, 120)
+        a = rng.randrange(max(1, len(t) - n))
+        item = list(t[a : a + n].strip())
+        for _ in range(rng.randint(0, max(1, len(item) // 8)) if item else 0):
+            at = rng.randrange(len(item))
+            item[at : at + 1] = rng.choice(([], ["z"], [item[at], "q"]))
+            if not item:
+                break
+        items[k] = "".join(item)
+
+    def distance(p, t):
+        row = np.arange(len(p) + 1)
+        best, steps = len(p), np.arange(len(p) + 1)
+        for c in t:
+            cost = np.minimum(row[1:] + 1, row[:-1] + (np.array(list(p)) != c))
+            row = np.minimum.accumulate(np.concatenate(([0], cost)) - steps) + steps
+            best = min(best, int(row[-1]))
+        return best
+
+    clean = lambda s: s.lower().replace("\n", " ").replace("\t", " ")
+    want = {}
+    for k, p in items.items():
+        if p := clean(p).strip():
+            for i, t in texts.items():
+                if (d := distance(p, clean(t))) <= int(0.08 * len(p)):
+                    want[i, k] = d
+    df = docs.where(F.col("doc_id").isin(*texts))
+    got = {(r["doc_id"], r["item_id"]): r["distance"] for r in contamination(df, spark.createDataFrame(list(items.items()), "item_id long, text string"), block_chars=400).collect()}
+    assert got == want
+
+
 def test_packing(docs):
     got = pack(docs, max_len=100, buckets=3, token_budget=300, cell_rows=7).collect()
     total = collections.Counter()
@@ -270,8 +308,73 @@ def test_template_purity(spark):
     assert all(verdict[i] == "block" for i in range(60)) and all(verdict[100 + i] == "allow" for i in range(30))
 
 
+def brute_templates(rows, rules, min_children=16, ratio=0.25, z=1.96, smoothing=5.0, most=0.8):
+    """(template, verdict) of (url) rows by a tree of plain dictionaries, one host at a time."""
+    import re
+
+    judged = []
+    for url in rows:
+        m = re.search(r"://([^/?#]*)([^?#]*)", url or "")
+        host, path = (re.sub("[A-Z]+", lambda x: x[0].lower(), m[1]), m[2]) if m else ("", "")
+        fits = [(len(r), r, v) for r, v in rules if (host == r.split("/", 1)[0] or host.endswith("." + r.split("/", 1)[0])) and path.startswith("/" + r.split("/", 1)[1])]
+        segs = []
+        for x in path.split("/"):
+            x = re.sub(r"^[0-9]+(?=$|\.)", "<n>", x)
+            x = re.sub(r"^(?=[^.]*[0-9])[0-9a-fA-F-]{8,}(?=$|\.)", "<x>", x)
+            segs += [re.sub(r"^(?=[^.<]*[0-9])[^.<]{6,}(?=$|\.)", "<a>", x)] if x else []
+        judged.append((host, tuple(segs), max(fits)[2] if fits else None))
+    name = {(h, s): "" for h, s, _ in judged}
+    for depth in range(max((len(s) for _, s, _ in judged), default=0) + 1):
+        kids = collections.defaultdict(lambda: collections.defaultdict(lambda: [0, 0, 0]))
+        for h, s, v in judged:
+            if len(s) >= depth:
+                k = kids[h, name[h, s]][s[depth] if len(s) > depth else ""]
+                k[0], k[1], k[2] = k[0] + 1, k[1] + (v is not None), k[2] + (v == "block")
+        new = dict(name)
+        for h, s in name:
+            if len(s) > depth:
+                node, seg = kids[h, name[h, s]], s[depth]
+                n, labelled, blocked = (sum(k[i] for k in node.values()) for i in range(3))
+                _, kl, kb = node[seg]
+                share = blocked / max(labelled, 1)
+                if len(node) >= min_children and len(node) > ratio * n:
+                    label = "*"
+                elif seg.startswith("<") or len(node) == 1:
+                    label = seg
+                elif kl == 0:
+                    label = "{unlabelled}"
+                else:
+                    label = "{alike}" if kl < labelled and abs(kb / kl - share) <= z * (share * (1 - share) / kl) ** 0.5 else seg
+                new[h, s] = name[h, s] + "/" + label
+        name = new
+    sums = collections.defaultdict(lambda: [0, 0])
+    for h, s, v in judged:
+        k = sums[h, name[h, s]]
+        k[0], k[1] = k[0] + (v is not None), k[1] + (v == "block")
+    prior = (sum(k[1] for k in sums.values()) + 1) / (sum(k[0] for k in sums.values()) + 2)
+    out = []
+    for h, s, v in judged:
+        labelled, blocked = sums[h, name[h, s]]
+        impure = blocked and (blocked + smoothing * prior) / (labelled + smoothing) >= most
+        out.append((name[h, s], v or ("block" if impure else "allow")))
+    return out
+
+
+@pytest.mark.parametrize("deep", [False, True])
+def test_urls_against_a_tree(spark, deep):
+    """Templates and verdicts of all pages, and of deep urls whose branches part below the seventh segment."""
+    if deep:
+        rng = random.Random(4)
+        urls = [f"http://h{rng.randint(1, 2)}.example.com/a/b/c/d/e/f/{rng.choice('xyz')}/{rng.randint(0, 40)}k/p{i % 23}" for i in range(300)] + ["http://h1.example.com/a", "http://h1.example.com/", None]
+        rules = [("h1.example.com/a/b/c/d/e/f/x/1", "block"), ("h1.example.com/a/b/c/d/e/f/x/2", "block"), ("h2.example.com/a/b/c/d/e/f/y/", "allow")]
+    else:
+        urls, rules = [r["url"] for r in spark.read.parquet(SF.replace("0.001", "0.01") + "/pages.parquet").orderBy("page_id").collect()], Q.RULES
+    got = url_template_filter(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string"), rules).orderBy("page_id").collect()
+    assert [(r["template"], r["verdict"]) for r in got] == brute_templates(urls, rules)
+
+
 EMPTY = [
-    lambda d: ngram_join(d), lambda d: suffix_dedup(d), lambda d: line_run_dedup(d), lambda d: scan_secrets(d), lambda d: pack(d),
+    lambda d: contamination(d, d.select(F.col("doc_id").alias("item_id"), "text")), lambda d: ngram_join(d), lambda d: suffix_dedup(d), lambda d: line_run_dedup(d), lambda d: scan_secrets(d), lambda d: pack(d),
     lambda d: near_vectors(d.select(F.col("doc_id").alias("vec_id"), F.array(F.lit(1.0)).alias("embedding"), F.lit(1).alias("label"))),
     lambda d: url_template_filter(d.select(F.col("doc_id").alias("page_id"), F.col("text").alias("url")), Q.RULES),
 ]
