@@ -15,7 +15,11 @@ survives lost executors.
 * packing: one row for each piece of a document.
 
 Defined cases: rows with a null id pass every filter but can link with
-nothing; null and empty texts are kept until packing, where they get no batch.
+nothing; null and empty texts are kept until packing, where they get no batch;
+rows that repeat an id go or stay together, but for line dedup, where rows with
+other texts are documents of their own; of tied copies the smaller id stays;
+columns other than those of documents are dropped, whatever their names; an
+empty table passes as one.
 """
 
 from __future__ import annotations
