@@ -57,7 +57,7 @@ SYLLABLES = f"CAST(coalesce(list_sum(list_transform({LETTERS}, lambda w: greates
 @query(f"SELECT doc_id, CAST({LINES} AS BIGINT) AS lines, CAST({WORDS} AS BIGINT) AS words, CAST(length(regexp_replace(text, '\\s+', '', 'g')) AS BIGINT) AS chars, CAST(strlen(text) AS BIGINT) AS bytes, CAST(ceil({WORDS} * 60 / 200.0) AS BIGINT) AS reading_secs FROM documents")
 def text_metrics(spark, sf):
     t = F.col("text")
-    return documents(spark, sf).select("doc_id", C.count_lines(t).alias("lines"), C.count_words(t).alias("words"), C.count_chars(t).alias("chars"), F.octet_length(t).cast("long").alias("bytes"), C.reading_time_secs(t).alias("reading_secs"))
+    return N.spread(documents(spark, sf).select("doc_id", "text")).select("doc_id", C.count_lines(t).alias("lines"), C.count_words(t).alias("words"), C.count_chars(t).alias("chars"), F.octet_length(t).cast("long").alias("bytes"), C.reading_time_secs(t).alias("reading_secs"))
 
 
 _READ = f"SELECT doc_id, lang, greatest({WORDS}, 1) AS w, {SENTENCES} AS s, {SYLLABLES} AS y FROM documents"
@@ -71,13 +71,13 @@ def readability(spark, sf):
 
 @query(f"SELECT band, count(*) AS n FROM (SELECT CASE WHEN e >= 90 THEN 'Very Easy' WHEN e >= 80 THEN 'Easy' WHEN e >= 70 THEN 'Fairly Easy' WHEN e >= 60 THEN 'Standard' WHEN e >= 50 THEN 'Fairly Difficult' WHEN e >= 30 THEN 'Difficult' ELSE 'Very Difficult' END AS band FROM (SELECT 206.835 - 1.015 * (w / s) - 84.6 * (y / w) AS e FROM ({_READ}))) GROUP BY band")
 def readability_bands(spark, sf):
-    ease = documents(spark, sf).select(C.readability(F.col("text"))["reading_ease"].alias("ease"))
+    ease = N.spread(documents(spark, sf).select("text")).select(C.readability(F.col("text"))["reading_ease"].alias("ease"))
     return ease.groupBy(C.ease_band(F.col("ease")).alias("band")).agg(F.count("*").alias("n"))
 
 
 @query(f"SELECT lang, CAST(sum({WORDS}) AS BIGINT) AS words, CAST(sum({SYLLABLES}) AS BIGINT) AS syllables, count(*) AS docs FROM documents GROUP BY lang")
 def words_by_lang(spark, sf):
-    return documents(spark, sf).groupBy("lang").agg(F.sum(C.count_words(F.col("text"))).alias("words"), F.sum(C.count_syllables(F.col("text"))).alias("syllables"), F.count("*").alias("docs"))
+    return N.spread(documents(spark, sf).select("lang", "text")).groupBy("lang").agg(F.sum(C.count_words(F.col("text"))).alias("words"), F.sum(C.count_syllables(F.col("text"))).alias("syllables"), F.count("*").alias("docs"))
 
 
 # --- slugs, escapes, white space ---------------------------------------------------
