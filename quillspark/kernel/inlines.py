@@ -27,6 +27,8 @@ _TAG = re.compile(
     r"|<!-->|<!--->|<!--[\s\S]*?-->|<\?[\s\S]*?\?>|<![A-Za-z][^>]*>|<!\[CDATA\[[\s\S]*?\]\]>",
     re.A,
 )
+#: Openers of raw HTML that run to a closer, however far it is.
+_RUNS_TO = (("<!--", "-->"), ("<![CDATA[", "]]>"), ("<!", ">"), ("<?", "?>"))
 _LABEL = re.compile(r"\[((?:[^\[\]\\]|\\.){0,1000})\]", re.S)
 _SHORTCODE = re.compile(r":([A-Za-z0-9_+-]{2,}):")
 _WS = re.compile(r"[ \t]*\n?[ \t]*")
@@ -135,6 +137,7 @@ class Inline:
         self.holder, self.s, self.refs, self.smart, self.codes = holder, text, refs, smart, shortcodes
         self.i, self.last, self.brackets = 0, None, []
         self.no_ticks: dict[int, int] = {}
+        self.last_closer: dict[str, int] = {}
         self.plain = _PLAIN_SMART if smart else _PLAIN
 
     def text(self, literal: str) -> Node:
@@ -216,6 +219,15 @@ class Inline:
             self.i += 1
         return True
 
+    def closes(self) -> bool:
+        """Whether raw HTML that starts here can end at all; each kind of closer is looked for once."""
+        for opener, closer in _RUNS_TO:
+            if self.s.startswith(opener, self.i):
+                if closer not in self.last_closer:
+                    self.last_closer[closer] = self.s.rfind(closer)
+                return self.last_closer[closer] > self.i
+        return True
+
     def angle(self) -> bool:
         s = self.s
         if m := _EMAIL.match(s, self.i):
@@ -224,7 +236,7 @@ class Inline:
         elif m := _URI.match(s, self.i):
             link = self.holder.add(Node("link", at={"url": normalize_uri(m[1]), "title": ""}))
             link.add(Node("text", literal=m[1]))
-        elif m := _TAG.match(s, self.i):
+        elif self.closes() and (m := _TAG.match(s, self.i)):
             self.holder.add(Node("html_inline", literal=m[0]))
         else:
             self.text("<")

@@ -185,3 +185,12 @@ def test_format_text_with_contents():
     assert format_text("# A\n[TOC]: #\n- old\n1. old\n\ntext\n\n## B C") == "# A\n\n[TOC]: #\n\n- [A](#a)\n  - [B C](#b-c)\n\ntext\n\n## B C"
     assert format_text("* a") == "- a"
     assert to_markdown(parse("- a"), bullet="+") == "+ a"
+
+
+@pytest.mark.parametrize("opener", ["a <!-- ", "a <? ", "a <![CDATA[ ", "a <!X "])
+def test_unclosed_html_is_linear(opener):
+    import time
+
+    began = time.time()
+    parse(opener * 8000)
+    assert time.time() - began < 3
