@@ -3,15 +3,19 @@
 Candidate strings are runs of key characters.  Over each one a window slides
 per character class; its Shannon entropy is kept by incremental counts, so one
 step costs two table look-ups however long the window is.  Windows at or above
-the class threshold become spans unless the allow-list covers the candidate.
+the class threshold become spans unless the allow-list covers every part between
+separators that they touch; so a key stays found behind a path or a placeholder.
 
 Defined cases: a null text is an empty one and has no spans; repeated rows are
 scanned each; positions are code points with exclusive ends, whatever the
-length of the text; an empty table gives an empty result.
+length of the text; of spans that start together the kind listed first comes
+first; other columns, whatever their names, are ignored; an empty table gives an
+empty result.
 """
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import math
 import re
@@ -30,8 +34,9 @@ CLASSES = {
     "hexwin": (re.compile(r"[0-9A-Fa-f]{20,}"), 20, 3.0),
     "b64win": (re.compile(r"[A-Za-z0-9+/=_-]{20,}"), 20, 3.9),
 }
-#: Candidates that are no secrets: one class of letters only, path-like, or a placeholder.
-ALLOW = (re.compile(r"[a-z]+|[A-Z]+|[A-Z]?[a-z]+|[0-9]+"), re.compile(r"(?i).*(example|placeholder|xxxx|changeme|lorem).*"), re.compile(r"[-_=+/]+"), re.compile(r"(?:[A-Za-z]+[-_/=+])*[A-Za-z]+"))
+#: The allow-list, for what stands between separators: words, camel case with humps of three letters or more, numbers, placeholders.
+PART = re.compile(r"[^-_=+/]+")
+ALLOW = re.compile(r"[a-z]*(?:[A-Z][a-z]{2,})*|[A-Z]+|[0-9]+|(?i:.*(?:example|placeholder|xxxx|changeme|lorem).*)")
 KINDS = ("assign", "access", "hex", "hexwin", "b64win")
 
 
@@ -72,13 +77,20 @@ def entropy_runs(text: str, window: int, least: float) -> list[tuple[int, int]]:
 
 
 def entropy_spans(text: str) -> list[tuple[str, int, int]]:
+    """High-entropy runs of candidates that touch a part which the allow-list does not cover."""
     found = []
     for m in CANDIDATE.finditer(text):
-        if any(p.fullmatch(m[0]) for p in ALLOW):
+        odd = [p.span() for p in PART.finditer(text, m.start(), m.end()) if not ALLOW.fullmatch(p[0])]
+        if not odd:
             continue
+        ends = [z for _, z in odd]
         for kind, (members, window, least) in CLASSES.items():
             for part in members.finditer(m[0]):
-                found += [(kind, m.start() + part.start() + a, m.start() + part.start() + b) for a, b in entropy_runs(part[0], window, least)]
+                for a, b in entropy_runs(part[0], window, least):
+                    a, b = a + m.start() + part.start(), b + m.start() + part.start()
+                    k = bisect.bisect_right(ends, a)  # the first such part that ends behind the run's start
+                    if k < len(odd) and odd[k][0] < b:
+                        found.append((kind, a, b))
     return found
 
 
