@@ -6,14 +6,17 @@ mixture bound; a small network then minimises the non-negative unbiased risk
 ``pi * R_p+  +  max(0, R_u-  -  pi * R_p-)``.  Inputs are style statistics of
 the whole text; ids, languages, sources and labels are never inputs.
 
-Fitting uses a bounded sample (``fit_rows`` positives and as many unlabelled
-rows, by hash order of the id); only their fixed-width feature rows reach the
-driver.  Scoring is one Arrow pass over all rows without a shuffle.
+The networks are fitted on a bounded sample (``fit_rows`` positives and as many
+unlabelled rows, by hash order of the id); only their fixed-width feature rows
+reach the driver.  The prior is counted over all unlabelled rows.  Scoring is
+one Arrow pass over all rows without a shuffle.
 
 Defined cases: null and empty texts get the score of an all-zero feature row;
-very long texts are read whole; repeated rows score alike; without positives
-or without unlabelled rows the model is constant at the prior 0.5; an empty
-table gives an empty result.
+very long texts are read whole; repeated rows score alike, and an id that
+repeats counts once in the fit and the prior; null ids take no part in them;
+without positives or without unlabelled rows the model is constant at the prior
+0.5; rows that tie at a threshold reach it; other columns, whatever their names,
+are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -147,21 +150,50 @@ class Net:
         return self
 
 
-def estimate_prior(pos: np.ndarray, unl: np.ndarray) -> float:
-    """Share of positives in the unlabelled rows: the least ratio of upper tails U/P over score thresholds, with its confidence slack."""
-    net = Net(pos.shape[1], seed=11).fit(pos[::2], unl[::2], None, epochs=10)
-    p, u = np.sort(net.logit(pos[1::2])), np.sort(net.logit(unl[1::2]))
-    if not len(p) or not len(u):
-        return 0.5
-    at = np.quantile(p, np.linspace(0, 0.9, 46))
-    tail_p, tail_u = 1 - np.searchsorted(p, at) / len(p), 1 - np.searchsorted(u, at) / len(u)
-    slack = np.sqrt(np.log(40) / 2) * (1 / np.sqrt(len(p)) + 1 / np.sqrt(len(u)))
-    best = int(((tail_u + slack) / tail_p).argmin())
-    return float(np.clip(tail_u[best] / tail_p[best], 0.05, 0.99))
+class PriorScore:
+    """A positives-against-unlabelled score, and thresholds from held-back positives, to estimate the class prior with."""
+
+    def __init__(self, pos: np.ndarray, unl: np.ndarray):
+        self.net = Net(pos.shape[1], seed=11).fit(pos[::2], unl, None, epochs=10)
+        p = np.sort(self.net.logit(pos[1::2]))
+        self.n = len(p)
+        self.at = np.quantile(p, np.linspace(0, 0.9, 46)) if self.n else np.zeros(0)
+        self.tail = 1 - np.searchsorted(p, self.at) / max(1, self.n)
+
+    def above(self, x: np.ndarray) -> np.ndarray:
+        """How many thresholds each row reaches."""
+        return np.searchsorted(self.at, self.net.logit(x), "right")
+
+    def prior(self, counts: dict[int, int]) -> float:
+        """Share of positives, given how many unlabelled rows reach how many thresholds.
+
+        It is the least ratio of upper tails, unlabelled to positive, with its
+        confidence slack.
+        """
+        total = sum(counts.values())
+        if not self.n or not total:
+            return 0.5
+        reach = np.array([sum(n for k, n in counts.items() if k > i) for i in range(len(self.at))]) / total
+        slack = np.sqrt(np.log(40) / 2) * (1 / np.sqrt(self.n) + 1 / np.sqrt(total))
+        best = int(((reach + slack) / self.tail).argmin())
+        return float(np.clip(reach[best] / self.tail[best], 0.05, 0.99))
+
+
+def count_above(docs: DataFrame, ids: DataFrame, score: PriorScore) -> dict[int, int]:
+    """Of all ``ids``, how many reach how many thresholds: one pass over the texts, of which only (id, count) rows are shuffled."""
+
+    def run(batches):
+        for b in batches:
+            for start, texts in slices(b):
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(start, len(texts)), pa.array(score.above(style_features(texts)), pa.int32())], names=["doc_id", "above"])
+
+    rows = docs.select("doc_id", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, above int")
+    rows = rows.groupBy("doc_id").agg(F.min("above").alias("above")).join(ids, "doc_id", "left_semi")  # an id counts once
+    return {r["above"]: r["n"] for r in rows.groupBy("above").agg(F.count("*").alias("n")).collect()}
 
 
 def fit_quality(docs: DataFrame, positives: DataFrame, unlabelled: DataFrame, *, fit_rows: int = 12_000) -> tuple[Net | None, float]:
-    """Fit on at most ``fit_rows`` ids of each of two id tables (doc_id); returns the network and the prior."""
+    """Fit on at most ``fit_rows`` ids of each of two id tables (doc_id), with the prior of all unlabelled ids; returns the network and the prior."""
     pick = lambda ids, kind: ids.select("doc_id", F.lit(kind).alias("kind")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit_rows)
     ids = pick(positives, 1).union(pick(unlabelled, 0))
     rows = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"))  # an id counts once
@@ -173,7 +205,8 @@ def fit_quality(docs: DataFrame, positives: DataFrame, unlabelled: DataFrame, *,
     f, kind = f[order], kind[order]
     shuffle = np.random.default_rng(3).permutation(len(kind))
     f, kind = f[shuffle], kind[shuffle]
-    prior = estimate_prior(f[kind == 1], f[kind == 0])
+    score = PriorScore(f[kind == 1], f[kind == 0])
+    prior = score.prior(count_above(docs, unlabelled, score))
     return Net(FEATURES).fit(f[kind == 1], f[kind == 0], prior), prior
 
 
