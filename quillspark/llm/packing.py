@@ -8,8 +8,9 @@ that holds most rows is no bottleneck.
 
 Defined cases: a null or blank text has no tokens; it stays as one row whose
 bucket, batch and slot are null.  Texts above ``max_len`` tokens are cut into
-pieces, none is dropped.  Rows that repeat an id get slots of their own.  An
-empty table gives an empty result.
+pieces, none is dropped.  Rows that repeat an id get slots of their own; tied
+slots of one id may fall to either of its rows.  Other columns, whatever their
+names, are ignored.  An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -89,7 +90,8 @@ def pack(
     last = F.greatest(F.ceil(F.col("total") / max_len), F.lit(1)) - 1
     pieces = docs.select("doc_id", "total", F.explode(F.sequence(F.lit(0).cast("long"), last)).alias("piece"))
     pieces = pieces.select("doc_id", F.col("piece").cast("int"), F.least(F.lit(max_len), F.col("total") - F.col("piece") * max_len).cast("int").alias("n_tokens"))
-    seen = {r["n_tokens"]: r["n"] for r in pieces.where("n_tokens > 0").groupBy("n_tokens").agg(F.count("*").alias("n")).collect()}
+    seen = {r["n_tokens"]: r["n"] for r in pieces.groupBy("n_tokens").agg(F.count("*").alias("n")).collect()}
+    blank = max(1, -(-seen.pop(0, 0) // cell_rows))  # cells of the rows without tokens
     bounds = best_boundaries(list(seen), list(seen.values()), buckets)
     bucket, width, room, cells = (F.lit(None).cast("int") for _ in range(4))
     for i in range(len(bounds) - 1, -1, -1):
@@ -97,7 +99,7 @@ def pack(
         n = sum(v for k, v in seen.items() if (bounds[i - 1] if i else 0) < k <= bounds[i])
         bucket, width = F.when(fits, i).otherwise(bucket), F.when(fits, bounds[i]).otherwise(width)
         room, cells = F.when(fits, max(1, token_budget // bounds[i])).otherwise(room), F.when(fits, -(-n // cell_rows)).otherwise(cells)
-    out = pieces.select("*", bucket.alias("bucket"), width.alias("bucket_len"), room.alias("room"), F.pmod(F.xxhash64("doc_id", "piece"), F.coalesce(cells, F.lit(64)).cast("long")).cast("int").alias("cell"))
+    out = pieces.select("*", bucket.alias("bucket"), width.alias("bucket_len"), room.alias("room"), F.pmod(F.xxhash64("doc_id", "piece"), F.coalesce(cells, F.lit(blank)).cast("long")).cast("int").alias("cell"))
     rank = F.row_number().over(Window.partitionBy("bucket", "cell").orderBy("doc_id", "piece")) - 1
     out = out.withColumn("rank", rank)
     return out.select(
