@@ -221,7 +221,7 @@ def t_occurrence(query: np.ndarray, keys: np.ndarray, firsts: np.ndarray, lens:
     short, long = k[: len(k) - n_long], k[len(k) - n_long :]
     total = int(lens[short].sum())
     at = np.repeat(firsts[short] - np.concatenate(([0], np.cumsum(lens[short])[:-1])), lens[short]) + np.arange(total)
-    merged = np.sort(postings[at])  # the merge of the short lists
+    merged = np.sort(postings[at], kind="stable")  # merges the sorted short lists
     found, counts = np.unique(merged, return_counts=True)
     near = counts >= least - n_long
     found, counts = found[near], counts[near]
