@@ -84,6 +84,12 @@ def test_secrets():
     assert [s[0] for s in secrets.base_spans("token=secret: abcdefabcdefghij")] == []  # the first match fails and uses up the keyword
     assert secrets.entropy_spans("thisisaverylongplainlowercaseword") == []
     assert secrets.entropy_spans("key Zx9Qw3Er7Ty1Ui5Op0As2Df4 end")[0][0] == "b64win"
+    key = "aKdjWqPzLmRtYbVcXsEaGhNu"  # mixed case without a digit
+    for before in ("", "example=", "path/to/placeholder/"):
+        (span,) = secrets.entropy_spans(before + key)
+        assert span[0] == "b64win" and span[2] == len(before) + len(key)
+    for allowed in ("getElementFromDocumentIdentifier", "some-path/to/theBigWholeQuick-brownJumpingFox", "myExampleKeyZx9Qw3Er7Ty1Ui5Op0", "2024-01-30/quick_brown_jumpingFox_over=lazyDogs"):
+        assert secrets.entropy_spans(allowed) == []
 
 
 @settings(max_examples=60, deadline=None)
@@ -175,7 +181,8 @@ def test_pu_risk_separates():
     rng = np.random.default_rng(0)
     pos, neg = rng.normal(1, 1, (3000, 5)), rng.normal(-1.5, 1, (900, 5))
     unl = np.vstack((rng.normal(1, 1, (2100, 5)), neg))
-    prior = pu_quality.estimate_prior(pos, unl)
+    score = pu_quality.PriorScore(pos, unl)
+    prior = score.prior(dict(zip(*(x.tolist() for x in np.unique(score.above(unl), return_counts=True)), strict=True)))
     assert abs(prior - 0.7) < 0.1
     net = pu_quality.Net(5).fit(pos, unl, prior, epochs=15)
     assert net.score(rng.normal(1, 1, (500, 5))).mean() > 0.8 and net.score(rng.normal(-1.5, 1, (500, 5))).mean() < 0.3

@@ -195,6 +195,68 @@ def test_secrets(docs, spark):
     assert scan_secrets(docs).count() == docs.count()
 
 
+def brute_base(text):
+    """The contract's base spans, read letter by letter."""
+    key = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_.=-"
+    fold = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text)
+
+    def run(at, chars):
+        while at < len(text) and text[at] in chars:
+            at += 1
+        return at
+
+    out, i = [], 0
+    while i < len(text):
+        name = next((w for w in ("password", "passwd", "secret", "token", "api_key", "apikey") if fold.startswith(w, i)), None)
+        if name:
+            j = i + len(name)
+            j = run(j + (text[j : j + 1] in ("'", '"')), " ")
+            if text[j : j + 1] in (":", "="):
+                j = run(j + 1, " ")
+                j += text[j : j + 1] in ("'", '"')
+                z = run(j, key)
+                if z > j:
+                    out += [("assign", i, z)] if z - j >= 12 else []
+                    i = z
+                    continue
+        i += 1
+    for kind, start, chars, least in (("access", "AKIA", key[:26] + "0123456789", 18), ("hex", "", "0123456789abcdef", 16)):
+        i = 0
+        while i < len(text):
+            z = run(i + len(start), chars) if text.startswith(start, i) else i
+            out += [(kind, i, z)] if z - i >= least else []
+            i = max(i + 1, z if z > i + len(start) else 0)
+    return sorted(out, key=lambda x: (x[1], ("assign", "access", "hex").index(x[0])))
+
+
+def test_secrets_against_letters(spark):
+    rng = random.Random(5)
+    bits = ["password", "PASSWD", "Secret", "token", "api_key", "ApiKey", "é", "ſecret", " ", "  ", ":", "=", "'", '"', "\n", "\t", "AKIA", "AKIAIOSFODNN7EXAM", "PLE", "deadbeef", "0123456789", "abc", "Zx9Q/w+3", "-", ".", "_"]
+    texts = ["".join(rng.choice(bits) for _ in range(rng.randint(0, 40))) for _ in range(3000)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    want = [",".join(f"{k}:{a}:{b}" for k, a, b in brute_base(t)) for t in texts]
+    got = scan_secrets(df).orderBy("doc_id").collect()
+    assert [r["base"] for r in got] == want and sum(map(bool, want)) > 500
+    assert {k: sum(r["n_" + k] for r in got) for k in ("assign", "access", "hex")} == {k: sum(w.count(k + ":") for w in want) for k in ("assign", "access", "hex")}
+
+
+def test_prior_counts_all_unlabelled(spark):
+    """With ``fit_rows`` below the number of rows, the thresholds are still counted over every unlabelled id, once each."""
+    from quillspark.llm import pu_quality as PU
+
+    rng = random.Random(6)
+    good = lambda: " ".join(rng.choice(WORDS) for _ in range(60)) + "."
+    bad = lambda: " ".join(rng.choice("AB!|") * rng.randint(1, 9) for _ in range(60))
+    rows = [(i, good()) for i in range(120)] + [(i, good() if i % 4 == 0 else bad()) for i in range(120, 520)]
+    df = spark.createDataFrame([*rows, rows[200], (None, bad())], "doc_id long, text string").repartition(3)
+    pos, unl = PU.style_features([t.encode() for _, t in rows[:120]]), PU.style_features([t.encode() for _, t in rows[120:]])
+    score = PU.PriorScore(pos, unl[:50])
+    ids = df.where("doc_id >= 120").select("doc_id").distinct()
+    got = PU.count_above(df, ids, score)
+    assert got == dict(collections.Counter(score.above(unl).tolist()))
+    assert abs(score.prior(got) - 0.25) < 0.1
+
+
 def test_contamination(docs, spark):
     text = plain_rows(docs)[42][:400]
     items = spark.createDataFrame([(1, BASE[40:200]), (2, None), (3, "zq short"), (4, text[50:250].upper()), (5, BASE[40:200]), (6, prose(40))], "item_id long, text string")
