@@ -13,12 +13,24 @@ from pyspark.sql import functions as F
 
 from .scalars import BLOCKED_SCHEMES, DATA_IMAGES, FILTERED_TAGS
 
-# Fixed table: media types by extension.
+# Media types by extension; the first extension of a type is its own.
 MIME = {
-    "html": "text/html", "htm": "text/html", "css": "text/css", "csv": "text/csv", "txt": "text/plain", "md": "text/markdown", "markdown": "text/markdown", "xml": "application/xml",
-    "js": "text/javascript", "json": "application/json", "pdf": "application/pdf", "zip": "application/zip", "gz": "application/gzip", "tex": "application/x-tex",
-    "png": "image/png", "jpg": "image/jpeg", "jpeg": "image/jpeg", "gif": "image/gif", "svg": "image/svg+xml", "webp": "image/webp", "bmp": "image/bmp", "ico": "image/x-icon",
-    "mp3": "audio/mpeg", "wav": "audio/wav", "ogg": "audio/ogg", "mp4": "video/mp4", "webm": "video/webm", "ttf": "font/ttf", "otf": "font/otf", "woff": "font/woff", "woff2": "font/woff2",
+    "txt": "text/plain", "html": "text/html", "htm": "text/html", "css": "text/css", "js": "text/javascript", "json": "application/json", "xml": "application/xml",
+    "md": "text/markdown", "markdown": "text/markdown", "csv": "text/csv", "tsv": "text/tab-separated-values", "rtf": "application/rtf",
+    "png": "image/png", "jpg": "image/jpeg", "jpeg": "image/jpeg", "gif": "image/gif", "bmp": "image/bmp", "webp": "image/webp", "svg": "image/svg+xml", "ico": "image/x-icon",
+    "tiff": "image/tiff", "tif": "image/tiff", "avif": "image/avif", "apng": "image/apng",
+    "pdf": "application/pdf", "doc": "application/msword", "docx": "application/vnd.openxmlformats-officedocument.wordprocessingml.document", "odt": "application/vnd.oasis.opendocument.text",
+    "xls": "application/vnd.ms-excel", "xlsx": "application/vnd.openxmlformats-officedocument.spreadsheetml.sheet",
+    "ppt": "application/vnd.ms-powerpoint", "pptx": "application/vnd.openxmlformats-officedocument.presentationml.presentation",
+    "zip": "application/zip", "gz": "application/gzip", "tar": "application/x-tar", "bz2": "application/x-bzip2", "7z": "application/x-7z-compressed", "rar": "application/vnd.rar",
+    "mp3": "audio/mpeg", "wav": "audio/wav", "ogg": "audio/ogg", "oga": "audio/ogg", "flac": "audio/flac", "aac": "audio/aac", "m4a": "audio/mp4",
+    "mp4": "video/mp4", "webm": "video/webm", "ogv": "video/ogg", "avi": "video/x-msvideo", "mov": "video/quicktime", "mkv": "video/x-matroska",
+    "woff": "font/woff", "woff2": "font/woff2", "ttf": "font/ttf", "otf": "font/otf",
+    "rs": "text/rust", "py": "text/x-python", "java": "text/x-java", "c": "text/x-c", "cpp": "text/x-c++", "h": "text/x-c", "hpp": "text/x-c++", "go": "text/x-go", "rb": "text/x-ruby",
+    "php": "text/x-php", "swift": "text/x-swift", "kt": "text/x-kotlin", "scala": "text/x-scala", "r": "text/x-r", "lua": "text/x-lua", "pl": "text/x-perl",
+    "sh": "text/x-shellscript", "bash": "text/x-shellscript", "zsh": "text/x-shellscript", "fish": "text/x-shellscript", "ps1": "text/x-powershell",
+    "yaml": "text/yaml", "yml": "text/yaml", "toml": "text/toml", "ini": "text/plain", "sql": "text/x-sql", "tex": "text/x-tex", "latex": "text/x-latex", "bib": "text/x-bibtex",
+    "epub": "application/epub+zip", "mobi": "application/x-mobipocket-ebook", "wasm": "application/wasm",
 }
 # Fixed formats: names and aliases of output formats.
 FORMATS = {"html": "html", "htm": "html", "xml": "xml", "latex": "latex", "tex": "latex", "beamer": "beamer", "revealjs": "revealjs", "bibtex": "bibtex", "bib": "bibtex", "commonmark": "commonmark", "markdown": "commonmark", "md": "commonmark"}
@@ -243,6 +255,18 @@ def media_category(m: Column) -> Column:
     return F.split_part(m, F.lit("/"), F.lit(1))
 
 
+def is_image(m: Column) -> Column:
+    return media_category(m) == "image"
+
+
+def is_text(m: Column) -> Column:
+    return media_category(m) == "text"
+
+
+def is_font(m: Column) -> Column:
+    return media_category(m) == "font"
+
+
 def mime_charset(m: Column) -> Column:
     c = F.regexp_extract(m, r'(?i)charset="?([^";\s]+)', 1)
     return F.when(c != "", c)
@@ -272,6 +296,11 @@ def css_text(m: Column) -> Column:
     return F.array_join(F.transform(F.array_sort(F.map_entries(m)), lambda e: F.concat(e["key"], F.lit(": "), e["value"])), "; ")
 
 
+def inline_style(css: Column) -> Column:
+    """The declarations of a style attribute; null where it is blank."""
+    return F.when(F.trim(css) != "", parse_css(css))
+
+
 def merge_css(a: Column, b: Column) -> Column:
     both = lambda m: F.transform(F.map_entries(m), lambda e: F.struct(e["key"].alias("k"), e["value"].alias("v")))
     return _last_wins(F.concat(both(a), both(b)))
@@ -345,6 +374,10 @@ def task_markdown(checked: Column, content: Column) -> Column:
     return F.concat(F.when(checked, "[x] ").otherwise("[ ] "), content)
 
 
+def has_strikethrough(t: Column) -> Column:
+    return t.contains("~~")
+
+
 def struck(t: Column) -> Column:
     return F.regexp_extract_all(t, F.lit(r"(?<!~)~~(?!~)(.+?)(?<!~)~~(?!~)"), 1)
 
@@ -392,6 +425,20 @@ def attribute_map(t: Column) -> Column:
     return _last_wins(F.transform(pairs, lambda p: F.struct(F.split_part(p, F.lit("="), F.lit(1)).alias("k"), F.regexp_replace(F.regexp_replace(p, "^[^=]*=", ""), "^[\"']|[\"']$", "").alias("v"))))
 
 
+def attributes(t: Column) -> Column:
+    """Struct (id, classes, attrs) of a trailing ``{#id .class key=value}``; null where there is none."""
+    return F.when(attribute_block(t).isNotNull(), F.struct(attribute_id(t).alias("id"), attribute_classes(t).alias("classes"), attribute_map(t).alias("attrs")))
+
+
+def attributes_html(a: Column) -> Column:
+    """The struct of :func:`attributes` as HTML attributes with a space before them; other keys in order."""
+    quoted = lambda v: F.replace(F.replace(F.replace(F.replace(v, F.lit("&"), F.lit("&amp;")), F.lit('"'), F.lit("&quot;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+    part = lambda k, v: F.concat(F.lit(" "), k, F.lit('="'), quoted(v), F.lit('"'))
+    own = F.when(a["id"].isNotNull(), part(F.lit("id"), a["id"])).otherwise("")
+    classes = F.when(F.size(a["classes"]) > 0, part(F.lit("class"), F.array_join(a["classes"], " "))).otherwise("")
+    return F.concat(own, classes, F.array_join(F.transform(F.array_sort(F.map_entries(a["attrs"])), lambda e: part(e["key"], e["value"])), ""))
+
+
 def is_definition_line(t: Column) -> Column:
     return t.rlike(r"^\s*:\s+\S")
 
@@ -461,6 +508,13 @@ def get_lines(t: Column, start: int, end: int) -> Column:
     return F.slice(F.split(t, "\n"), start, max(1, end - start + 1))
 
 
+def minimize_indent(t: Column) -> Column:
+    """The text without the white space that all its non-empty lines begin with; ends with no line break."""
+    rows = F.split(F.regexp_replace(t, r"\r?\n$", ""), r"\r?\n")
+    indent = F.array_min(F.transform(F.filter(rows, lambda x: x != ""), lambda x: F.length(F.regexp_extract(x, r"^(\s*)", 1))))
+    return F.when(indent.isNull(), t).otherwise(F.array_join(F.transform(rows, lambda x: F.substr(x, indent + 1)), "\n"))
+
+
 def wrap_text(t: Column, width: int) -> Column:
     """Greedy wrap by characters."""
     step = lambda s, w: F.when(s == "", w).when(F.char_length(F.substring_index(s, "\n", -1)) + 1 + F.char_length(w) <= width, F.concat(s, F.lit(" "), w)).otherwise(F.concat(s, F.lit("\n"), w))

@@ -30,6 +30,7 @@ _TAG = re.compile(
 #: Openers of raw HTML that run to a closer, however far it is.
 _RUNS_TO = (("<!--", "-->"), ("<![CDATA[", "]]>"), ("<!", ">"), ("<?", "?>"))
 _LABEL = re.compile(r"\[((?:[^\[\]\\]|\\.){0,1000})\]", re.S)
+_MATH = re.compile(r"\\.|[{}]|\$+", re.S)
 _SHORTCODE = re.compile(r":([A-Za-z0-9_+-]{2,}):")
 _WS = re.compile(r"[ \t]*\n?[ \t]*")
 _TITLE = re.compile(r'"((?:[^"\\]|\\.)*)"|\'((?:[^\'\\]|\\.)*)\'|\(((?:[^()\\]|\\.)*)\)', re.S)
@@ -355,21 +356,14 @@ class Inline:
             self.text("$" * n)
             self.i += n
             return True
-        depth, j = 0, i + n
-        while j < len(s):
-            ch = s[j]
-            if ch == "\\":
-                j += 2
-                continue
-            depth += (ch == "{") - (ch == "}")
-            if ch == "$" and depth <= 0 and s.startswith("$" * n, j):
-                body = s[i + n : j]
-                if not body.strip() or (n == 1 and (body[0] == " " or body[-1] == " ")):
-                    return False
-                self.holder.add(Node("math", literal=body, at={"display_math": n == 2}))
-                self.i = j + n
+        depth = 0
+        for m in _MATH.finditer(s, i + n):
+            if m[0] in "{}":
+                depth = max(depth + (1 if m[0] == "{" else -1), 0)
+            elif m[0][0] == "$" and depth == 0 and len(m[0]) == n:
+                self.holder.add(Node("math", literal=s[i + n : m.start()], at={"display_math": n == 2}))
+                self.i = m.end()
                 return True
-            j += 1
         return False
 
     def shortcode(self) -> bool:

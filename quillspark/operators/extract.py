@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from typing import Any
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
+from .nodes import parse_nodes
 
 
 def _ordered(nodes: DataFrame, kind: str) -> DataFrame:
@@ -69,6 +72,42 @@ def stats(nodes: DataFrame) -> DataFrame:
     )
 
 
+def document_stats(docs: DataFrame, **options: Any) -> DataFrame:
+    """One row for each document: text metrics, element counts, tasks by state, code languages and reading time.
+
+    The metrics are columns of the text, the counts one aggregation of its
+    nodes; a document without nodes of a kind has 0 there.
+    """
+    kinds = ("document", "heading", "link", "image", "code_block", "code", "list", "item", "block_quote", "thematic_break", "table")
+    n = parse_nodes(docs, kinds=kinds, **options)
+    counts = stats(n)
+    mark = F.coalesce("checked", C.task_marker(F.col("text_content")))
+    tasks = n.where("kind = 'item' and is_task_list").groupBy("doc_id").agg(F.count(F.when(mark, 1)).alias("checked"), F.count(F.when(~mark, 1)).alias("unchecked"))
+    lang = language(F.col("info"))
+    langs = n.where("kind = 'code_block'").groupBy("doc_id", F.when(lang == "", "(none)").otherwise(lang).alias("language")).agg(F.count("*").alias("n"))
+    langs = langs.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("language", "n"))).alias("languages"))
+    t = F.col("text")
+    text = docs.select("doc_id", C.count_lines(t).alias("lines"), C.count_words(t).alias("words"), C.count_chars(t).alias("characters"), F.octet_length(t).alias("bytes"), C.reading_time_secs(t).alias("reading_secs"))
+    out = text.join(counts, "doc_id", "left").join(tasks, "doc_id", "left").join(langs, "doc_id", "left")
+    return out.fillna(0, [c for c in counts.columns if c != "doc_id"] + ["checked", "unchecked"])
+
+
+def as_json(rows: DataFrame, *fields: str) -> DataFrame:
+    """(doc_id, json): the named fields of a document's extracted rows as a JSON list, by their ord."""
+    g = rows.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("ord", F.struct(*fields).alias("x")))).alias("x"))
+    return g.select("doc_id", F.to_json(F.transform("x", lambda r: r["x"])).alias("json"))
+
+
+def tables_csv(rows: DataFrame) -> DataFrame:
+    """(doc_id, csv) of :func:`tables`: cells with quotes, commas or line breaks are quoted; an empty line between tables."""
+    quoted = lambda c: F.when(c.rlike('[",\n]'), F.concat(F.lit('"'), F.replace(c, F.lit('"'), F.lit('""')), F.lit('"'))).otherwise(c)
+    line = F.concat(F.array_join(F.transform("cells", quoted), ","), F.lit("\n"))
+    text = lambda c: F.array_join(F.transform(F.array_sort(F.collect_list(c)), lambda r: r["line"]), "")
+    each = rows.groupBy("doc_id", "table_id").agg(text(F.struct("row_ord", F.expr("not is_header").alias("body"), line.alias("line"))).alias("csv"))
+    g = each.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("table_id", "csv"))).alias("x"))
+    return g.select("doc_id", F.array_join(F.transform("x", lambda r: r["csv"]), "\n\n").alias("csv"))
+
+
 def code_languages(nodes: DataFrame) -> DataFrame:
     lang = language(F.col("info"))
     return nodes.where("kind = 'code_block'").groupBy(F.when(lang == "", "(none)").otherwise(lang).alias("language")).agg(F.count("*").alias("n"))

@@ -111,6 +111,72 @@ def with_siblings(nodes: DataFrame) -> DataFrame:
     return out.join(kids, ["doc_id", "node_id"], "left").withColumn("n_children", F.coalesce("n_children", F.lit(0)))
 
 
+def following_siblings(nodes: DataFrame, of: DataFrame) -> DataFrame:
+    """(of_id, node columns) of the siblings after each node."""
+    return _siblings(nodes, of).where("sibling_ord > of_ord").drop("of_ord")
+
+
+def preceding_siblings(nodes: DataFrame, of: DataFrame) -> DataFrame:
+    """(of_id, node columns) of the siblings before each node."""
+    return _siblings(nodes, of).where("sibling_ord < of_ord").drop("of_ord")
+
+
+def _siblings(nodes: DataFrame, of: DataFrame) -> DataFrame:
+    x = of.select("doc_id", "parent_id", F.col("node_id").alias("of_id"), F.col("sibling_ord").alias("of_ord"))
+    return nodes.join(x, ["doc_id", "parent_id"])
+
+
+def with_has_children(nodes: DataFrame) -> DataFrame:
+    """Adds has_children: in pre-order a subtree that ends after its root holds others."""
+    return nodes.withColumn("has_children", F.col("subtree_end") > F.col("node_id"))
+
+
+def with_list_depth(nodes: DataFrame) -> DataFrame:
+    """Adds list_depth: how many lists enclose each node, counted by two running sums.
+
+    The lists around a node are those that began before it less those that
+    ended before it, so no node meets its ancestors in a join.
+    """
+    begins = F.when(F.col("kind") == "list", 1).otherwise(0)
+    w = Window.partitionBy("doc_id").orderBy("node_id")
+    before = nodes.withColumn("begun", F.sum(begins).over(w.rowsBetween(Window.unboundedPreceding, -1)))
+    ends = nodes.where("kind = 'list'").groupBy("doc_id", (F.col("subtree_end") + 1).alias("node_id")).agg(F.count("*").alias("ends"))
+    out = before.join(ends, ["doc_id", "node_id"], "left").withColumn("ended", F.sum(F.coalesce("ends", F.lit(0))).over(w))
+    return out.withColumn("list_depth", (F.coalesce("begun", F.lit(0)) - F.col("ended")).cast("int")).drop("begun", "ends", "ended")
+
+
+def direct_text(nodes: DataFrame) -> DataFrame:
+    """(doc_id, node_id, text): the texts that are children of a node themselves, in order."""
+    t = nodes.where("kind = 'text'").groupBy("doc_id", F.col("parent_id").alias("node_id"))
+    return t.agg(F.array_sort(F.collect_list(F.struct("sibling_ord", "literal"))).alias("t")).select("doc_id", "node_id", F.array_join(F.transform("t", lambda x: x["literal"]), "").alias("text"))
+
+
+def with_leaves(nodes: DataFrame, added: DataFrame) -> DataFrame:
+    """The node table with new leaves: ``added`` has (doc_id, anchor_id, place, ord, kind, literal).
+
+    ``place`` "child" appends to the anchor, "after" puts the leaf behind it as
+    a sibling; leaves of one place stand by ord.  Ids and intervals are numbered
+    anew by windows over each document; anchors that do not exist add nothing.
+    """
+    at = nodes.select("doc_id", F.col("node_id").alias("anchor_id"), F.col("parent_id").alias("anchor_parent"), F.col("subtree_end").alias("anchor_end"), F.col("depth").alias("anchor_depth"))
+    child = F.col("place") == "child"
+    new = added.join(at, ["doc_id", "anchor_id"]).where(child | F.col("anchor_parent").isNotNull())
+    new = new.select("doc_id", F.col("anchor_end").alias("slot"), (F.col("anchor_depth") + child.cast("int")).alias("depth"), F.when(child, F.col("anchor_id")).otherwise(F.col("anchor_parent")).alias("parent_id"), F.col("anchor_id").alias("by"), "ord", "kind", "literal", F.lit(False).alias("is_block"), F.lit(True).alias("is_leaf"))
+    old = nodes.withColumns({"slot": F.col("node_id"), "by": F.lit(-1), "ord": F.lit(-1)})
+    # behind an old node come what is added below it, the deepest first, and of one parent the leaf that follows a sibling before the one that is appended
+    order = [F.col("slot"), F.col("node_id").isNull(), F.col("depth").desc(), F.col("by").desc(), F.col("ord")]
+    both = old.unionByName(new, allowMissingColumns=True).withColumn("new_id", F.row_number().over(Window.partitionBy("doc_id").orderBy(*order)) - 1)
+    grown = new.groupBy("doc_id", F.col("parent_id").alias("node_id")).agg(F.count("*").alias("grown"))
+    sums = both.where("node_id is not null").join(grown, ["doc_id", "node_id"], "left").select("doc_id", "node_id", "subtree_end", "new_id", F.sum(F.coalesce("grown", F.lit(0))).over(Window.partitionBy("doc_id").orderBy("node_id")).alias("upto"), F.coalesce("grown", F.lit(0)).alias("grown"))
+    last = sums.select("doc_id", F.col("node_id").alias("subtree_end"), F.col("upto").alias("upto_end"))
+    shift = sums.join(last, ["doc_id", "subtree_end"]).select("doc_id", "node_id", F.col("new_id").alias("to_id"), (F.col("new_id") + F.col("subtree_end") - F.col("node_id") + F.col("upto_end") - F.col("upto") + F.col("grown")).cast("int").alias("to_end"))
+    parents = shift.select("doc_id", F.col("node_id").alias("parent_id"), F.col("to_id").alias("to_parent"))
+    out = both.join(shift, ["doc_id", "node_id"], "left").join(parents, ["doc_id", "parent_id"], "left")
+    out = out.withColumns({"node_id": F.col("new_id").cast("int"), "subtree_end": F.coalesce("to_end", "new_id").cast("int"), "parent_id": F.col("to_parent").cast("int")})
+    place = Window.partitionBy("doc_id", "parent_id").orderBy("node_id")
+    return out.withColumn("sibling_ord", F.row_number().over(place) - 1).select(*nodes.columns)
+
+
 def without_subtrees(nodes: DataFrame, roots: DataFrame) -> DataFrame:
     """Unlink: the rows outside the roots' subtrees."""
     r = roots.select("doc_id", F.col("node_id").alias("root_id"), F.col("subtree_end").alias("root_end"))
@@ -123,6 +189,12 @@ def governed_by_heading(nodes: DataFrame) -> DataFrame:
     return nodes.withColumn("heading_id", F.last(F.when(F.col("kind") == "heading", F.col("node_id")), ignorenulls=True).over(w))
 
 
+def first_headings(nodes: DataFrame) -> DataFrame:
+    """(doc_id, node_id, level, text): the first top-level heading of the document, of any level."""
+    h = F.struct("node_id", "level", F.col("text_content").alias("text"))
+    return nodes.where("kind = 'heading' and depth = 1").groupBy("doc_id").agg(F.min_by(h, "node_id").alias("h")).select("doc_id", "h.*")
+
+
 def titles(nodes: DataFrame) -> DataFrame:
     """(doc_id, title): the text of the first level-1 heading of the document."""
     return nodes.where("kind = 'heading' and level = 1 and depth = 1").groupBy("doc_id").agg(F.min_by("text_content", "node_id").alias("title"))
