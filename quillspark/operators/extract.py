@@ -89,6 +89,7 @@ def document_stats(docs: DataFrame, **options: Any) -> DataFrame:
     t = F.col("text")
     text = docs.select("doc_id", C.count_lines(t).alias("lines"), C.count_words(t).alias("words"), C.count_chars(t).alias("characters"), F.octet_length(t).alias("bytes"), C.reading_time_secs(t).alias("reading_secs"))
     out = text.join(counts, "doc_id", "left").join(tasks, "doc_id", "left").join(langs, "doc_id", "left")
+    out = out.withColumn("languages", F.coalesce("languages", F.array().cast(langs.schema["languages"].dataType)))
     return out.fillna(0, [c for c in counts.columns if c != "doc_id"] + ["checked", "unchecked"])
 
 

@@ -18,7 +18,7 @@ for _name, _render in {"html": to_html, "xml": writers.to_xml, "latex": writers.
     register_format(_name, _render)
 
 
-def render(docs: DataFrame, fmt: str = "html", *, id_col: str = "doc_id", text_col: str = "text", extended: bool = False, smart: bool = False, **options: Any) -> DataFrame:
+def render(docs: DataFrame, fmt: str = "html", *, id_col: str = "doc_id", text_col: str = "text", extended: bool = False, smart: bool = False, shortcodes: dict[str, str] | None = None, **options: Any) -> DataFrame:
     """(id_col, body); an unknown format raises here, not in a task."""
     if fmt not in FORMATS:
         raise ValueError(f"unknown format {fmt!r}; known: {sorted(FORMATS)}")
@@ -27,7 +27,7 @@ def render(docs: DataFrame, fmt: str = "html", *, id_col: str = "doc_id", text_c
 
     def run(batches):
         for b in batches:
-            bodies = [write(tree_of(t.as_py(), extended, smart=smart), **options) for t in b.column(1)]
+            bodies = [write(tree_of(t.as_py(), extended, smart=smart, shortcodes=shortcodes), **options) for t in b.column(1)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(bodies, pa.string())], names=["doc", "body"])
 
     return rows.mapInArrow(run, f"doc {rows.schema['doc'].dataType.simpleString()}, body string").withColumnRenamed("doc", id_col)

@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
@@ -17,31 +15,9 @@ from ..operators.render import format_documents, render
 from ..sources.text import read_table
 from ..streaming import streams as S
 from . import corpora as D
+from .registry import ORACLE, QUERIES, documents, nodes_of, pages, query
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    def put(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLE[f.__name__] = sql
-        return f
-
-    return put
-
-
-def table(name: str):
-    return lambda spark, sf: read_table(spark, sf, name)
-
-
-documents, pages = table("documents"), table("pages")
-
-
-def nodes_of(corpus, spark, sf, **options) -> DataFrame:
-    return N.parse_nodes(corpus(spark, sf), **options)
-
+__all__ = ["ORACLE", "QUERIES"]
 
 # --- text metrics ---------------------------------------------------------------
 
