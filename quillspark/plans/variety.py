@@ -193,7 +193,7 @@ def leaves_added(spark, sf):
 # --- whole statistics, JSON and CSV -----------------------------------------------------------------
 
 
-@query(from_words("doc_id, 13::BIGINT AS lines, 19 + len(string_split(t, ' ')) AS words, 77 + length(k) + length(t) AS characters, 1::BIGINT AS headings, 1::BIGINT AS h2, 1::BIGINT AS links, 1::BIGINT AS lists, 3::BIGINT AS list_items, 3::BIGINT AS task_items, 2::BIGINT AS checked, 1::BIGINT AS unchecked, 2::BIGINT AS code_blocks, '(none)=1 py=1' AS languages"))
+@query(from_words("doc_id, 13::BIGINT AS lines, 19 + len(string_split(t, ' ')) AS words, 49 + length(k) + length(replace(t, ' ', '')) AS characters, 1::BIGINT AS headings, 1::BIGINT AS h2, 1::BIGINT AS links, 1::BIGINT AS lists, 3::BIGINT AS list_items, 3::BIGINT AS task_items, 2::BIGINT AS checked, 1::BIGINT AS unchecked, 2::BIGINT AS code_blocks, '(none)=1 py=1' AS languages"))
 def document_stats(spark, sf):
     docs = corpus(spark, sf, "## H {k}\n\n{t} [a](b)\n\n- [x] one\n- [ ] two\n- [X] three\n\n```py x\n1\n```\n\n    indented\n")
     x = X.document_stats(docs)
