@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .collocations import collocations
 from .common import read
 from .decontam import contamination
 from .embed_join import near_vectors
+from .language_id import identify_languages
 from .line_runs import line_run_dedup
 from .ngram_join import ngram_join
 from .packing import pack
@@ -16,6 +18,7 @@ from .secrets import scan_secrets
 from .suffix_dedup import suffix_dedup
 from .toxicity import score_toxicity
 from .url_templates import url_template_filter
+from .vector_codes import vector_codes
 
 RULES = [("com/en/", "block"), ("example.com/en/7", "allow"), ("net/de/", "allow"), ("example.net/de/8", "block"), ("org/es/", "block")]
 
@@ -67,6 +70,19 @@ def op10_subspace_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_vectors(read(spark, sf_dir, "embeddings"))
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(read(spark, sf_dir, "documents"))
+
+
+def op12_language_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    named = identify_languages(read(spark, sf_dir, "documents"), crc_mod(5) != 0)
+    return named.select("doc_id", F.coalesce(crc_mod(5) == 0, F.lit(False)).alias("held_out"), "lang_pred", "score", F.size("spans").cast("long").alias("n_spans"))
+
+
+def op13_hamerly_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes(read(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict:
     return {k: v for k, v in globals().items() if k.startswith("op") and callable(v)}
 
@@ -88,7 +104,40 @@ nodes AS (SELECT vec_id AS id FROM embeddings), {_REACH}
 SELECT vec_id, (SELECT count(*) FROM links WHERE x = vec_id) AS n_links, c AS component_id, vec_id = c AS kept FROM (SELECT n AS vec_id, min(r) AS c FROM reach GROUP BY n)""",
 }
 
+ORACLE["op11_collocations"] = r"""
+WITH pieces AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS p FROM documents),
+words AS (SELECT lang, list_filter(regexp_split_to_array(p, '[\x20\x09]+'), lambda w: w <> '') AS w FROM pieces),
+counts AS MATERIALIZED (SELECT lang, k, phrase, count(*) AS f FROM (SELECT lang, k, unnest(list_transform(range(1, len(w) - k + 2), lambda i: array_to_string(w[i:i + k - 1], ' '))) AS phrase FROM words, (VALUES (1), (2), (3)) AS s(k)) GROUP BY ALL),
+totals AS (SELECT lang, CAST(sum(f) AS BIGINT) AS n FROM counts WHERE k = 1 GROUP BY lang),
+frequent AS MATERIALIZED (SELECT lang, k, phrase, f FROM counts WHERE f >= 10),
+cand AS MATERIALIZED (SELECT lang, phrase, k, f AS a, string_split(phrase, ' ') AS w FROM frequent WHERE k >= 2),
+parts AS MATERIALIZED (SELECT lang, phrase, a, w, 1 AS cut, w[1] AS x, array_to_string(w[2:], ' ') AS y FROM cand UNION ALL SELECT lang, phrase, a, w, 2, array_to_string(w[1:2], ' '), w[3] FROM cand WHERE k = 3),
+cuts AS (SELECT c.lang, c.phrase, c.a, l.f AS l, r.f AS r, c.cut AS k, (1000000::HUGEINT * c.a * c.a) // (l.f::HUGEINT * r.f) AS score FROM parts c JOIN frequent l ON l.lang = c.lang AND l.phrase = c.x JOIN frequent r ON r.lang = c.lang AND r.phrase = c.y),
+best AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+held AS (SELECT DISTINCT c.lang, b.phrase FROM (SELECT lang, a, array_to_string(w[1:2], ' ') AS x FROM cand WHERE k = 3 UNION ALL SELECT lang, a, array_to_string(w[2:3], ' ') FROM cand WHERE k = 3) AS c JOIN frequent b ON b.lang = c.lang AND b.phrase = c.x WHERE 100 * c.a >= 50 * b.f)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, CAST(score AS BIGINT) AS score FROM best ANTI JOIN held USING (lang, phrase) JOIN totals USING (lang) QUALIFY rank <= 2000"""
+
+
+def _codes_sql(parts: int = 16, entries: int = 64, rounds: int = 2, scale: int = 256) -> str:
+    """Rounds of nearest entries and floored means as chained common tables."""
+    sql = f"""WITH kept AS (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(floor({scale}::DOUBLE * x) AS BIGINT)) AS e FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+cut AS (SELECT vec_id, label, p, e[p * len(e) // {parts} + 1:(p + 1) * len(e) // {parts}] AS x FROM kept, range({parts}) AS t(p)),
+book0 AS (SELECT p, row_number() OVER (PARTITION BY p ORDER BY vec_id) - 1 AS c, x FROM cut QUALIFY c < {entries})"""
+    near = "SELECT vec_id, cut.label, cut.p, cut.x, arg_min(c, (d, c)) AS c, min(d) AS d FROM (SELECT vec_id, label, cut.p, cut.x, c, list_sum(list_transform(list_zip(cut.x, book{i}.x), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS d FROM cut JOIN book{i} ON cut.p = book{i}.p) AS cut GROUP BY ALL"
+    for i in range(rounds):
+        sql += f""",
+at{i} AS ({near.format(i=i)}),
+mean{i} AS (SELECT p, c, list(m ORDER BY j) AS x FROM (SELECT p, c, j, (s - ((s % n) + n) % n) // n AS m FROM (SELECT p, c, j, sum(x[j])::HUGEINT AS s, count(*) AS n FROM at{i}, range(1, len(x) + 1) AS t(j) GROUP BY p, c, j)) GROUP BY p, c),
+book{i + 1} AS (SELECT p, c, coalesce(mean{i}.x, book{i}.x) AS x FROM book{i} LEFT JOIN mean{i} USING (p, c))"""
+    return sql + f""",
+last AS ({near.format(i=rounds)}),
+coded AS (SELECT vec_id, label, string_agg(format('{{:02x}}', c), '' ORDER BY p) AS code, CAST(sum(d) AS BIGINT) AS error FROM last GROUP BY vec_id, label)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, (SELECT sha256(string_agg(array_to_string(x, ','), ',' ORDER BY p, c)) FROM book{rounds}) AS codebooks_sha256 FROM coded"""
+
+
+ORACLE["op13_hamerly_codes"] = _codes_sql()
+
 
 def oracle_sql() -> dict[str, str]:
-    """Exact restatements for the similarity joins; the others have none that SQL can run on whole tables."""
+    """Exact restatements of the joins, phrase counts and codes; the others have none that SQL can run on whole tables."""
     return dict(ORACLE)
