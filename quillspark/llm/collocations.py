@@ -226,8 +226,10 @@ def _hashed(words: int, buckets: int):
         for s, _ in _sequences(batches):
             places, counts = np.unique(np.concatenate([_places(s.codes(k)[s.room >= k], buckets) for k in range(1, words + 1)]), return_counts=True)
             bucket = (places >> np.uint64(32)).astype(np.int64)
-            steps = np.diff(places.astype(np.uint32), prepend=np.uint32(0))
             edges = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1], [True]))) if len(bucket) else np.zeros(1, np.int64)
+            keys = places.astype(np.uint32)
+            steps = np.diff(keys, prepend=np.uint32(0))
+            steps[edges[:-1]] = keys[edges[:-1]]  # a bucket's first key stands for itself
             for a in range(0, len(edges) - 1, 1024):
                 part = edges[a : a + 1025]
                 blobs = [pa.compress(planes(steps[x:y]) + planes(counts[x:y]), "zstd", asbytes=True) for x, y in zip(part[:-1], part[1:], strict=True)]
