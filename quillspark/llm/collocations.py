@@ -47,8 +47,8 @@ from pyspark.sql import functions as F
 
 from .common import _BYTE, _powers, mix, stage
 
-#: Text of a shard and of a bucket, rows that a bucket gathers before it adds equal ones up, and bits of the table of frequent hashes.
-SHARD_BYTES, BUCKET_BYTES, MERGE_ROWS, CELLS = 4 << 20, 4 << 20, 1 << 21, 1 << 26
+#: Text of a shard and of a bucket, rows that a bucket gathers before it adds equal ones up, bits of the table of frequent hashes, and its parts.
+SHARD_BYTES, BUCKET_BYTES, MERGE_ROWS, CELLS, SLOTS = 4 << 20, 4 << 20, 1 << 21, 1 << 26, 1 << 16
 BORDERS = b".,;:!?\n\x0b\x0c\r"
 _FOLD = bytes.maketrans(string.ascii_uppercase.encode() + b"\t" + BORDERS, string.ascii_lowercase.encode() + b" " + b"\n" * len(BORDERS))
 
@@ -175,9 +175,16 @@ def phrases_of(s: Sequence, words: int, often=None):
             yield s.of[at], size, pc.binary_join_element_wise(*parts, pa.scalar(b" ", pa.large_binary())), counts[on]
 
 
-def _cells(places: np.ndarray) -> np.ndarray:
+def _slots(buckets: int) -> tuple[int, int]:
+    """Parts of the table of bits, and bits in each; a bucket's phrases are all in one."""
+    slots = min(buckets, SLOTS)
+    return slots, CELLS // slots
+
+
+def _cells(places: np.ndarray, buckets: int) -> np.ndarray:
     """Bits of the table that (bucket, key) pairs, as one number each, belong to."""
-    return (mix(places) % np.uint64(CELLS)).astype(np.int64)
+    slots, span = _slots(buckets)
+    return ((places >> np.uint64(32)) % np.uint64(slots) * np.uint64(span) + mix(places) % np.uint64(span)).astype(np.int64)
 
 
 def _places(codes: np.ndarray, buckets: int) -> np.ndarray:
@@ -247,8 +254,8 @@ def from_planes(raw: bytes, n: int) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(4, n).T).view(np.uint32).ravel()
 
 
-def _frequent(least: int):
-    """Arrow function over (bucket, rows, keys) in the order of buckets: (word, bits) of the table, for keys of ``least`` or more."""
+def _frequent(least: int, buckets: int):
+    """Arrow function over (bucket, rows, keys) in the order of slots and buckets: the bits of each slot, set for keys of ``least`` or more."""
 
     def summed(keys, counts):
         keys, counts = np.concatenate(keys), np.concatenate(counts)
@@ -256,21 +263,26 @@ def _frequent(least: int):
         first = np.flatnonzero(np.concatenate(([True], np.diff(keys[order]) > 0)))
         return [keys[order][first]], [np.add.reduceat(counts[order], first)]
 
-    def bits(bucket, keys, counts):
+    slots, span = _slots(buckets)
+
+    def mark(bits, bucket, keys, counts):
         (keys,), (counts,) = summed(keys, counts)
-        cells = np.unique(_cells((np.uint64(bucket) << np.uint64(32)) | keys[counts >= least].astype(np.uint64)))
-        word = cells >> 6
-        first = np.flatnonzero(np.concatenate(([True], np.diff(word) > 0)) if len(word) else word)
-        held = np.bitwise_or.reduceat(np.uint64(1) << (cells & 63).astype(np.uint64), first) if len(word) else np.zeros(0, np.uint64)
-        return pa.RecordBatch.from_arrays([pa.array(word[first]), pa.array(held.view(np.int64))], names=["word", "bits"])
+        bits[_cells((np.uint64(bucket) << np.uint64(32)) | keys[counts >= least].astype(np.uint64), buckets) % span] = True
+
+    def row(slot, bits):
+        return pa.RecordBatch.from_arrays([pa.array([slot]), pa.array([np.packbits(bits, bitorder="little").tobytes()], pa.binary())], names=["slot", "bits"])
 
     def run(batches):
-        at, keys, counts, rows = None, [], [], 0
+        at, slot, bits, keys, counts, rows = None, None, None, [], [], 0
         for b in batches:
             for bucket, n, blob in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
                 if bucket != at:
                     if keys:
-                        yield bits(at, keys, counts)
+                        mark(bits, at, keys, counts)
+                    if bucket % slots != slot:
+                        if slot is not None:
+                            yield row(slot, bits)
+                        slot, bits = bucket % slots, np.zeros(span, bool)
                     at, keys, counts, rows = bucket, [], [], 0
                 raw = pa.decompress(blob, 8 * n, "zstd", asbytes=True)
                 keys.append(np.cumsum(from_planes(raw[: 4 * n], n), dtype=np.uint32))
@@ -280,17 +292,27 @@ def _frequent(least: int):
                     keys, counts = summed(keys, counts)
                     rows = 0
         if keys:
-            yield bits(at, keys, counts)
+            mark(bits, at, keys, counts)
+            yield row(slot, bits)
 
     return run
 
 
+def bit_table(rows: list, buckets: int) -> np.ndarray:
+    """The bits of all slots as one array, eight to a byte."""
+    slots, span = _slots(buckets)
+    table = np.zeros((slots, span), bool)
+    for r in rows:
+        table[r["slot"]] = np.unpackbits(np.frombuffer(r["bits"], np.uint8), count=span, bitorder="little")
+    return np.packbits(table.ravel(), bitorder="little")
+
+
 def _counted(words: int, buckets: int, table):
     """Arrow function over (group, text): (group, words, phrase, n) of each shard; the row of no words has the group's total."""
 
     def often(codes):
-        cell = _cells(_places(codes, buckets))
-        return (table.value[cell >> 6] >> (cell & 63).astype(np.uint64) & np.uint64(1)).astype(bool)
+        cell = _cells(_places(codes, buckets), buckets)
+        return (table.value[cell >> 3] >> (cell & 7) & 1).astype(bool)
 
     def out(group, size, phrases, counts):
         b = pa.RecordBatch.from_arrays([group, pa.array(np.full(len(counts), size, np.int32)), phrases, pa.array(counts.astype(np.int64))], names=["group", "words", "phrase", "n"])
@@ -313,11 +335,10 @@ def collocations(docs: DataFrame, *, text_col: str = "text", group_col: str = "l
     spark = docs.sparkSession
     held = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(held // BUCKET_BYTES, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    keys = rows.mapInArrow(_hashed(words, buckets), "bucket long, rows long, keys binary").repartition("bucket").sortWithinPartitions("bucket")
-    bits = keys.mapInArrow(_frequent(least), "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toPandas()  # CELLS / 64 rows at most
-    table = np.zeros(CELLS // 64, np.uint64)
-    table[bits["word"].to_numpy(np.int64)] = bits["bits"].to_numpy(np.int64).view(np.uint64)
-    table = spark.sparkContext.broadcast(table)
+    slot = F.col("bucket") % _slots(buckets)[0]
+    keys = rows.mapInArrow(_hashed(words, buckets), "bucket long, rows long, keys binary").repartition(slot).sortWithinPartitions(slot, "bucket")
+    bits = keys.mapInArrow(_frequent(least, buckets), "slot long, bits binary").collect()  # SLOTS rows and CELLS bits at most
+    table = spark.sparkContext.broadcast(bit_table(bits, buckets))
     counts = rows.mapInArrow(_counted(words, buckets, table), "group string, words int, phrase string, n long").groupBy("group", "words", "phrase").agg(F.sum("n").alias("n"))
     common = stage(counts.where((F.col("n") >= least) | (F.col("words") == 0)), sweep=True)
     totals = common.where("words = 0").select("group", F.col("n").alias("total"))
