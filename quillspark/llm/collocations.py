@@ -10,7 +10,7 @@ map-side combining, so a phrase of any number of copies costs a row for each
 task.
 
 Most phrases are rare, and rare ones must not be shuffled as texts.  So a first
-pass counts hashes: a shard sends each bucket the sorted 32-bit keys of its
+pass counts hashes: a shard sends each bucket the sorted 24-bit keys of its
 phrases with their counts, a bucket (one for every ``BUCKET_BYTES`` of text)
 adds them up, and keys of ``least`` occurrences or more set a bit in a table of
 ``CELLS`` bits, 8 MB whatever the input.  Keys that clash only add up to more, so
@@ -188,8 +188,8 @@ def _cells(places: np.ndarray, buckets: int) -> np.ndarray:
 
 
 def _places(codes: np.ndarray, buckets: int) -> np.ndarray:
-    """A hash as its bucket, above 32 bits of key."""
-    return ((codes & np.uint64(0xFFFFFFFF)) % np.uint64(buckets) << np.uint64(32)) | (codes >> np.uint64(32))
+    """A hash as its bucket, above 32 bits that hold a key of 24."""
+    return ((codes & np.uint64(0xFFFFFFFF)) % np.uint64(buckets) << np.uint64(32)) | (codes >> np.uint64(40))
 
 
 def _in_shards(batches):
