@@ -34,13 +34,16 @@ _TASK = re.compile(r"[ \t]*\[[ xX]\](?:[ \t\r\n]|$)")
 class Cursor:
     """A position in a line, in characters and in columns."""
 
-    __slots__ = ("s", "i", "col", "rest")
+    __slots__ = ("s", "i", "col", "rest", "ahead")
 
     def __init__(self, line: str):
         self.s, self.i, self.col, self.rest = line, 0, 0, 0  # rest: columns left of a partly used tab
+        self.ahead: tuple[int, int] | None = None  # what peek found, until it is eaten
 
     def peek(self) -> tuple[int, int]:
-        """(index, column) of the next character that is no blank."""
+        """(index, column) of the next character that is no blank; blanks are walked once, however many blocks look at them."""
+        if self.ahead is not None:
+            return self.ahead
         i, col = self.i, self.col
         if self.rest:
             i, col = i + 1, col + self.rest
@@ -53,7 +56,8 @@ class Cursor:
             else:
                 break
             i += 1
-        return i, col
+        self.ahead = i, col
+        return self.ahead
 
     def indent(self) -> int:
         return self.peek()[1] - self.col
@@ -83,7 +87,7 @@ class Cursor:
         self.rest = 0
 
     def eat(self, chars: int) -> None:
-        self.i, self.col = self.i + chars, self.col + chars
+        self.i, self.col, self.ahead = self.i + chars, self.col + chars, None
 
     def eat_space(self) -> None:
         if self.rest or (self.i < len(self.s) and self.s[self.i] in " \t"):

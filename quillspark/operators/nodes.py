@@ -89,18 +89,83 @@ def children(nodes: DataFrame, parents: DataFrame) -> DataFrame:
     return nodes.join(p, ["doc_id", "parent_id"], "left_semi")
 
 
+def _merged(nodes: DataFrame, marks: DataFrame, run, names: list[tuple[str, str]]) -> DataFrame:
+    """The structural merge: ``run`` sees each document's marks and nodes in pre-order, a mark before its node.
+
+    A document's rows are together and sorted, so one pass with a stack of the
+    intervals that are open, no longer than the tree is deep, meets every
+    (outer, inner) pair it returns and no other.  Rows are (doc_id, node_id,
+    mark end or null, node columns); ``names`` are the columns that ``run`` puts
+    before those of nodes.
+    """
+    rest = [c for c in nodes.columns if c not in ("doc_id", "node_id")]
+    kinds = dict(nodes.dtypes)
+    at = nodes.select("doc_id", "node_id", F.lit(None).cast("int").alias("mark_end"), *rest)
+    on = marks.select("doc_id", "node_id", F.col("subtree_end").alias("mark_end"), *(F.lit(None).cast(kinds[c]).alias(c) for c in rest))
+    both = on.unionByName(at).repartition("doc_id").sortWithinPartitions("doc_id", "node_id", F.col("mark_end").asc_nulls_last())
+    extra = ", ".join(f"{n} {t}" for n, t in names)
+    schema = ", ".join(f"`{c}` {kinds[c]}" for c in ("doc_id", "node_id", *rest))
+    return both.mapInArrow(run, f"{extra}, {schema}").select(*(n for n, _ in names), *nodes.columns)
+
+
+def _columns(b: pa.RecordBatch) -> tuple[list, list, list]:
+    return b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist()
+
+
 def descendants(nodes: DataFrame, roots: DataFrame) -> DataFrame:
-    """(root_id, node columns) of each root's subtree, the root included; an interval join inside a document."""
-    r = roots.select("doc_id", F.col("node_id").alias("root_id"), F.col("subtree_end").alias("root_end"))
-    n = nodes.join(r, "doc_id").where("node_id between root_id and root_end")
-    return n.drop("root_end")
+    """(root_id, node columns) of each root's subtree, the root included; a merge of nested intervals, linear in what it reads and returns.
+
+    Roots that repeat return their subtree as often.
+    """
+
+    def run(batches):
+        doc, open_ = None, []
+        for b in batches:
+            root, row = [], []
+            for i, (d, n, end) in enumerate(zip(*_columns(b), strict=True)):
+                if d != doc:
+                    doc, open_ = d, []
+                while open_ and open_[-1][1] < n:
+                    open_.pop()
+                if end is not None:
+                    open_.append((n, end))
+                else:
+                    root += [r for r, _ in open_]
+                    row += [i] * len(open_)
+            got = b.take(pa.array(row, pa.int64()))
+            yield pa.RecordBatch.from_arrays([pa.array(root, pa.int32()), *(got.column(i) for i in range(got.num_columns) if i != 2)], names=["root_id", *(n for i, n in enumerate(b.schema.names) if i != 2)])
+
+    return _merged(nodes, roots, run, [("root_id", "int")])
 
 
 def ancestors(nodes: DataFrame, of: DataFrame) -> DataFrame:
-    """(of_id, distance, node columns) of the proper ancestors of each node; distance 1 is the parent."""
-    x = of.select("doc_id", F.col("node_id").alias("of_id"), F.col("depth").alias("of_depth"))
-    n = nodes.join(x, "doc_id").where("of_id > node_id and of_id <= subtree_end")
-    return n.withColumn("distance", F.col("of_depth") - F.col("depth")).drop("of_depth")
+    """(of_id, distance, node columns) of the proper ancestors of each node; distance 1 is the parent.  The same merge as in :func:`descendants`."""
+
+    def run(batches):
+        doc, open_ = None, []  # nodes around this place: (last id of the subtree, batch, row)
+        for b in batches:
+            ends = b.column(b.schema.get_field_index("subtree_end")).to_pylist()
+            found: dict[int, tuple[pa.RecordBatch, list, list, list]] = {}
+            for i, (d, n, mark) in enumerate(zip(*_columns(b), strict=True)):
+                if d != doc:
+                    doc, open_ = d, []
+                while open_ and open_[-1][0] < n:
+                    open_.pop()
+                if mark is None:
+                    open_.append((ends[i], b, i))
+                else:
+                    for distance, (_, held, row) in enumerate(reversed(open_), 1):
+                        of_id, far, rows = found.setdefault(id(held), (held, [], [], []))[1:]
+                        of_id.append(n)
+                        far.append(distance)
+                        rows.append(row)
+            if open_:  # of batches before, only the rows that are still open are kept
+                open_ = [(end, held.slice(row, 1), 0) if held is not b else (end, b.slice(row, 1), 0) for end, held, row in open_]
+            for held, of_id, far, rows in found.values():
+                got = held.take(pa.array(rows, pa.int64()))
+                yield pa.RecordBatch.from_arrays([pa.array(of_id, pa.int32()), pa.array(far, pa.int32()), *(got.column(i) for i in range(got.num_columns) if i != 2)], names=["of_id", "distance", *(n for i, n in enumerate(b.schema.names) if i != 2)])
+
+    return _merged(nodes, of, run, [("of_id", "int"), ("distance", "int")])
 
 
 def with_siblings(nodes: DataFrame) -> DataFrame:
@@ -178,9 +243,15 @@ def with_leaves(nodes: DataFrame, added: DataFrame) -> DataFrame:
 
 
 def without_subtrees(nodes: DataFrame, roots: DataFrame) -> DataFrame:
-    """Unlink: the rows outside the roots' subtrees."""
-    r = roots.select("doc_id", F.col("node_id").alias("root_id"), F.col("subtree_end").alias("root_end"))
-    return nodes.join(r, (nodes.doc_id == r.doc_id) & (nodes.node_id >= r.root_id) & (nodes.node_id <= r.root_end), "left_anti")
+    """Unlink: the rows outside the roots' subtrees.
+
+    In pre-order a node is inside one exactly if the furthest end among the roots
+    up to it reaches it: a running maximum over one window, no join by interval.
+    """
+    cut = roots.groupBy("doc_id", "node_id").agg(F.max("subtree_end").alias("cut_end"))
+    w = Window.partitionBy("doc_id").orderBy("node_id").rowsBetween(Window.unboundedPreceding, 0)
+    reach = nodes.join(cut, ["doc_id", "node_id"], "left").withColumn("reach", F.max("cut_end").over(w))
+    return reach.where("reach is null or reach < node_id").select(*nodes.columns)
 
 
 def governed_by_heading(nodes: DataFrame) -> DataFrame:

@@ -14,8 +14,11 @@ from ..kernel.markdown import format_text, to_markdown
 from ..sources.text import FORMATS, register_format
 from .nodes import spread, tree_of
 
-for _name, _render in {"html": to_html, "xml": writers.to_xml, "latex": writers.to_latex, "beamer": writers.to_beamer, "revealjs": writers.to_revealjs, "page": writers.to_page, "bibtex": writers.to_bibtex, "commonmark": to_markdown}.items():
-    register_format(_name, _render)
+for _name, _render, _ext, _mime in (
+    ("page", writers.to_page, "html", "text/html"), ("revealjs", writers.to_revealjs, "html", "text/html"), ("html", to_html, "html", "text/html"), ("xml", writers.to_xml, "xml", "application/xml"),
+    ("beamer", writers.to_beamer, "tex", "application/x-tex"), ("latex", writers.to_latex, "tex", "application/x-tex"), ("bibtex", writers.to_bibtex, "bib", "application/x-bibtex"), ("commonmark", to_markdown, "md", "text/markdown"),
+):
+    register_format(_name, _render, _ext, _mime)
 
 
 def render(docs: DataFrame, fmt: str = "html", *, id_col: str = "doc_id", text_col: str = "text", extended: bool = False, smart: bool = False, shortcodes: dict[str, str] | None = None, **options: Any) -> DataFrame:

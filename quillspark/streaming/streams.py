@@ -2,21 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.nodes import parse_nodes
-
-
-def scratch(spark: SparkSession) -> str:
-    """A folder that all executors share; a temporary one only where none is set and the master is local."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base and not spark.sparkContext.master.startswith("local["):
-        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-    return f"{(base or tempfile.gettempdir()).rstrip('/')}/quillspark-stream/{uuid.uuid4().hex}"
+from ..operators.staging import scratch
 
 
 def stream_table(spark: SparkSession, path: str, files: int = 1000) -> DataFrame:
@@ -56,7 +46,7 @@ def run_to_table(stream: DataFrame, mode: str = "append") -> DataFrame:
     complete mode, over groups without a watermark, returns all of them.
     """
     spark = stream.sparkSession
-    path = scratch(spark)
+    path = scratch(spark, "quillspark-stream")
     out = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{path}/state").trigger(availableNow=True)
     if mode == "complete":  # files cannot be a sink of it: each batch replaces the table
         spark.createDataFrame([], stream.schema).write.parquet(f"{path}/out")
