@@ -302,7 +302,9 @@ def fit_languages(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     """Learn from about ``fit_rows`` rows of each language of ``docs``."""
     rows = docs.where(F.col(lang_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"))
     sizes = rows.groupBy("lang").agg((F.least(F.lit(1.0), fit_rows / F.count("*")) * F.lit(1 << 20)).alias("below"))  # reads no texts
-    picked = rows.join(sizes, "lang").where(F.pmod(F.xxhash64("id"), F.lit(1 << 20)) < F.col("below"))
+    picked = rows.join(F.broadcast(sizes), "lang").where(  # a row for each language, as the model has
+        F.pmod(F.xxhash64("id"), F.lit(1 << 20)) < F.col("below")
+    )
     got = picked.select("lang", "text").mapInArrow(_counts(buckets), "lang string, at long, n long").groupBy("lang", "at").agg(F.sum("n").alias("n")).toPandas()
     langs = sorted(got["lang"].unique())
     counts, letters = np.zeros((len(langs), buckets)), np.zeros((len(langs), len(NAMES)))
