@@ -11,6 +11,8 @@ from collections.abc import Mapping
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from ..kernel import cells
+
 from .scalars import BLOCKED_SCHEMES, DATA_IMAGES, FILTERED_TAGS
 
 # Media types by extension; the first extension of a type is its own.
@@ -481,7 +483,11 @@ def smart_dashes(t: Column) -> Column:
 
 # --- scripts ------------------------------------------------------------------------
 
-CJK = r"[\x{2E80}-\x{303F}\x{3040}-\x{30FF}\x{3100}-\x{312F}\x{3130}-\x{318F}\x{31A0}-\x{31BF}\x{3400}-\x{4DBF}\x{4E00}-\x{9FFF}\x{AC00}-\x{D7AF}\x{F900}-\x{FAFF}\x{FF66}-\x{FF9F}\x{20000}-\x{2FA1F}]"
+def _class(ranges) -> str:
+    return "".join(f"\\x{{{a:X}}}-\\x{{{b:X}}}" for a, b in ranges)
+
+
+CJK = f"[{_class(cells.CJK)}]"
 _WIDE_LETTER = r"[\x{3040}-\x{30FF}\x{3400}-\x{4DBF}\x{4E00}-\x{9FFF}\x{AC00}-\x{D7AF}\x{F900}-\x{FAFF}\x{20000}-\x{2FA1F}]"
 
 
@@ -494,11 +500,39 @@ def cjk_spacing(t: Column) -> Column:
     return F.regexp_replace(t, f"(?<={_WIDE_LETTER})(?=[A-Za-z0-9])|(?<=[A-Za-z0-9])(?={_WIDE_LETTER})", " ")
 
 
+def needs_cjk_spacing(t: Column) -> Column:
+    """Whether :func:`cjk_spacing` would put a space anywhere."""
+    return t.rlike(f"{_WIDE_LETTER}[A-Za-z0-9]|[A-Za-z0-9]{_WIDE_LETTER}")
+
+
+def is_cjk_punctuation(t: Column) -> Column:
+    """Whether a text is one CJK punctuation mark or bracket, or a full-width one."""
+    return t.rlike(r"^[\x{3001}-\x{3003}\x{3008}-\x{3011}\x{3014}-\x{301F}\x{30FB}\x{FF01}-\x{FF0F}\x{FF1A}-\x{FF20}\x{FF3B}-\x{FF3D}\x{FF5B}-\x{FF65}]$")
+
+
+def graphemes(t: Column) -> Column:
+    """The grapheme clusters of a text: what a reader takes for one character."""
+    return F.regexp_extract_all(t, F.lit(r"(?s)(\X)"), 1)
+
+
+# Pictographs below the astral planes that take two columns of themselves.
+_WIDE_SIGNS = ((0x231A, 0x231B), (0x23E9, 0x23EC), (0x23F0, 0x23F0), (0x23F3, 0x23F3), (0x25FD, 0x25FE), (0x2614, 0x2615), (0x2648, 0x2653), (0x267F, 0x267F), (0x2693, 0x2693), (0x26A1, 0x26A1), (0x26AA, 0x26AB), (0x26BD, 0x26BE), (0x26C4, 0x26C5), (0x26CE, 0x26CE), (0x26D4, 0x26D4), (0x26EA, 0x26EA), (0x26F2, 0x26F3), (0x26F5, 0x26F5), (0x26FA, 0x26FA), (0x26FD, 0x26FD), (0x2705, 0x2705), (0x270A, 0x270B), (0x2728, 0x2728), (0x274C, 0x274C), (0x274E, 0x274E), (0x2753, 0x2755), (0x2757, 0x2757), (0x2795, 0x2797), (0x27B0, 0x27B0), (0x27BF, 0x27BF), (0x2B1B, 0x2B1C), (0x2B50, 0x2B50), (0x2B55, 0x2B55))
+_WIDE = ((0x1100, 0x115F), (0x2E80, 0x303E), (0x3041, 0xA4CF), (0xA960, 0xA97C), (0xAC00, 0xD7A3), (0xF900, 0xFAFF), (0xFE30, 0xFE6F), (0xFF01, 0xFF60), (0xFFE0, 0xFFE6), (0x1F300, 0x1F64F), (0x1F680, 0x1FAFF), (0x20000, 0x3FFFD))
+
+
 def display_width(t: Column) -> Column:
-    """Columns on a terminal: wide characters count two, combining marks none."""
-    wide = F.char_length(t) - F.char_length(F.regexp_replace(t, r"[\x{1100}-\x{115F}\x{2E80}-\x{A4CF}\x{AC00}-\x{D7A3}\x{F900}-\x{FAFF}\x{FE30}-\x{FE6F}\x{FF00}-\x{FF60}\x{FFE0}-\x{FFE6}\x{1F300}-\x{1FAFF}\x{20000}-\x{3FFFD}]", ""))
-    marks = F.char_length(t) - F.char_length(F.regexp_replace(t, r"[\p{Mn}\p{Me}\x{200D}\x{FE0F}]", ""))
-    return (F.char_length(t) + wide - marks).cast("int")
+    """Columns on a terminal, a cluster at a time: wide bases, flags and emoji count two, what has no base none.
+
+    Texts of printable ASCII alone are their own width and are not taken apart.
+    """
+    pictured = f"^[#*0-9{_class(cells.PICTOGRAPHS)}].*\\x{{FE0F}}"
+    one = lambda c: (
+        F.when(c.rlike(r"^[\p{Mn}\p{Me}\p{Cc}\p{Cf}\x{FF9E}\x{FF9F}\x{1160}-\x{11FF}\x{1F3FB}-\x{1F3FF}]"), 0)
+        .when(c.rlike(f"^[{_class((cells.FLAGS,))}]"), F.least(F.char_length(c), F.lit(2)))
+        .when(c.rlike(pictured), 2).when(c.rlike(f"^[{_class(cells.PICTOGRAPHS)}].*\\x{{FE0E}}"), 1)
+        .when(c.rlike(f"^[{_class(_WIDE + _WIDE_SIGNS)}]"), 2).otherwise(1)
+    )
+    return F.when(t.rlike(r"^[\x20-\x7E]*$"), F.char_length(t)).otherwise(F.aggregate(graphemes(t), F.lit(0), lambda n, c: n + one(c))).cast("int")
 
 
 # --- lines and tables -------------------------------------------------------------------

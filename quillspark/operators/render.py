@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..kernel import writers
 from ..kernel.html import to_html
-from ..kernel.markdown import format_text, to_markdown
+from ..kernel.markdown import Options, format_text, to_markdown
 from ..sources.text import FORMATS, register_format
 from .nodes import spread, tree_of
 
@@ -36,12 +36,17 @@ def render(docs: DataFrame, fmt: str = "html", *, id_col: str = "doc_id", text_c
     return rows.mapInArrow(run, f"doc {rows.schema['doc'].dataType.simpleString()}, body string").withColumnRenamed("doc", id_col)
 
 
-def format_documents(docs: DataFrame, *, width: int = 0, cjk_spacing: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id_col, body): formatted Markdown; a contents marker keeps its place and gets a new list."""
+def format_documents(docs: DataFrame, *, width: int = 0, cjk_spacing: bool = False, id_col: str = "doc_id", text_col: str = "text", **options: Any) -> DataFrame:
+    """(id_col, body): formatted Markdown; a contents marker keeps its place and gets a new list.
+
+    Further options, handlers of single kinds of nodes among them, are those of
+    :class:`quillspark.kernel.markdown.Options`; wrong ones raise here.
+    """
+    Options(width, cjk_spacing=cjk_spacing, **options)
     rows = spread(docs.select(F.col(id_col).alias("doc"), F.col(text_col).cast("string").alias("text")))
 
     def run(batches):
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([format_text(t.as_py() or "", width, cjk_spacing) for t in b.column(1)], pa.string())], names=["doc", "body"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([format_text(t.as_py() or "", width, cjk_spacing, **options) for t in b.column(1)], pa.string())], names=["doc", "body"])
 
     return rows.mapInArrow(run, f"doc {rows.schema['doc'].dataType.simpleString()}, body string").withColumnRenamed("doc", id_col)

@@ -10,6 +10,7 @@ from ..operators import aggregates as A
 from ..operators import nodes as N
 from ..operators import ordering as O
 from ..operators import sketches as K
+from ..operators.render import format_documents
 from ..operators.staging import scratch, stage
 from ..sources import rendered as R
 from ..sources import text as X
@@ -170,3 +171,45 @@ def nested_list_merge(spark, sf):
     up = N.ancestors(n, items).where("kind = 'list'").groupBy("doc_id", F.col("of_id").alias("node_id")).agg(F.count("*").alias("depth"))
     down = N.descendants(items, items).groupBy("doc_id", F.col("root_id").alias("node_id")).agg(F.count("*").alias("below"))
     return up.join(down, ["doc_id", "node_id"]).select("doc_id", F.expr("cast(row_number() over (partition by doc_id order by node_id) as int)").alias("item"), "depth", "below")
+
+
+# --- characters, breaks and writers of one's own ----------------------------------------------------------------
+
+_ROMAN, _HAN = "abcdefghijklmnopqrstuvwxyz.,;:!?", "一二三四五六七八九十百千上下左右大小中日月水火木金土。，；：！？"
+
+
+@query(rf"""SELECT doc_id, md5(rtrim(regexp_replace(translate(lower(text), '{_ROMAN}', '{_HAN}'), '[^{_HAN}]+', '', 'g'))) AS letters, true AS starts, true AS ends FROM documents WHERE length(regexp_replace(translate(lower(text), '{_ROMAN}', '{_HAN}'), '[^{_HAN}]+', '', 'g')) > 0""")
+def fmt_wrap_cjk(spark, sf):
+    """All documents written in Han signs and wrapped to 60 columns: no sign is lost, no line begins or ends with a mark that may not stand there."""
+    signs = F.regexp_replace(F.translate(F.lower("text"), _ROMAN, _HAN), f"[^{_HAN}]+", "")
+    d = N.spread(documents(spark, sf)).select("doc_id", signs.alias("text")).where("text <> ''")
+    x = format_documents(d, width=60).select("doc_id", "body", F.split("body", "\n").alias("lines"))
+    inner = F.slice("lines", F.lit(2), F.size("lines"))
+    return x.select("doc_id", F.md5(F.replace("body", F.lit("\n"), F.lit(""))).alias("letters"), (~F.exists(inner, lambda v: v.rlike("^[，。；：]"))).alias("starts"), (~F.exists("lines", lambda v: v.rlike(r"[（「《]$"))).alias("ends"))
+
+
+_SIGNS = "é\U0001f1e9\U0001f1ea\U0001f469‍\U0001f467你❤️"
+
+
+@query(rf"""SELECT doc_id, CAST(length(line) + 9 AS INTEGER) AS width, CAST(length(line) + 5 AS INTEGER) AS clusters FROM (SELECT doc_id, regexp_replace(text, '[^\x20-\x7eÀ-ÿ]+', ' ', 'g') AS line FROM documents)""")
+def display_widths(spark, sf):
+    """Columns and clusters of all texts, behind a letter with a combining mark, a flag, a joined emoji, a Han sign and a heart shown as emoji."""
+    t = F.concat(F.lit(_SIGNS), F.regexp_replace("text", r"[^\x20-\x7eÀ-ÿ]+", " "))
+    return N.spread(documents(spark, sf)).select("doc_id", C.display_width(t).alias("width"), F.size(C.graphemes(t)).alias("clusters"))
+
+
+@query(f"""SELECT doc_id, '## ' || upper(source) || chr(10) || chr(10) || line || ' <' || lang || '>' || chr(10) || chr(10) || '* ' || lang AS body FROM (SELECT doc_id, source, lang, rtrim({_DUCK_LINE}) AS line FROM documents)""")
+def fmt_with_handlers(spark, sf):
+    """Formatted with handlers of the caller's for headings and links, and another bullet."""
+    from ..kernel.markdown import BLOCKS
+
+    handlers = {"heading": lambda n, parts, o, w: "## " + BLOCKS["heading"](n, parts, o, w).removeprefix("## ").upper(), "link": lambda n, text, o: f"<{n.at['url']}>"}
+    d = documents(spark, sf).selectExpr("doc_id", f"concat('## ', source, '\\n\\n', rtrim({_SPARK_LINE}), ' [x](', lang, ')\\n\\n- ', lang, '\\n') as text")
+    return format_documents(d, bullet="*", handlers=handlers)
+
+
+@query(f"""SELECT doc_id, source || chr(10) || repeat('-', greatest(3, length(source))) || chr(10) || chr(10) || '1. ' || lang || chr(10) || '2. ' || line AS body FROM (SELECT doc_id, source, lang, rtrim({_DUCK_LINE}) AS line FROM documents)""")
+def fmt_styles(spark, sf):
+    """Headings underlined and lists numbered with points, as the caller's options say."""
+    d = documents(spark, sf).selectExpr("doc_id", f"concat('## ', source, '\\n\\n1) ', lang, '\\n2) ', rtrim({_SPARK_LINE}), '\\n') as text")
+    return format_documents(d, heading="setext", delimiter=".")

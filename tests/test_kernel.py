@@ -137,10 +137,9 @@ def test_wrap_is_optimal(words, width):
     def cost(lines):
         total = 0
         for i, x in enumerate(lines):
-            slack = width - len(" ".join(x))
-            if slack < 0 and len(x) > 1:
-                return float("inf")
-            total += slack * slack * (100 if slack < 0 else 0.1 if i == len(lines) - 1 else 1)
+            last = i == len(lines) - 1
+            slack = width - len(" ".join(x)) - (not last)  # the space at a line's end counts
+            total += 100 * slack * slack if slack < 0 else 0.1 * slack if last else slack * slack
         return total
 
     best = float("inf")

@@ -18,13 +18,12 @@ def rendering(text):
 
 
 def cost(lines):
-    """Squares of the slack, a hundredfold beyond the width, a tenth in the last line; only a single unit may be longer."""
+    """Squares of what a line and the space at its end lack, a hundredfold beyond the width; the last line a tenth of what it lacks."""
     out = 0
     for i, x in enumerate(lines):
-        slack = 80 - len(" ".join(x))
-        if slack < 0 and len(x) > 1:
-            return float("inf")
-        out += slack * slack * (100 if slack < 0 else 0.1 if i == len(lines) - 1 else 1)
+        last = i == len(lines) - 1
+        slack = 80 - len(" ".join(x)) - (not last)
+        out += 100 * slack * slack if slack < 0 else 0.1 * slack if last else slack * slack
     return out
 
 
