@@ -340,29 +340,31 @@ def collocations(docs: DataFrame, *, text_col: str = "text", group_col: str = "l
     bits = keys.mapInArrow(_frequent(least, buckets), "slot long, bits binary").collect()  # SLOTS rows and CELLS bits at most
     table = spark.sparkContext.broadcast(bit_table(bits, buckets))
     counts = rows.mapInArrow(_counted(words, buckets, table), "group string, words int, phrase string, n long").groupBy("group", "words", "phrase").agg(F.sum("n").alias("n"))
-    common = stage(counts.where((F.col("n") >= least) | (F.col("words") == 0)), sweep=True)
+    common = counts.where((F.col("n") >= least) | (F.col("words") == 0)).withColumn("id", F.monotonically_increasing_id())
+    common = stage(common, sweep=True)  # ids stand for phrases from here on, as they are shorter
     totals = common.where("words = 0").select("group", F.col("n").alias("total"))
-    cand = common.where("words >= 2").select("group", "phrase", "words", F.col("n").alias("a"), F.split("phrase", " ").alias("w"))
+    cand = common.where("words >= 2").select("id", "group", "phrase", "words", F.col("n").alias("a"), F.split("phrase", " ").alias("w"))
 
-    def part(first: int, size, cut: int, side: str):
-        return F.struct(F.array_join(F.slice("w", first, size), " ").alias("part"), F.lit(cut).alias("cut"), F.lit(side).alias("side"), size.cast("int").alias("size"))
+    def part(first: int, size, slot: int):
+        return F.struct(F.array_join(F.slice("w", first, size), " ").alias("part"), F.lit(slot).cast("byte").alias("slot"))
 
-    asked = []
+    asked = []  # slot 2k: the first k words, slot 2k + 1: the rest, slot 0: other words inside
     for k in range(1, words):
         longer = F.col("words") > k
-        asked += [F.when(longer, part(1, F.lit(k), k, "l")), F.when(longer, part(k + 1, F.col("words") - k, k, "r"))]
-        asked += [F.when(F.col("words") > k + size, part(k + 1, F.lit(size), 0, "in")) for size in range(2, words - k)]
-    parts = cand.select("group", "phrase", "words", "a", F.explode(F.filter(F.array(*asked), lambda x: x.isNotNull())).alias("p")).select("group", "phrase", "words", "a", "p.*")
+        asked += [F.when(longer, part(1, F.lit(k), 2 * k)), F.when(longer, part(k + 1, F.col("words") - k, 2 * k + 1))]
+        asked += [F.when(F.col("words") > k + size, part(k + 1, F.lit(size), 0)) for size in range(2, words - k)]
+    parts = cand.select("id", "group", "a", F.explode(F.filter(F.array(*asked), lambda x: x.isNotNull())).alias("p")).select("id", "group", "a", "p.*")
     of = common.where("words > 0").select("group", F.col("phrase").alias("part"), F.col("n").alias("f"))
     known = stage(parts.join(of, ["group", "part"]), sweep=True)
     wide = lambda c: F.col(c).cast("decimal(38,0)")
-    cuts = [F.max(F.when((F.col("cut") == k) & (F.col("side") == s), F.col("f"))).alias(f"{s}{k}") for k in range(1, words) for s in ("l", "r")]
-    scored = known.groupBy("group", "phrase").agg(F.first("a").alias("a"), *cuts)
+    cuts = [F.max(F.when(F.col("slot") == 2 * k + r, F.col("f"))).alias(f"{s}{k}") for k in range(1, words) for r, s in enumerate("lr")]
+    scored = known.where("slot > 0").groupBy("id").agg(F.first("a").alias("a"), *cuts)
     scored = scored.withColumn("aa", F.lit(1_000_000).cast("decimal(38,0)") * wide("a") * wide("a"))
     best = F.array_min(F.filter(F.array(*(F.when(F.col(f"l{k}").isNotNull(), F.struct(F.expr(f"aa div (cast(l{k} as decimal(38,0)) * cast(r{k} as decimal(38,0)))").alias("score"), F.lit(k).alias("k"), F.col(f"l{k}").alias("l"), F.col(f"r{k}").alias("r"))) for k in range(1, words))), lambda x: x.isNotNull()))
-    scored = scored.select("group", "phrase", "a", best.alias("b")).select("group", "phrase", "a", "b.l", "b.r", "b.score")
-    held = known.where((F.col("size") >= 2) & (F.lit(100) * F.col("a") >= F.lit(inside) * F.col("f"))).select("group", F.col("part").alias("phrase")).distinct()
-    scored = scored.join(held, ["group", "phrase"], "left_anti")
+    scored = scored.select("id", best.alias("b")).select("id", "b.l", "b.r", "b.score")
+    held = known.where(F.col("part").contains(" ") & (F.lit(100) * F.col("a") >= F.lit(inside) * F.col("f"))).select("group", F.col("part").alias("phrase")).distinct()
+    left = cand.select("id", "group", "phrase", "a").join(held, ["group", "phrase"], "left_anti")
+    scored = left.join(scored, "id").select("group", "phrase", "a", "l", "r", "score")
     order = [F.col("score").desc(), F.col("a").desc(), F.col("phrase")]
     share = F.pmod(F.xxhash64("phrase"), F.lit(64))
     scored = scored.withColumn("share", share).withColumn("rank", F.row_number().over(Window.partitionBy("group", "share").orderBy(*order))).where(F.col("rank") <= top)
