@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Collection
 
 from .tree import Node, walk
 
@@ -51,14 +52,23 @@ def _strike(m: re.Match):
     return node, m.end()
 
 
-def extend(root: Node) -> Node:
-    for item in [n for n in walk(root) if n.kind == "item"]:
+#: What :func:`extend` can add to a tree, each on its own.
+EXTENSIONS = ("tasklist", "footnotes", "strikethrough", "autolink")
+
+
+def extend(root: Node, extensions: Collection[str] = EXTENSIONS) -> Node:
+    """Apply extensions to a parsed tree: task markers, notes and their references, struck text, bare links."""
+    unknown = set(extensions) - set(EXTENSIONS)
+    if unknown:
+        raise ValueError(f"unknown extensions {sorted(unknown)}; known: {', '.join(EXTENSIONS)}")
+    notes = "footnotes" in extensions
+    for item in [n for n in walk(root) if n.kind == "item" and "tasklist" in extensions]:
         para = item.children[0] if item.children else None
         first = para.children[0] if para is not None and para.kind == "paragraph" and para.children else None
         if first is not None and first.kind == "text" and (m := _TASK.match(first.literal)):
             first.literal = first.literal[m.end() :]
             item.at["checked"] = m[1] != " "
-    for para in [n for n in walk(root) if n.kind == "paragraph"]:
+    for para in [n for n in walk(root) if n.kind == "paragraph" and notes]:
         first = para.children[0] if para.children else None
         if first is not None and first.kind == "text" and (m := _DEFINITION.match(first.literal)) and para.parent is not None:
             first.literal = first.literal[m.end() :]
@@ -66,7 +76,9 @@ def extend(root: Node) -> Node:
             note = Node("footnote_definition", parent=para.parent, at={"footnote_name": m[1]}, pos=para.pos)
             para.parent.children[k] = note
             note.add(para)
-    for pattern, make in ((_NOTE, lambda m: (Node("footnote_reference", at={"footnote_name": m[1]}), m.end())), (_STRUCK, _strike), (_BARE, _link)):
+    for name, pattern, make in (("footnotes", _NOTE, lambda m: (Node("footnote_reference", at={"footnote_name": m[1]}), m.end())), ("strikethrough", _STRUCK, _strike), ("autolink", _BARE, _link)):
+        if name not in extensions:
+            continue
         for node in [n for n in walk(root) if n.kind == "text" and n.parent is not None and n.parent.kind not in ("link", "image")]:
             _split(node, pattern, make)
     return root

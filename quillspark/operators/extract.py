@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import columns as C
 from .nodes import parse_nodes
+from .staging import stage
 
 
 def _ordered(nodes: DataFrame, kind: str) -> DataFrame:
@@ -76,10 +77,10 @@ def document_stats(docs: DataFrame, **options: Any) -> DataFrame:
     """One row for each document: text metrics, element counts, tasks by state, code languages and reading time.
 
     The metrics are columns of the text, the counts one aggregation of its
-    nodes; a document without nodes of a kind has 0 there.
+    nodes, which are parsed once and staged; a document without nodes of a kind has 0 there.
     """
     kinds = ("document", "heading", "link", "image", "code_block", "code", "list", "item", "block_quote", "thematic_break", "table")
-    n = parse_nodes(docs, kinds=kinds, **options)
+    n = stage(parse_nodes(docs, kinds=kinds, columns=("kind", "level", "text_content", "is_task_list", "checked", "info"), **options))
     counts = stats(n)
     mark = F.coalesce("checked", C.task_marker(F.col("text_content")))
     tasks = n.where("kind = 'item' and is_task_list").groupBy("doc_id").agg(F.count(F.when(mark, 1)).alias("checked"), F.count(F.when(~mark, 1)).alias("unchecked"))

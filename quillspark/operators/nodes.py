@@ -7,6 +7,7 @@ would make few tasks, dealt out before (:func:`spread`).
 
 from __future__ import annotations
 
+from collections.abc import Collection
 from typing import Any
 
 import pyarrow as pa
@@ -17,7 +18,6 @@ from ..kernel.blocks import parse
 from ..kernel.tree import FIELDS, Node, rows_of
 
 _ARROW = {"int": pa.int32(), "string": pa.string(), "boolean": pa.bool_(), "array<string>": pa.list_(pa.string())}
-NODE_SCHEMA = ", ".join(f"{n} {t}" for n, t in FIELDS)
 CHUNK_NODES = 20_000
 
 
@@ -31,15 +31,31 @@ def within_limits(t: Column, max_bytes: int | None = None, max_line: int | None
     return F.coalesce(ok, F.lit(True))
 
 
-def tree_of(text: str | None, extended: bool = False, **options: Any) -> Node:
+def tree_of(text: str | None, extended: bool | Collection[str] = False, **options: Any) -> Node:
+    """The tree of a text; ``extended`` names extensions (:data:`quillspark.kernel.extended.EXTENSIONS`), True means all."""
     root = parse(text or "", **options)
     if extended:
-        from ..kernel.extended import extend
+        from ..kernel.extended import EXTENSIONS, extend
 
-        extend(root)
+        extend(root, EXTENSIONS if extended is True else extended)
     return root
 
 
+def within(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", max_bytes: int | None = None, max_line: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """(documents inside the limits, (id_col, bytes, longest_line, reason) of those outside), so that no text is lost from sight.
+
+    ``max_bytes`` bounds a text, ``max_line`` its longest line, both in bytes.
+    The parser is linear in both, but one text is one task's.
+    """
+    t = F.coalesce(F.col(text_col), F.lit(""))
+    longest = F.array_max(F.transform(F.split(t, "\n"), F.octet_length))
+    over = [(F.octet_length(t) > F.lit(max_bytes), "text") if max_bytes is not None else None, (longest > F.lit(max_line), "line") if max_line is not None else None]
+    reason = F.coalesce(*(F.when(c, F.lit(x)) for c, x in filter(None, over)), F.lit(None).cast("string"))
+    inside = docs.where(within_limits(F.col(text_col), max_bytes, max_line))
+    outside = docs.where(~within_limits(F.col(text_col), max_bytes, max_line))
+    return inside, outside.select(id_col, F.octet_length(t).alias("bytes"), longest.alias("longest_line"), reason.alias("reason"))
+
+
 def spread(rows: DataFrame) -> DataFrame:
     """Deal the rows out where fewer tasks would read them than the cluster runs at once.
 
@@ -54,8 +70,16 @@ def spread(rows: DataFrame) -> DataFrame:
     return rows.repartition(cores) if 0 < len(rows.inputFiles()) < cores else rows
 
 
-def parse_nodes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", extended: bool = False, smart: bool = False, shortcodes: dict[str, str] | None = None, kinds: tuple[str, ...] = ()) -> DataFrame:
-    """(id_col, node columns): the tree of every document, pre-order ids and nested intervals; with ``kinds``, only nodes of those."""
+def parse_nodes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", extended: bool | Collection[str] = False, smart: bool = False, shortcodes: dict[str, str] | None = None, kinds: tuple[str, ...] = (), columns: tuple[str, ...] = ()) -> DataFrame:
+    """(id_col, node columns): the tree of every document, pre-order ids and nested intervals.
+
+    With ``kinds`` only nodes of those leave the kernel, with ``columns`` only
+    those columns of theirs.
+    """
+    wanted = [(i, f) for i, f in enumerate(FIELDS) if not columns or f[0] in columns]
+    if len(wanted) < len(set(columns)):
+        raise ValueError(f"unknown columns {sorted(set(columns) - {n for n, _ in FIELDS})}")
+    keep, fields = [i for i, _ in wanted], [f for _, f in wanted]
     rows = spread(docs.select(F.col(id_col).alias("doc"), F.col(text_col).cast("string").alias("text")))
     kind, at = rows.schema["doc"].dataType.simpleString(), [n for n, _ in FIELDS].index("kind")
 
@@ -64,8 +88,8 @@ def parse_nodes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
             key, out = [], []
 
             def flush(key, out, like=b.schema.field(0).type):
-                cols = list(zip(*out, strict=True)) or [[]] * len(FIELDS)
-                return pa.RecordBatch.from_arrays([pa.array(key, like), *(pa.array(c, _ARROW[t]) for c, (_, t) in zip(cols, FIELDS, strict=True))], names=["doc", *(n for n, _ in FIELDS)])
+                cols = [[r[i] for r in out] for i in keep]
+                return pa.RecordBatch.from_arrays([pa.array(key, like), *(pa.array(c, _ARROW[t]) for c, (_, t) in zip(cols, fields, strict=True))], names=["doc", *(n for n, _ in fields)])
 
             for k, text in zip(b.column(0), b.column(1), strict=True):
                 got = rows_of(tree_of(text.as_py(), extended, smart=smart, shortcodes=shortcodes))
@@ -78,7 +102,7 @@ def parse_nodes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
             if out:
                 yield flush(key, out)
 
-    return rows.mapInArrow(run, f"doc {kind}, {NODE_SCHEMA}").withColumnRenamed("doc", id_col)
+    return rows.mapInArrow(run, f"doc {kind}, " + ", ".join(f"{n} {t}" for n, t in fields)).withColumnRenamed("doc", id_col)
 
 
 # --- navigation ------------------------------------------------------------------

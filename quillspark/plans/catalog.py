@@ -15,7 +15,7 @@ from ..operators.render import format_documents, render
 from ..sources.text import read_table
 from ..streaming import streams as S
 from . import corpora as D
-from .registry import ORACLE, QUERIES, documents, nodes_of, pages, query
+from .registry import ORACLE, QUERIES, documents, nodes_of, nodes_once, pages, query
 
 __all__ = ["ORACLE", "QUERIES"]
 
@@ -208,14 +208,14 @@ def heading_rollup(spark, sf):
 
 @query(f"SELECT {_BLOCK} AS doc_id, CAST(row_number() OVER (PARTITION BY {_BLOCK} ORDER BY c_custkey) AS INTEGER) AS row_ord, CAST(c_custkey AS VARCHAR) AS custkey, c_name AS name, CAST(CAST(c_acctbal AS DECIMAL(15,2)) AS VARCHAR) AS acctbal FROM customer")
 def tables_cells(spark, sf):
-    t = X.tables(nodes_of(D.md_customers, spark, sf)).where("not is_header")
+    t = X.tables(nodes_once(D.md_customers(spark, sf), kinds=("table_row", "table_cell"), columns=("node_id", "parent_id", "sibling_ord", "kind", "text_content", "header_end"))).where("not is_header")
     return t.select("doc_id", "row_ord", *(F.get("cells", F.lit(i)).alias(c) for i, c in enumerate(("custkey", "name", "acctbal"))))
 
 
 @query("SELECT n_name AS nation, count(*) AS customers, CAST(sum(CAST(c_acctbal AS DECIMAL(15,2))) AS DOUBLE) AS acctbal FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY n_name")
 def table_sum(spark, sf):
     """Balances recovered from parsed table cells, under the heading that governs the table."""
-    n = N.governed_by_heading(nodes_of(D.md_customers, spark, sf))
+    n = N.governed_by_heading(nodes_once(D.md_customers(spark, sf), kinds=("heading", "table", "table_row", "table_cell"), columns=("node_id", "parent_id", "sibling_ord", "kind", "text_content", "header_end")))
     tables = n.where("kind = 'table'").select("doc_id", F.col("node_id").alias("table_id"), "heading_id")
     heads = n.where("kind = 'heading'").select("doc_id", F.col("node_id").alias("heading_id"), F.col("text_content").alias("nation"))
     cells = X.tables(n).where("not is_header").select("doc_id", "table_id", F.get("cells", F.lit(2)).cast("decimal(15,2)").alias("v"))
@@ -276,7 +276,7 @@ def list_items_ranked(spark, sf):
 
 @query(f"SELECT doc_id, item_ord AS ord, o_orderstatus = 'F' AS checked, 'order ' || o_orderkey AS text FROM ({_LISTS})")
 def task_items(spark, sf):
-    return X.task_items(nodes_of(D.md_orders, spark, sf))
+    return X.task_items(nodes_of(D.md_orders, spark, sf, kinds=("item",), columns=("node_id", "kind", "text_content", "is_task_list", "checked")))
 
 
 @query(f"SELECT doc_id, item_ord AS ord, true AS checked, 'order ' || o_orderkey AS text FROM ({_LISTS}) WHERE o_orderstatus = 'F'")
@@ -381,14 +381,14 @@ def validate_footnotes(spark, sf):
 @query("SELECT o_custkey AS doc_id, count(*) AS n FROM orders GROUP BY o_custkey")
 def subtree_range_join(spark, sf):
     """Items below bullet lists, by the nested-interval join."""
-    n = nodes_of(D.md_orders, spark, sf)
+    n = nodes_once(D.md_orders(spark, sf))
     d = N.descendants(n, n.where("kind = 'list' and list_type = 'bullet'"))
     return d.where("kind = 'item'").groupBy("doc_id").agg(F.count("*").alias("n"))
 
 
 @query("SELECT doc_id, 'strong' AS kind, 'paragraph' AS parent, 'block_quote' AS grandparent FROM documents")
 def ancestors(spark, sf):
-    n = nodes_of(D.md_docs, spark, sf)
+    n = nodes_once(D.md_docs(spark, sf))
     a = N.ancestors(n, n.where("kind = 'strong'"))
     return a.groupBy("doc_id").agg(F.max(F.when(F.col("distance") == 1, F.col("kind"))).alias("parent"), F.max(F.when(F.col("distance") == 2, F.col("kind"))).alias("grandparent")).select("doc_id", F.lit("strong").alias("kind"), "parent", "grandparent")
 
@@ -402,14 +402,14 @@ def siblings(spark, sf):
 
 @query("SELECT doc_id, 4::BIGINT AS blocks FROM documents")
 def unlink_subtrees(spark, sf):
-    n = nodes_of(D.md_docs, spark, sf)
+    n = nodes_once(D.md_docs(spark, sf))
     rest = N.without_subtrees(n, n.where("kind = 'block_quote'"))
     return rest.where("is_block and depth = 1").groupBy("doc_id").agg(F.count("*").alias("blocks"))
 
 
 @query(f"SELECT url FROM (SELECT {_ENC.format(u='u')} AS url FROM ({_PAGE_LINKS}) WHERE doc_id % 2 = 0) INTERSECT SELECT url FROM (SELECT {_ENC.format(u='u')} AS url FROM ({_PAGE_LINKS}) WHERE doc_id % 2 = 1)")
 def link_set_ops(spark, sf):
-    x = X.links(nodes_of(D.md_pages, spark, sf))
+    x = X.links(nodes_once(D.md_pages(spark, sf), kinds=("link",)))
     return x.where("doc_id % 2 = 0").select("url").intersect(x.where("doc_id % 2 = 1").select("url"))
 
 
@@ -502,10 +502,12 @@ def raw_documents(spark, sf):
     return N.parse_nodes(d).groupBy("kind").agg(F.count("*").alias("n"), F.countDistinct("doc_id").alias("docs"))
 
 
-@query("SELECT page_id AS doc_id, count(*) AS docs FROM pages GROUP BY page_id")
+@query("SELECT page_id AS doc_id, length(split_part(html, chr(10), 1)) AS chars, md5(split_part(html, chr(10), 1)) AS block FROM pages")
 def html_blocks(spark, sf):
-    n = nodes_of(D.md_html, spark, sf)
-    return n.where("kind = 'html_block'").groupBy("doc_id").agg(F.countDistinct("parent_id").alias("docs"))
+    """A page begins with a declaration, so its first block of HTML is its first line, whole and as it stands."""
+    n = nodes_of(D.md_html, spark, sf, kinds=("html_block",), columns=("node_id", "literal"))
+    first = F.rtrim(F.regexp_replace("literal", "\n$", ""))
+    return n.where("node_id = 1").select("doc_id", F.char_length(first).cast("long").alias("chars"), F.md5(first).alias("block"))
 
 
 # --- streams ----------------------------------------------------------------------------------
@@ -591,7 +593,7 @@ def resolved_links(spark, sf):
 
 @query(f"SELECT doc_id, '<nav class=\"toc\">' || chr(10) || '<ul>' || chr(10) || '<li><a href=\"#' || replace(replace(lower(r_name), '_', '-'), ' ', '-') || '\">' || r_name || '</a></li>' || chr(10) || '<ul>' || chr(10) || '<li><a href=\"#' || replace(replace(lower(n_name), '_', '-'), ' ', '-') || '\">' || n_name || '</a></li>' || chr(10) || '</ul>' || chr(10) || '</ul>' || chr(10) || '</nav>' AS html FROM {_CUST}")
 def toc_html(spark, sf):
-    return X.toc_html(nodes_of(D.md_customers, spark, sf))
+    return X.toc_html(nodes_once(D.md_customers(spark, sf), kinds=("heading",)))
 
 
 @query("SELECT c_custkey AS doc_id, '# ' || c_name || chr(10) || chr(10) || '[TOC levels=2 numbered]: #' || chr(10) || chr(10) || '- [1 Bal](#bal)' || chr(10) || chr(10) || '## Bal' || chr(10) || chr(10) || '- x' AS body FROM customer")
@@ -604,7 +606,7 @@ def fmt_with_toc(spark, sf):
 def footnotes(spark, sf):
     k = F.col("o_custkey").cast("string")
     docs = read_table(spark, sf, "orders").select("o_custkey").distinct().select(F.col("o_custkey").alias("doc_id"), F.concat(F.lit("a[^n"), k, F.lit("] b[^n"), k, F.lit("]\n\n[^n"), k, F.lit("]: about "), k, F.lit("\n")).alias("text"))
-    return X.footnotes(N.parse_nodes(docs, extended=True))
+    return X.footnotes(nodes_once(docs, extended=("footnotes",)))
 
 
 @query("SELECT n_nationkey AS doc_id, true AS ok, 'k|na\"me' || chr(10) || n_nationkey || '|' || n_name || ', x' AS rows FROM nation")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import columns as C
 from ..functions import tables as T
 from ..operators import aggregates as A
+from ..operators import extract as V
 from ..operators import nodes as N
 from ..operators import ordering as O
 from ..operators import sketches as K
@@ -213,3 +214,49 @@ def fmt_styles(spark, sf):
     """Headings underlined and lists numbered with points, as the caller's options say."""
     d = documents(spark, sf).selectExpr("doc_id", f"concat('## ', source, '\\n\\n1) ', lang, '\\n2) ', rtrim({_SPARK_LINE}), '\\n') as text")
     return format_documents(d, heading="setext", delimiter=".")
+
+
+# --- whole texts of any script ---------------------------------------------------------------------------------------
+
+_PUNCT = r"([!-/:-@\[-`{-~])"
+
+
+@query(r"""WITH t AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x00-\x08\x0b-\x1f\x7f\x85\xa0\x{2028}\x{2029}\x{feff}]', ' ', 'g') AS text FROM documents)
+SELECT doc_id, len(list_filter(regexp_split_to_array(text, '\n[ \t]*\n\s*'), lambda p: trim(p, ' ' || chr(9) || chr(10)) <> '')) AS paragraphs, md5(trim(regexp_replace(text, '[ \t\n]+', ' ', 'g'))) AS text FROM t""")
+def escaped_documents(spark, sf):
+    """Whole texts, every punctuation mark escaped: accents, signs and marks come back from the parser as they went in, paragraph by paragraph."""
+    text = F.regexp_replace(F.coalesce("text", F.lit("")), r"[\x00-\x08\x0b-\x1f\x7f\x{85}\x{a0}\x{2028}\x{2029}\x{feff}]", " ")
+    md = F.regexp_replace(F.regexp_replace(text, r"(?m)^[ \t]+|[ \t]+$", ""), _PUNCT, r"\\$1")
+    d = documents(spark, sf).select("doc_id", md.alias("text"))
+    n = N.parse_nodes(d, kinds=("document", "paragraph"), columns=("node_id", "kind", "text_alt"))
+    whole = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("kind") == "paragraph", F.struct("node_id", "text_alt")))), lambda x: x["text_alt"]), " ")
+    g = n.groupBy("doc_id").agg(F.count(F.when(F.col("kind") == "paragraph", 1)).alias("paragraphs"), whole.alias("whole"))
+    return g.select("doc_id", "paragraphs", F.md5(F.trim(F.regexp_replace("whole", "[ \t\n]+", " "))).alias("text"))
+
+
+@query(r"""WITH t AS (SELECT doc_id, text, list_max(list_transform(string_split(coalesce(text, ''), chr(10)), lambda x: strlen(x))) AS longest FROM documents)
+SELECT doc_id, coalesce(strlen(text), 0) <= 20000 AND longest <= 2000 AS inside, CASE WHEN coalesce(strlen(text), 0) > 20000 THEN 'text' WHEN longest > 2000 THEN 'line' END AS reason FROM t""")
+def input_limits(spark, sf):
+    """Documents inside the parser's limits are parsed, the others are set aside with the reason; none is lost."""
+    inside, outside = N.within(documents(spark, sf), max_bytes=20_000, max_line=2_000)
+    parsed = N.parse_nodes(inside, kinds=("document",), columns=("kind",)).select("doc_id", F.lit(True).alias("inside"), F.lit(None).cast("string").alias("reason"))
+    return parsed.unionByName(outside.select("doc_id", F.lit(False).alias("inside"), "reason"))
+
+
+@query("SELECT doc_id, name, kind, 1::BIGINT AS n FROM documents, (VALUES ('tasklist', 'item'), ('footnotes', 'footnote_definition'), ('footnotes', 'footnote_reference'), ('strikethrough', 'strikethrough'), ('autolink', 'link')) AS t(name, kind)")
+def extension_switches(spark, sf):
+    """Each extension on its own finds its own nodes in the same texts, and no others."""
+    d = documents(spark, sf).selectExpr("doc_id", "concat('- [x] a', doc_id, ' ~~', lang, '~~ [^n] https://x.org/', doc_id, '\\n\\n[^n]: a note\\n') as text")
+    found = []
+    for name in ("tasklist", "footnotes", "strikethrough", "autolink"):
+        n = N.parse_nodes(d, extended=(name,), columns=("kind", "checked"))
+        hit = n.where("kind in ('strikethrough', 'footnote_definition', 'footnote_reference', 'link') or (kind = 'item' and checked is not null)")
+        found.append(hit.groupBy("doc_id", "kind").agg(F.count("*").alias("n")).select("doc_id", F.lit(name).alias("name"), "kind", "n"))
+    return found[0].union(found[1]).union(found[2]).union(found[3])
+
+
+@query(r"SELECT doc_id, 'warning' AS severity, 'link' AS category, 'Malformed URL: http://' || source || '.org/' || doc_id || '<' || lang AS message FROM documents WHERE false UNION ALL SELECT doc_id, 'error', 'link', 'Empty link URL for text: ' || lang FROM documents")
+def validate_urls(spark, sf):
+    """Outside links are checked one by one; an escaped one is well formed, an empty one is an error."""
+    d = documents(spark, sf).selectExpr("doc_id", "concat('[', source, '](<http://', source, '.org/', doc_id, ' ', lang, '>) [', lang, ']()\\n') as text")
+    return V.validate(N.parse_nodes(d, kinds=V.CHECKED))

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..operators import nodes as N
+from ..operators.staging import stage
 from ..sources.text import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -30,5 +31,10 @@ def table(name: str):
 documents, pages = table("documents"), table("pages")
 
 
+def nodes_once(docs: DataFrame, **options) -> DataFrame:
+    """The node table of documents, staged: for what reads it more than once, which else would parse as often."""
+    return stage(N.parse_nodes(docs, **options))
+
+
 def nodes_of(corpus, spark, sf, **options) -> DataFrame:
     return N.parse_nodes(corpus(spark, sf), **options)

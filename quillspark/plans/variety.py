@@ -16,7 +16,7 @@ from ..functions import columns as C
 from ..operators import extract as X
 from ..operators import nodes as N
 from ..operators.render import format_documents, render
-from .registry import ORACLE, QUERIES, documents, query
+from .registry import ORACLE, QUERIES, documents, nodes_once, query
 
 WORDS = "(SELECT doc_id, CAST(doc_id AS VARCHAR) AS k, coalesce(lang, '') AS l, rtrim('w ' || trim(regexp_replace(coalesce(text, ''), '[^A-Za-z0-9]+', ' ', 'g'))) AS t FROM documents)"
 
@@ -147,7 +147,7 @@ _NEST = "# H {k}\n\n- a {k}\n  - b\n    1. {t}\n  - c\n- d\n\n> - q\n\nend *x* `
 
 @query(from_words("doc_id, unnest(['a ' || k, 'b', t, 'c', 'd', 'q']) AS text, unnest([1, 2, 3, 2, 1, 1]) AS list_depth"))
 def list_depths(spark, sf):
-    n = N.with_list_depth(N.parse_nodes(corpus(spark, sf, _NEST)))
+    n = N.with_list_depth(nodes_once(corpus(spark, sf, _NEST)))
     items = n.where("kind = 'item'").select("doc_id", F.col("node_id").alias("parent_id"), "list_depth")
     texts = n.where("kind = 'paragraph'").select("doc_id", "parent_id", F.col("text_content").alias("text"))
     return items.join(texts, ["doc_id", "parent_id"]).select("doc_id", "text", "list_depth")
@@ -155,7 +155,7 @@ def list_depths(spark, sf):
 
 @query(from_words("doc_id, 'list' AS of_kind, unnest(['before', 'after', 'after']) AS side, unnest(['heading', 'block_quote', 'paragraph']) AS kind"))
 def sibling_rows(spark, sf):
-    n = N.parse_nodes(corpus(spark, sf, _NEST))
+    n = nodes_once(corpus(spark, sf, _NEST))
     of = n.where("kind = 'list' and depth = 1")
     both = N.preceding_siblings(n, of).withColumn("side", F.lit("before")).unionByName(N.following_siblings(n, of).withColumn("side", F.lit("after")))
     return both.select("doc_id", F.lit("list").alias("of_kind"), "side", "kind")
@@ -164,7 +164,7 @@ def sibling_rows(spark, sf):
 @query(from_words("doc_id, 'H ' || k AS first_heading, 1 AS level, 'end   z' AS direct, 'end x  z' AS whole"))
 def direct_texts(spark, sf):
     """The first heading, and the last paragraph's own text beside its whole text."""
-    n = N.parse_nodes(corpus(spark, sf, _NEST))
+    n = nodes_once(corpus(spark, sf, _NEST))
     last = n.where("kind = 'paragraph' and depth = 1").select("doc_id", "node_id", F.col("text_content").alias("whole"))
     own = last.join(N.direct_text(n), ["doc_id", "node_id"]).select("doc_id", F.col("text").alias("direct"), "whole")
     return N.first_headings(n).select("doc_id", F.col("text").alias("first_heading"), "level").join(own, "doc_id")
@@ -180,7 +180,7 @@ def subtree_sizes(spark, sf):
 @query(from_words("doc_id, CAST(unnest(range(1, 10)) AS INTEGER) AS node_id, unnest(['heading', 'text', 'text', 'text', 'thematic_break', 'paragraph', 'text', 'text', 'thematic_break']) AS kind, unnest([0, 1, 1, 1, 0, 0, 6, 6, 0]) AS parent_id, unnest([4, 2, 3, 4, 5, 8, 7, 8, 9]) AS subtree_end, unnest([0, 0, 1, 2, 1, 2, 0, 1, 3]) AS sibling_ord, unnest([NULL, 'H', 'behind ' || k, 'last', NULL, NULL, t, 'more', NULL]) AS literal"))
 def leaves_added(spark, sf):
     """Leaves appended to and put behind nodes; ids and intervals are numbered anew."""
-    n = N.parse_nodes(corpus(spark, sf, "# H\n\n{t}\n"))
+    n = nodes_once(corpus(spark, sf, "# H\n\n{t}\n"))
     leaf = lambda kind, literal: F.struct(F.lit(kind).alias("kind"), F.lit(literal).cast("string").alias("literal"))
     put = [(1, "child", 0, leaf("text", "last")), (1, "after", 0, leaf("thematic_break", None)), (3, "child", 0, leaf("text", "more")), (0, "child", 0, leaf("thematic_break", None))]
     added = documents(spark, sf).select("doc_id", F.explode(F.array(
