@@ -6,10 +6,13 @@ mixture bound; a small network then minimises the non-negative unbiased risk
 ``pi * R_p+  +  max(0, R_u-  -  pi * R_p-)``.  Inputs are style statistics of
 the whole text; ids, languages, sources and labels are never inputs.
 
-The networks are fitted on a bounded sample (``fit_rows`` positives and as many
-unlabelled rows, by hash order of the id); only their fixed-width feature rows
-reach the driver.  The prior is counted over all unlabelled rows.  Scoring is
-one Arrow pass over all rows without a shuffle.
+At most ``fit_rows`` positives are used, by hash order of the id.  The features of
+all unlabelled rows are staged once; the prior is counted over all of them.  The
+network begins from a fit on ``fit_rows`` of them and is then moved by ``rounds``
+steps of Adam on the risk of all: each round is one pass over the staged
+features that returns sums of the loss and of its gradient, so the driver holds
+the positives' features, the first sample's, and one number for each weight.
+Scoring is one Arrow pass over all rows without a shuffle.
 
 Defined cases: null and empty texts get the score of an all-zero feature row;
 very long texts are read whole; repeated rows score alike, and an id that
@@ -26,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, words_of
+from .common import drop_staged, slices, stage, words_of
 
 _CLASS = np.full(256, 5, np.uint8)  # 5: other symbols
 for _i in range(256):
@@ -110,8 +113,16 @@ class Net:
         a = np.tanh(x @ self.p[0] + self.p[1])
         return a, a @ self.p[2] + self.p[3][0]
 
+    def scaled(self, x: np.ndarray) -> np.ndarray:
+        return np.clip((x - self.mean) / self.sd, -8, 8)
+
+    def gradient(self, x: np.ndarray, a: np.ndarray, g: np.ndarray) -> list[np.ndarray]:
+        """By each weight, where ``g`` is the gradient by each row's logit and ``a`` its hidden units."""
+        d = np.outer(g, self.p[2]) * (1 - a * a)
+        return [x.T @ d, d.sum(0), a.T @ g, np.array([g.sum()])]
+
     def logit(self, x: np.ndarray) -> np.ndarray:
-        return self._forward(np.clip((x - self.mean) / self.sd, -8, 8))[1]
+        return self._forward(self.scaled(x))[1]
 
     def score(self, x: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(self.logit(x), -30, 30)))
@@ -120,7 +131,7 @@ class Net:
         """``prior`` None: plain positives-against-unlabelled training, for the prior estimate."""
         both = np.vstack((pos, unl))
         self.mean, self.sd = both.mean(0), both.std(0) + 1e-6
-        pos, unl = (np.clip((x - self.mean) / self.sd, -8, 8) for x in (pos, unl))
+        pos, unl = self.scaled(pos), self.scaled(unl)
         m, v, t = [np.zeros_like(p) for p in self.p], [np.zeros_like(p) for p in self.p], 0
         steps = max(1, max(len(pos), len(unl)) // batch)
         for epoch in range(epochs):
@@ -136,11 +147,7 @@ class Net:
                         gp, gu = prior * ((sp - 1) - sp) / batch, su / batch
                     else:  # step back from a negative risk of the negatives
                         gp, gu = prior * sp / batch, -su / batch
-                grads = [0, 0, 0, 0]
-                for x, a, g in ((xp, ap, gp), (xu, au, gu)):
-                    d = np.outer(g, self.p[2]) * (1 - a * a)
-                    for i, y in enumerate((x.T @ d, d.sum(0), a.T @ g, np.array([g.sum()]))):
-                        grads[i] = grads[i] + y
+                grads = [x + y for x, y in zip(self.gradient(xp, ap, gp), self.gradient(xu, au, gu), strict=True)]
                 t += 1
                 for i, g in enumerate(grads):
                     g = g + 1e-4 * self.p[i] * (i in (0, 2))
@@ -179,35 +186,85 @@ class PriorScore:
         return float(np.clip(reach[best] / self.tail[best], 0.05, 0.99))
 
 
-def count_above(docs: DataFrame, ids: DataFrame, score: PriorScore) -> dict[int, int]:
-    """Of all ``ids``, how many reach how many thresholds: one pass over the texts, of which only (id, count) rows are shuffled."""
+def unlabelled_features(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """(doc_id, f) of all ``ids``, staged; an id counts once, with the least of its feature rows."""
+    return stage(feature_rows(docs).join(ids, "doc_id", "left_semi").groupBy("doc_id").agg(F.min("f").alias("f")))
+
+
+def _features(column: pa.Array) -> np.ndarray:
+    return column.flatten().to_numpy().reshape(-1, FEATURES)
+
+
+def count_above(features: DataFrame, score: PriorScore) -> dict[int, int]:
+    """Of all rows of (doc_id, f), how many reach how many thresholds."""
 
     def run(batches):
         for b in batches:
-            for start, texts in slices(b):
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(start, len(texts)), pa.array(score.above(style_features(texts)), pa.int32())], names=["doc_id", "above"])
+            yield pa.RecordBatch.from_arrays([pa.array(score.above(_features(b.column(0))), pa.int32())], names=["above"])
 
-    rows = docs.select("doc_id", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, above int")
-    rows = rows.groupBy("doc_id").agg(F.min("above").alias("above")).join(ids, "doc_id", "left_semi")  # an id counts once
+    rows = features.select("f").mapInArrow(run, "above int")
     return {r["above"]: r["n"] for r in rows.groupBy("above").agg(F.count("*").alias("n")).collect()}
 
 
-def fit_quality(docs: DataFrame, positives: DataFrame, unlabelled: DataFrame, *, fit_rows: int = 12_000) -> tuple[Net | None, float]:
-    """Fit on at most ``fit_rows`` ids of each of two id tables (doc_id), with the prior of all unlabelled ids; returns the network and the prior."""
-    pick = lambda ids, kind: ids.select("doc_id", F.lit(kind).alias("kind")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit_rows)
-    ids = pick(positives, 1).union(pick(unlabelled, 0))
-    rows = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"))  # an id counts once
-    data = feature_rows(rows).join(F.broadcast(ids), "doc_id").select("kind", "f").toPandas()
-    if data["kind"].nunique() < 2:
+def risk_sums(features: DataFrame, net: Net) -> tuple[int, float, list[np.ndarray]]:
+    """Over all unlabelled rows: their number, the sum of the loss as negatives, and its gradient by each weight.
+
+    Tasks return a row for each weight; sums are of decimals, so they don't depend on the order of the tasks.
+    """
+
+    def run(batches):
+        n, loss, total = 0, 0.0, [np.zeros_like(p) for p in net.p]
+        for b in batches:
+            x = net.scaled(_features(b.column(0)))
+            a, z = net._forward(x)
+            n, loss = n + len(x), loss + float(np.logaddexp(0, z).sum())
+            total = [t + g for t, g in zip(total, net.gradient(x, a, 1 / (1 + np.exp(-np.clip(z, -30, 30)))), strict=True)]
+        flat = np.concatenate([[n, loss], *(t.ravel() for t in total)])
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(flat))), pa.array(flat)], names=["at", "value"])
+
+    rows = features.select("f").mapInArrow(run, "at long, value double").groupBy("at").agg(F.sum(F.col("value").cast("decimal(38,12)")).alias("v")).collect()
+    flat = np.zeros(2 + sum(p.size for p in net.p))
+    for r in rows:
+        flat[r["at"]] = float(r["v"])
+    cuts = np.cumsum([2, *(p.size for p in net.p)])
+    return int(flat[0]), float(flat[1]), [flat[a:b].reshape(p.shape) for a, b, p in zip(cuts[:-1], cuts[1:], net.p, strict=True)]
+
+
+def refine(net: Net, pos: np.ndarray, features: DataFrame, prior: float, rounds: int, rate: float = 0.002) -> Net:
+    """Steps of Adam on the non-negative risk with the unlabelled part over all rows."""
+    x = net.scaled(pos)
+    m, v = [np.zeros_like(p) for p in net.p], [np.zeros_like(p) for p in net.p]
+    for t in range(1, rounds + 1):
+        n, loss, unl = risk_sums(features, net)
+        a, z = net._forward(x)
+        s = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+        if loss / n - prior * np.logaddexp(0, z).mean() >= 0:
+            own, sign = prior * ((s - 1) - s) / len(x), 1
+        else:  # step back from a negative risk of the negatives
+            own, sign = prior * s / len(x), -1
+        for i, (g, u) in enumerate(zip(net.gradient(x, a, own), unl, strict=True)):
+            g = g + sign * u / n + 1e-4 * net.p[i] * (i in (0, 2))
+            m[i], v[i] = 0.9 * m[i] + 0.1 * g, 0.999 * v[i] + 0.001 * g * g
+            net.p[i] = net.p[i] - rate * (m[i] / (1 - 0.9**t)) / (np.sqrt(v[i] / (1 - 0.999**t)) + 1e-8)
+    return net
+
+
+def fit_quality(docs: DataFrame, positives: DataFrame, unlabelled: DataFrame, *, fit_rows: int = 12_000, rounds: int = 12) -> tuple[Net | None, float]:
+    """Fit on at most ``fit_rows`` ids of positives (doc_id) and on all unlabelled ids; returns the network and the prior."""
+    first = lambda rows: rows.orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit_rows)
+    features = unlabelled_features(docs, unlabelled)
+    picked = docs.select("doc_id", "text").join(F.broadcast(first(positives)), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"))  # an id counts once
+    pos, unl = (np.vstack(f) if len(f := rows.select("f").toPandas()["f"]) else np.zeros((0, FEATURES)) for rows in (feature_rows(picked), first(features)))
+    if not len(pos) or not len(unl):
+        drop_staged(features)
         return None, 0.5
-    f, kind = np.vstack(data["f"].to_numpy()), data["kind"].to_numpy()
-    order = np.lexsort((*f.T, kind))  # the same fit whatever order the rows arrive in
-    f, kind = f[order], kind[order]
-    shuffle = np.random.default_rng(3).permutation(len(kind))
-    f, kind = f[shuffle], kind[shuffle]
-    score = PriorScore(f[kind == 1], f[kind == 0])
-    prior = score.prior(count_above(docs, unlabelled, score))
-    return Net(FEATURES).fit(f[kind == 1], f[kind == 0], prior), prior
+    shuffled = lambda f, seed: f[np.lexsort(f.T)][np.random.default_rng(seed).permutation(len(f))]  # noqa: E731  the same fit whatever order the rows arrive in
+    pos, unl = shuffled(pos, 3), shuffled(unl, 4)
+    score = PriorScore(pos, unl)
+    prior = score.prior(count_above(features, score))
+    net = refine(Net(FEATURES).fit(pos, unl, prior), pos, features, prior, rounds)
+    drop_staged(features)
+    return net, prior
 
 
 def score_quality(docs: DataFrame, net: Net | None, prior: float) -> DataFrame:

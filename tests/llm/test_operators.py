@@ -252,9 +252,39 @@ def test_prior_counts_all_unlabelled(spark):
     pos, unl = PU.style_features([t.encode() for _, t in rows[:120]]), PU.style_features([t.encode() for _, t in rows[120:]])
     score = PU.PriorScore(pos, unl[:50])
     ids = df.where("doc_id >= 120").select("doc_id").distinct()
-    got = PU.count_above(df, ids, score)
+    features = PU.unlabelled_features(df, ids)
+    got = PU.count_above(features, score)
     assert got == dict(collections.Counter(score.above(unl).tolist()))
     assert abs(score.prior(got) - 0.25) < 0.1
+    n, loss, gradient = PU.risk_sums(features, score.net)
+    x = score.net.scaled(unl)
+    a, z = score.net._forward(x)
+    assert n == len(unl) and abs(loss - np.logaddexp(0, z).sum()) < 1e-6
+    for g, p in zip(gradient, score.net.p, strict=True):  # against differences of the loss itself, at some weights
+        for at in list(np.ndindex(p.shape))[:: max(1, p.size // 7)]:
+            old, h = p[at], 1e-5
+            both = []
+            for step in (h, -h):
+                p[at] = old + step
+                both.append(np.logaddexp(0, score.net._forward(x)[1]).sum())
+            p[at] = old
+            assert abs(g[at] - (both[0] - both[1]) / (2 * h)) < 1e-2 * max(1, abs(g[at]))
+
+
+def test_risk_reaches_rows_beyond_the_sample(spark):
+    """Two tables whose first ``fit_rows`` unlabelled rows are alike: what lies behind them changes the network."""
+    from quillspark.llm import pu_quality as PU
+
+    rng = random.Random(9)
+    text = lambda letters, n=40: " ".join("".join(rng.choice(letters) for _ in range(4)) for _ in range(n))
+    pos, unl = [(i, text("abc") + ".") for i in range(30)], [(i, text("abcdef!")) for i in range(100, 180)]
+    order = [r["doc_id"] for r in spark.createDataFrame([(i,) for i, _ in unl], "doc_id long").orderBy(F.xxhash64("doc_id"), "doc_id").collect()]
+    last = set(order[20:])
+    other = [(i, text("XY|", 9) if i in last else t) for i, t in unl]
+    ids = lambda rows: spark.createDataFrame([(i,) for i, _ in rows], "doc_id long")
+    nets = [PU.fit_quality(spark.createDataFrame(pos + rows, "doc_id long, text string"), ids(pos), ids(rows), fit_rows=20, rounds=3)[0] for rows in (unl, other)]
+    start = [PU.fit_quality(spark.createDataFrame(pos + rows, "doc_id long, text string"), ids(pos), ids(rows), fit_rows=20, rounds=0) for rows in (unl, other)]
+    assert abs(nets[0].p[2] - nets[1].p[2]).max() > 1e-4 and start[0][0].mean.tolist() == start[1][0].mean.tolist()
 
 
 def test_contamination(docs, spark):
@@ -448,7 +478,10 @@ def test_empty_tables(docs, operator):
 
 
 def auc(score, label):
-    rank = np.argsort(np.argsort(score)) + 1
+    """The share of pairs that stand in the right order, equal scores counting half."""
+    import pandas as pd
+
+    rank = pd.Series(score).rank().to_numpy()
     n = label.sum()
     return (rank[label == 1].sum() - n * (n + 1) / 2) / (n * (len(label) - n))
 
