@@ -366,8 +366,11 @@ def suffix_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     live = seen.join(reps.select(F.col("rep").alias("id")), "id", "left_semi").select("h", "salt", "id", "at").union(seen.where("id is null"))
     live = stage(_shared(live).where("id is not null").drop("salt"), sweep=True)
     drop_staged(first)
-    bands = live.groupBy("h").agg(F.count("*").alias("k")).select("h", F.when(F.col("k") > hot[1], 1).when(F.col("k") > hot[0], 8).otherwise(length).alias("band"))
-    where = live.join(bands, "h").groupBy("id").agg(F.collect_list(F.struct("at", "h", "band")).alias("where"))
+    # only frequent anchors have narrow bands; their rows meet the band in as many tasks as there are salts
+    often = live.groupBy("h").agg(F.count("*").alias("k")).where(F.col("k") > hot[0])
+    often = often.select("h", F.when(F.col("k") > hot[1], 1).otherwise(8).alias("narrow"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("share"))
+    shared = live.withColumn("share", F.pmod(F.xxhash64("id", "at"), F.lit(SALTS)).cast("int")).join(often, ["h", "share"], "left")
+    where = shared.withColumn("band", F.coalesce("narrow", F.lit(length))).groupBy("id").agg(F.collect_list(F.struct("at", "h", "band")).alias("where"))
     texts = ids.join(where.hint("merge"), "id")  # texts move the same way at every size
     texts = texts.select("id", "text", "where")
     reach = _contexts(texts, length, remember).repartition("key").sortWithinPartitions("key", "id", "at")
