@@ -204,6 +204,14 @@ def escape_href(u: Column) -> Column:
     return F.when(~is_safe_url(u), "#").when(F.trim(u) == "", "").otherwise(safe)
 
 
+def normalize_uri(u: Column) -> Column:
+    """Percent-encoded but for reserved and unreserved characters and the percent sign."""
+    out = F.replace(F.url_encode(u), F.lit("+"), F.lit("%20"))
+    for ch in "~:/?#[]@!$&'()+,;=":
+        out = F.replace(out, F.lit(f"%{ord(ch):02X}"), F.lit(ch))
+    return F.replace(out, F.lit("%25"), F.lit("%"))
+
+
 def data_uri_mime(u: Column) -> Column:
     m = F.regexp_extract(u, r"^data:([^,;]*)(;[^,]*)?,", 1)
     return F.when(u.rlike("^data:[^,]*,"), F.when(m == "", "text/plain").otherwise(m))

@@ -5,7 +5,7 @@ import pandas as pd
 import pytest
 
 import __spark_entry__ as entry
-from quillspark.plans import catalog, flows, variety  # noqa: F401  (registers its queries)
+from quillspark.plans import catalog, flows, small, variety  # noqa: F401  (registers its queries)
 
 from .conftest import SF
 
