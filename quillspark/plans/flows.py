@@ -160,13 +160,19 @@ def top_words(spark, sf):
 # --- navigation by merges ----------------------------------------------------------------------------------
 
 
-@query("SELECT o_custkey AS doc_id, CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS INTEGER) AS item, CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS BIGINT) AS depth, CAST(count(*) OVER (PARTITION BY o_custkey) - row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) + 1 AS BIGINT) AS below FROM orders")
+_PART = "PARTITION BY o_custkey, o_orderkey // 4000"
+
+
+@query(f"SELECT o_custkey * 1000000000 + o_orderkey // 4000 AS doc_id, CAST(row_number() OVER ({_PART} ORDER BY o_orderkey) AS INTEGER) AS item, CAST(row_number() OVER ({_PART} ORDER BY o_orderkey) AS BIGINT) AS depth, CAST(count(*) OVER ({_PART}) - row_number() OVER ({_PART} ORDER BY o_orderkey) + 1 AS BIGINT) AS below FROM orders")
 def nested_list_merge(spark, sf):
-    """Orders of a customer as a list nested ever deeper: lists around each item, and items below it, by merges of intervals."""
-    o = read_table(spark, sf, "orders").select("o_custkey", "o_orderkey")
-    o = o.withColumn("k", F.expr("row_number() over (partition by o_custkey order by o_orderkey) - 1"))
+    """A customer's orders of a block of keys as a list nested ever deeper: lists around each item, and items below it, by merges of intervals.
+
+    A document holds the keys of one block at most, however many orders a customer has.
+    """
+    o = read_table(spark, sf, "orders").select((F.col("o_custkey") * 1_000_000_000 + F.floor(F.col("o_orderkey") / 4000)).alias("doc_id"), "o_orderkey")
+    o = o.withColumn("k", F.expr("row_number() over (partition by doc_id order by o_orderkey) - 1"))
     line = F.concat(F.repeat(F.lit("  "), F.col("k")), F.lit("- order "), F.col("o_orderkey").cast("string"))
-    docs = o.groupBy(F.col("o_custkey").alias("doc_id")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", line.alias("l")))), lambda x: x["l"]), "\n").alias("text"))
+    docs = o.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", line.alias("l")))), lambda x: x["l"]), "\n").alias("text"))
     n = stage(N.parse_nodes(docs, kinds=("list", "item")))
     items = n.where("kind = 'item'")
     up = N.ancestors(n, items).where("kind = 'list'").groupBy("doc_id", F.col("of_id").alias("node_id")).agg(F.count("*").alias("depth"))
