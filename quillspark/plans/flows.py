@@ -266,3 +266,44 @@ def validate_urls(spark, sf):
     """Outside links are checked one by one; an escaped one is well formed, an empty one is an error."""
     d = documents(spark, sf).selectExpr("doc_id", "concat('[', source, '](<http://', source, '.org/', doc_id, ' ', lang, '>) [', lang, ']()\\n') as text")
     return V.validate(N.parse_nodes(d, kinds=V.CHECKED))
+
+
+# --- sliding windows, cubes, calendars ---------------------------------------------------------------------------------
+
+
+@query("SELECT start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM (SELECT unnest([time_bucket(INTERVAL 30 MINUTE, ts), time_bucket(INTERVAL 30 MINUTE, ts) - INTERVAL 30 MINUTE]) AS start, event_type, value FROM events) GROUP BY ALL")
+def sliding_windows_stream(spark, sf):
+    """Hours that begin every half hour, in append mode behind a watermark: each window is written once, when a closing row has passed it."""
+    e = read_table(spark, sf, "events").select("user_id", F.col("ts").cast("timestamp").alias("ts"), "event_type", "value")
+    path = scratch(spark, "quillspark-events")
+    e.write.parquet(path)
+    files = len(spark.read.parquet(path).inputFiles())
+    last = e.agg(F.max("ts")).first()[0]
+    if last is not None:
+        E.closing_row(spark, last, schema=e.schema).coalesce(1).write.mode("append").parquet(path)
+    counts = S.run_to_table(S.event_counts(S.stream_table(spark, path, files=files), slide="30 minutes"))
+    return counts.where("event_type is not null").withColumns({"total": F.round("total", 4), "start": F.col("start").cast("timestamp_ntz")})
+
+
+@query("SELECT lang, source, grouping(lang) AS g, count(*) AS n, CAST(sum(n_chars) AS BIGINT) AS chars FROM documents GROUP BY CUBE (lang, source)")
+def documents_cube(spark, sf):
+    return documents(spark, sf).cube("lang", "source").agg(F.grouping("lang").cast("long").alias("g"), F.count("*").alias("n"), F.sum("n_chars").alias("chars"))
+
+
+@query("SELECT lang, source, count(*) AS n FROM documents GROUP BY GROUPING SETS ((lang), (source), ())")
+def documents_grouping_sets(spark, sf):
+    return spark.sql("SELECT lang, source, count(*) AS n FROM {d} GROUP BY GROUPING SETS ((lang), (source), ())", d=documents(spark, sf))
+
+
+@query("SELECT word FROM (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[a-z]+')) AS word FROM documents WHERE lang = 'en') EXCEPT SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[a-z]+')) FROM documents WHERE lang <> 'en'")
+def words_of_english_alone(spark, sf):
+    """Words of English texts that no other text has."""
+    w = N.spread(documents(spark, sf).select("lang", "text")).select("lang", F.explode(F.regexp_extract_all(F.lower("text"), F.lit("([a-z]+)"), 1)).alias("word"))
+    return w.where("lang = 'en'").select("word").subtract(w.where("lang <> 'en'").select("word"))
+
+
+@query("SELECT strftime(date_trunc('week', ts), '%Y-%m-%d') AS week, CAST(dayofweek(ts) + 1 AS INTEGER) AS weekday, CAST(hour(ts) AS INTEGER) AS hour, count(*) AS n, CAST(count(DISTINCT CAST(ts AS DATE)) AS BIGINT) AS days, strftime(max(ts), '%Y-%m-%d %H:%M') AS last FROM events GROUP BY ALL")
+def event_calendar(spark, sf):
+    ts = F.col("ts").cast("timestamp")
+    by = [F.date_format(F.date_trunc("week", ts), "yyyy-MM-dd").alias("week"), F.dayofweek(ts).alias("weekday"), F.hour(ts).alias("hour")]
+    return read_table(spark, sf, "events").groupBy(*by).agg(F.count("*").alias("n"), F.countDistinct(F.to_date(ts)).alias("days"), F.date_format(F.max(ts), "yyyy-MM-dd HH:mm").alias("last"))
