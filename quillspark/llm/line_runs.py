@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import numbered, stage
+from .common import drop_staged, numbered, stage
 
 
 def windows(counts: list[int], least: int) -> tuple[list[int], list[int]]:
@@ -84,15 +84,18 @@ def ranked(rows: DataFrame, keys: list[str]) -> DataFrame:
     return stage(names.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("rank", F.monotonically_increasing_id()))
 
 
-def repeated_windows(docs: DataFrame, least: int) -> DataFrame:
-    """(id, first, n): windows of lines, of at least ``least`` words, that occur earlier too."""
+def repeated_windows(docs: DataFrame, least: int) -> tuple[DataFrame, list[DataFrame]]:
+    """(id, first, n): windows of lines, of at least ``least`` words, that occur earlier too; and the staged tables it reads."""
     lines = stage(_lines(docs, least))
     base = ranked(lines, ["line"])
     live = stage(lines.join(base, "line").select("id", "i", "rank", "fwd", "back"))
+    drop_staged(lines)
+    drop_staged(base)
     level, found = 0, None
     levels = live.select("id", "i", F.col("rank").alias("r"))
     ends = live.where("back > 0").select("id", (F.col("i") - F.col("back") + 1).alias("i"), F.col("back").alias("n"))
     wanted = stage(live.where("fwd > 0").select("id", "i", F.col("fwd").alias("n")).union(ends).distinct())
+    held, last = [live, wanted], live  # last: the table that the ranks of this level are in
     while True:
         step = 2**level
         here = wanted.where((F.col("n") >= step) & (F.col("n") < 2 * step))
@@ -102,13 +105,18 @@ def repeated_windows(docs: DataFrame, least: int) -> DataFrame:
         interval = named.groupBy("n", "r", "q").agg(F.min(F.struct("id", "i")).alias("first"), F.count("*").alias("k")).where("k > 1")
         later = named.join(interval, ["n", "r", "q"]).where("struct(id, i) > first").select("id", F.col("i").alias("first"), "n")
         later = stage(later)
+        held.append(later)
         found = later if found is None else found.union(later)
         if wanted.where(F.col("n") >= 2 * step).isEmpty():
-            return found
+            return found, [*held, last]
         ahead = levels.select("id", (F.col("i") - step).alias("i"), F.col("r").alias("r2"))
         doubled = stage(levels.join(ahead, ["id", "i"]))
         names = ranked(doubled, ["r", "r2"])
-        levels = stage(doubled.join(names, ["r", "r2"]).select("id", "i", F.col("rank").alias("r")))
+        if last is not live:
+            drop_staged(last)
+        levels = last = stage(doubled.join(names, ["r", "r2"]).select("id", "i", F.col("rank").alias("r")))
+        drop_staged(doubled)
+        drop_staged(names)
         wanted = wanted.where(F.col("n") >= 2 * step)
         level += 1
 
@@ -119,7 +127,10 @@ def line_run_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     rows = docs.select(*(F.col(c).alias(inner[c]) for c in docs.columns), F.col(id_col).cast("long").alias("__id"))
     rows, _ = numbered(rows, "__id", inner[text_col])
     slim = rows.select(F.col("__id").alias("id"), F.col(inner[text_col]).cast("string").alias("text")).where("id is not null")
-    gone = repeated_windows(slim, min_words).groupBy("id").agg(F.collect_list(F.struct("first", "n")).alias("gone"))
+    found, used = repeated_windows(slim, min_words)
+    gone = stage(found.groupBy("id").agg(F.collect_list(F.struct("first", "n")).alias("gone")), sweep=True)
+    for table in used:
+        drop_staged(table)
     rows = rows.join(gone.hint("merge"), F.col("__id") == F.col("id"), "left").drop("id", "__id")  # one plan at every size
     at = [inner[c] for c in docs.columns].index(inner[text_col])
     names = [*inner.values()]
