@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 import uuid
 
 import numpy as np
@@ -40,16 +41,19 @@ def stage(df: DataFrame, sweep: bool = False) -> DataFrame:
 
     ``sweep``, for steps that shuffle much: the driver's garbage is collected,
     so that Spark's cleaner deletes the shuffle files of the steps before, which
-    nothing refers to any more, instead of keeping all until the end.
+    nothing refers to any more, instead of keeping all until the end.  A JVM may
+    ignore it; then they stay until the driver collects its garbage by itself.
     """
-    spark = df.sparkSession
+    spark, schema = df.sparkSession, df.schema
     path = f"{shared_dir(spark)}/quillspark/{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(schema).parquet(path)
     out.staged_path = path
-    if sweep:
+    del df  # else its plan stays alive, and with it the shuffles
+    for _ in range(2 if sweep else 0):  # what the first one frees in Python lets go of more in the JVM
         gc.collect()
         spark.sparkContext._jvm.System.gc()
+        time.sleep(0.5)
     return out
 
 
