@@ -123,7 +123,9 @@ NO_END = set("([{（［｛「『〈《【〔")
 ASIDE = set(",.;:)]}([{")
 BRACKETS = set("()[]{}")
 CLOSING = set("，。、；：？！．」』）］｝》】〉〕”’…")
+_BEYOND_LATIN = re.compile("[\u1100-\U0010ffff]")  # nothing below it parts a word
 STICKING = {"", *NO_START, *CLOSING, *",.;:!?)]}"}
+TRAILERS = ",.:;"
 PULLED, BRACKET, MARKER, OVER, TRAILING, LAST = 10_000.0, 5_000.0, 1_000_000.0, 100.0, 80.0, 0.1
 
 
@@ -138,6 +140,8 @@ class Unit:
 
 def _clauses(word: str) -> list[str]:
     """Parts of a word between which a line may end without a space: behind closing marks, before opening ones, at the edges of emphasis, all beside CJK characters."""
+    if not _BEYOND_LATIN.search(word):
+        return [word]
     out, begin, last, solid = [], 0, "", ""
     for i, here in enumerate(word):
         if here == EDGE:
@@ -209,7 +213,7 @@ def line_cost(length: int, width: int, before: Unit, after: Unit | None) -> floa
     slack = width - length
     risk = MARKER if after is not None and starts_block(after) else 0.0
     if slack < 0:
-        sticks_out = slack >= -5 and before.text[-1] in ",.:;"
+        sticks_out = slack >= -5 and before.text[-1] in TRAILERS
         return OVER * slack * slack + (TRAILING * (5 - slack) ** 2 if sticks_out else 0.0) + risk
     return (LAST * slack if after is None else slack * slack) + break_cost(before, after) + risk
 
@@ -228,13 +232,20 @@ def wrap(text: str, width: int) -> list[str]:
     n = len(words)
     best, back = [0.0] * (n + 1), [0] * (n + 1)
     for j in range(1, n + 1):
-        after = words[j] if j < n else None
+        before, after = words[j - 1], words[j] if j < n else None
+        fits, over = line_cost(width, width, before, after), line_cost(width + 6, width, before, after) - OVER * 36  # what does not depend on the length
+        sticks_out = before.text[-1] in TRAILERS
         best[j], line = float("inf"), int(after is not None and after.space)
         for i in range(j - 1, -1, -1):
             line += sizes[i] + (words[i + 1].space if i + 1 < j else 0)
-            if line > width and OVER * (line - width) ** 2 >= best[j]:
-                break
-            cost = best[i] + line_cost(line, width, words[j - 1], after)
+            slack = width - line
+            if slack >= 0:
+                cost = best[i] + (LAST * slack if after is None else slack * slack) + fits
+            else:
+                cost = OVER * slack * slack
+                if cost >= best[j]:
+                    break
+                cost += best[i] + over + (TRAILING * (5 - slack) ** 2 if sticks_out and slack >= -5 else 0.0)
             if cost < best[j]:
                 best[j], back[j] = cost, i
     lines, j = [], n
