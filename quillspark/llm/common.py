@@ -175,17 +175,18 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", most: int = 60) ->
 
     Returns (node, component) with the smallest node id of each component, for
     nodes that have an edge.  Both steps are aggregations with map-side
-    combining and joins that adaptive execution can split, so a node with very
-    many neighbours is no bottleneck; each round is a staged table.
+    combining and merge joins that adaptive execution can split, so a node with
+    very many neighbours is no bottleneck and the driver holds no table for a
+    broadcast; each round is a staged table.
     """
     e = edges.select(F.least(a, b).alias("v"), F.greatest(a, b).alias("u")).where("u <> v").distinct()
     e, seen = stage(e), None
     for _ in range(most):
         both = e.select("u", "v").union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        large = both.join(low.hint("merge"), "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").union(low.select("u", F.col("m").alias("v"))).distinct()
+        small = large.join(low.hint("merge"), "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").union(low.select("u", F.col("m").alias("v"))).distinct()
         new = stage(small)
         now = new.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         drop_staged(e)

@@ -16,7 +16,8 @@ one after another.  Both ways find the same pairs.
 Cells above ``tile_rows`` vectors are cut into tiles that meet pairwise; cells
 are dealt out as ids, and the vectors join them once.  Tiles return counts and
 spanning links, never pairs; equal vectors with equal labels are one class that
-carries its size.
+carries its size.  Tables that grow with the vectors are joined by merges, so
+the driver holds none of them for a broadcast; those of labels may be broadcast.
 
 Defined cases: vectors that are null, empty, zero, or hold null or non-finite
 components, and null labels, link with nothing and are their own component;
@@ -146,9 +147,9 @@ def near_vectors(vectors: DataFrame, *, id_col: str = "vec_id", vec_col: str = "
     cells = stage(cells.where("grid").drop("grid").select(*alone.columns).union(alone))
     sizes = cells.groupBy(*key).agg(F.ceil(F.count("*") / tile_rows).cast("int").alias("tiles"), F.count("*").alias("k")).where("k > 1")
     own = F.pmod(F.xxhash64("rep"), F.col("tiles")).cast("long")
-    tiles = cells.join(sizes.drop("k"), key).select(*cells.columns, own.alias("own"), F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("other"))
+    tiles = cells.join(sizes.drop("k").hint("merge"), key).select(*cells.columns, own.alias("own"), "tiles")
+    tiles = tiles.join(coded.select("rep", "n", "emb").hint("merge"), "rep").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
     tiles = tiles.withColumn("ta", F.least("own", F.col("other").cast("long"))).withColumn("tb", F.greatest("own", F.col("other").cast("long")))
-    tiles = tiles.join(coded.select("rep", "n", "emb"), "rep")
     key += ["ta", "tb"]
 
     def run(batches):
@@ -166,7 +167,7 @@ def near_vectors(vectors: DataFrame, *, id_col: str = "vec_id", vec_col: str = "
     found = tiles.select(*key, "rep", "n", "own", "h1", "h2", "emb").repartition(*key).sortWithinPartitions(*key).mapInArrow(run, "a long, links long, b long")
     found = stage(found)
     links = found.groupBy("a").agg(F.sum("links").alias("links"))
-    named = classes.join(links, F.col("rep") == F.col("a"), "left").join(components(found), F.col("rep") == F.col("node"), "left")
+    named = classes.join(links.hint("merge"), F.col("rep") == F.col("a"), "left").join(components(found).hint("merge"), F.col("rep") == F.col("node"), "left")
     named = named.select("label", "emb", (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
-    out = rows.join(named, ["label", "emb"], "left").select(F.col("id").alias(id_col), F.when(F.col("id").isNull(), 0).otherwise(F.coalesce("n_links", F.lit(0))).cast("long").alias("n_links"), F.when(F.col("id").isNotNull(), F.coalesce("component_id", "id")).alias("component_id"))
+    out = rows.join(named.hint("merge"), ["label", "emb"], "left").select(F.col("id").alias(id_col), F.when(F.col("id").isNull(), 0).otherwise(F.coalesce("n_links", F.lit(0))).cast("long").alias("n_links"), F.when(F.col("id").isNotNull(), F.coalesce("component_id", "id")).alias("component_id"))
     return out.withColumn("kept", F.col(id_col) == F.col("component_id"))

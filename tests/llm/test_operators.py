@@ -3,6 +3,7 @@
 import collections
 import hashlib
 import random
+import re
 
 import numpy as np
 import pytest
@@ -378,6 +379,26 @@ def test_near_vectors(spark):
         assert r["component_id"] == want[i] and r["kept"] == (want[i] == i)
 
 
+def test_near_vectors_broadcast_no_table_of_vectors(spark, monkeypatch):
+    """Only tables of labels, or none, may pass through the driver."""
+    from quillspark.llm import common, embed_join
+
+    plans, plain = [], common.stage
+
+    def kept(df, *args, **options):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return plain(df, *args, **options)
+
+    monkeypatch.setattr(embed_join, "stage", kept)
+    monkeypatch.setattr(common, "stage", kept)
+    v = spark.createDataFrame([(i, [1.0, i % 5 / 9, i % 3 / 9], i % 2) for i in range(40)], "vec_id long, embedding array<float>, label int")
+    got = near_vectors(v, tile_rows=3)
+    plans.append(got._jdf.queryExecution().executedPlan().toString())
+    assert got.count() == 40
+    keys = [k for p in plans for k in re.findall(r"BroadcastHashJoin \[([^\]]*)\]", p)]
+    assert all(re.fullmatch(r"(label|dim)#\d+L?", k) for found in keys for k in found.split(", ")), keys
+
+
 def test_urls(spark):
     urls = [
         ("http://Shop.example.com/en/7/x?q#f", "shop.example.com", "/en/7/x", "example.com/en/7", "allow"), ("https://a.example.com/en/8", "a.example.com", "/en/8", "com/en/", "block"),
