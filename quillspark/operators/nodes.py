@@ -19,6 +19,8 @@ from ..kernel.tree import FIELDS, Node, rows_of
 
 _ARROW = {"int": pa.int32(), "string": pa.string(), "boolean": pa.bool_(), "array<string>": pa.list_(pa.string())}
 CHUNK_NODES = 20_000
+#: Characters of texts whose results leave a task's Python at once.
+CHUNK_CHARS = 1 << 20
 
 
 def within_limits(t: Column, max_bytes: int | None = None, max_line: int | None = None) -> Column:
@@ -80,25 +82,28 @@ def parse_nodes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     if len(wanted) < len(set(columns)):
         raise ValueError(f"unknown columns {sorted(set(columns) - {n for n, _ in FIELDS})}")
     keep, fields = [i for i, _ in wanted], [f for _, f in wanted]
+    only = frozenset(kinds)
     rows = spread(docs.select(F.col(id_col).alias("doc"), F.col(text_col).cast("string").alias("text")))
-    kind, at = rows.schema["doc"].dataType.simpleString(), [n for n, _ in FIELDS].index("kind")
+    kind = rows.schema["doc"].dataType.simpleString()
 
     def run(batches):
         for b in batches:
-            key, out = [], []
+            key, out, chars = [], [], 0
 
             def flush(key, out, like=b.schema.field(0).type):
-                cols = [[r[i] for r in out] for i in keep]
-                return pa.RecordBatch.from_arrays([pa.array(key, like), *(pa.array(c, _ARROW[t]) for c, (_, t) in zip(cols, fields, strict=True))], names=["doc", *(n for n, _ in fields)])
+                cols = [pa.array([r[i] for r in out], _ARROW[t]) for i, (_, t) in enumerate(fields)]
+                return pa.RecordBatch.from_arrays([pa.array(key, like), *cols], names=["doc", *(n for n, _ in fields)])
 
             for k, text in zip(b.column(0), b.column(1), strict=True):
-                got = rows_of(tree_of(text.as_py(), extended, smart=smart, shortcodes=shortcodes))
-                got = [x for x in got if x[at] in kinds] if kinds else got
+                text = text.as_py()
+                got = rows_of(tree_of(text, extended, smart=smart, shortcodes=shortcodes), keep, only)
                 key += [k.as_py()] * len(got)
                 out += got
-                if len(out) >= CHUNK_NODES:
-                    yield flush(key, out)
-                    key, out = [], []
+                chars += len(text or "")
+                if len(out) >= CHUNK_NODES or chars >= CHUNK_CHARS:
+                    if out:
+                        yield flush(key, out)
+                    key, out, chars = [], [], 0
             if out:
                 yield flush(key, out)
 
