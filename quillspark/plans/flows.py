@@ -189,7 +189,8 @@ _ROMAN, _HAN = "abcdefghijklmnopqrstuvwxyz.,;:!?", "一二三四五六七八九
 def fmt_wrap_cjk(spark, sf):
     """All documents written in Han signs and wrapped to 60 columns: no sign is lost, no line begins or ends with a mark that may not stand there."""
     signs = F.regexp_replace(F.translate(F.lower("text"), _ROMAN, _HAN), f"[^{_HAN}]+", "")
-    d = N.spread(documents(spark, sf)).select("doc_id", signs.alias("text")).where("text <> ''")
+    some = documents(spark, sf).where(F.lower("text").rlike(f"[{_ROMAN}{_HAN}]"))  # the signs themselves are made by the tasks that the texts are dealt to
+    d = N.spread(some.select("doc_id", "text")).select("doc_id", signs.alias("text"))
     x = format_documents(d, width=60).select("doc_id", "body", F.split("body", "\n").alias("lines"))
     inner = F.slice("lines", F.lit(2), F.size("lines"))
     return x.select("doc_id", F.md5(F.replace("body", F.lit("\n"), F.lit(""))).alias("letters"), (~F.exists(inner, lambda v: v.rlike("^[，。；：]"))).alias("starts"), (~F.exists("lines", lambda v: v.rlike(r"[（「《]$"))).alias("ends"))
