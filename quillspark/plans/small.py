@@ -12,7 +12,7 @@ from ..operators import nodes as N
 from ..operators.render import render
 from ..sources.text import read_table
 from . import corpora as D
-from .registry import documents, nodes_of, pages, query
+from .registry import documents, nodes_of, nodes_once, pages, query
 
 
 @query("""SELECT n_regionkey AS doc_id, '<dl>' || chr(10) || string_agg('<dt>' || n_name || '</dt>' || chr(10) || '<dd>key &lt;' || n_nationkey || '&gt;</dd>' || chr(10) || '<dd>' || n_name || ' &amp; more</dd>' || chr(10), '' ORDER BY n_nationkey) || '</dl>' AS html,
@@ -95,7 +95,7 @@ def filtered_tags(spark, sf):
 @query("SELECT o_custkey AS doc_id, o_orderkey AS item, row_number() OVER w > 1 AS has_prev, row_number() OVER w < count(*) OVER (PARTITION BY o_custkey) AS has_next, 'orders/' || CASE WHEN o_orderstatus = 'F' THEN '[x] ' ELSE '[ ] ' END || o_orderkey AS task FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderkey)")
 def neighbours(spark, sf):
     """Items before and after each item, the first and the last of their list; tasks written again."""
-    n = N.with_siblings(nodes_of(D.md_orders, spark, sf, kinds=("list", "item"), columns=("node_id", "parent_id", "sibling_ord", "kind", "list_type", "text_content")))
+    n = N.with_siblings(nodes_once(D.md_orders(spark, sf), kinds=("list", "item"), columns=("node_id", "parent_id", "sibling_ord", "kind", "list_type", "text_content")))
     item = n.where("kind = 'item' and list_type = 'bullet'")
     key = F.regexp_extract("text_content", r"order (\d+)", 1)
     lists = n.where("kind = 'list'").select("doc_id", F.col("node_id").alias("parent_id"), "first_child", "last_child")
