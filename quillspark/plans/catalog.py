@@ -381,8 +381,8 @@ def validate_footnotes(spark, sf):
 @query("SELECT o_custkey AS doc_id, count(*) AS n FROM orders GROUP BY o_custkey")
 def subtree_range_join(spark, sf):
     """Items below bullet lists, by the nested-interval join."""
-    n = nodes_once(D.md_orders(spark, sf))
-    d = N.descendants(n, n.where("kind = 'list' and list_type = 'bullet'"))
+    n = nodes_once(D.md_orders(spark, sf), kinds=("list", "item"), columns=("node_id", "subtree_end", "kind", "list_type"))
+    d = N.descendants(n.where("kind = 'item'").select("doc_id", "node_id", "kind"), n.where("kind = 'list' and list_type = 'bullet'"))
     return d.where("kind = 'item'").groupBy("doc_id").agg(F.count("*").alias("n"))
 
 
