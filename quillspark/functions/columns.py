@@ -290,10 +290,17 @@ def output_format(path: Column) -> Column:
 
 
 def _last_wins(entries: Column) -> Column:
-    """Map of (k, v) structs in which a later key replaces an earlier one, keys in order."""
-    keys = F.array_sort(F.array_distinct(F.transform(entries, lambda e: e["k"])))
-    value = lambda k: F.element_at(F.filter(entries, lambda e: e["k"] == k), -1)["v"]
-    return F.map_from_entries(F.transform(keys, lambda k: F.struct(k, value(k))))
+    """Map of (k, v) structs in which a later key replaces an earlier one, keys in order.
+
+    The entries are bound to a name first, else they would be computed anew for each key.
+    """
+
+    def merged(held: Column) -> Column:
+        keys = F.array_sort(F.array_distinct(F.transform(held, lambda e: e["k"])))
+        value = lambda k: F.element_at(F.filter(held, lambda e: e["k"] == k), -1)["v"]
+        return F.map_from_entries(F.transform(keys, lambda k: F.struct(k, value(k))))
+
+    return F.element_at(F.transform(F.array(entries), merged), 1)
 
 
 def parse_css(css: Column) -> Column:

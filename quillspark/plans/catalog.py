@@ -162,7 +162,7 @@ def tagfilter(spark, sf):
 @query("SELECT p_partkey, 'brand: ' || p_brand || '; color: red; size: ' || p_size AS css, 'brand: ' || p_brand || '; color: blue; size: ' || p_size || '; z: 1' AS merged FROM part")
 def css_map(spark, sf):
     css = C.parse_css(F.concat(F.lit("SIZE : "), F.col("p_size").cast("string"), F.lit("; color: green; brand:"), "p_brand", F.lit("; color: red; ; broken")))
-    return read_table(spark, sf, "part").select("p_partkey", C.css_text(css).alias("css"), C.css_text(C.merge_css(css, C.parse_css(F.lit("z:1; color:blue")))).alias("merged"))
+    return N.spread(read_table(spark, sf, "part")).select("p_partkey", C.css_text(css).alias("css"), C.css_text(C.merge_css(css, C.parse_css(F.lit("z:1; color:blue")))).alias("merged"))
 
 
 @query("SELECT page_id AS doc_id, url, 'url: ' || url AS cli, true AS has FROM pages")
