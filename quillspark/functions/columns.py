@@ -530,6 +530,21 @@ def graphemes(t: Column) -> Column:
     return F.regexp_extract_all(t, F.lit(r"(?s)(\X)"), 1)
 
 
+#: Inside a run of these every character is a cluster of one column.
+_NARROW = r"\x20-\x7E\x{C0}-\x{FF}"
+
+
+def _ends_of_runs(t: Column) -> Column:
+    """A text without what lies inside its runs of narrow characters; what a run begins and ends with may belong to a cluster."""
+    return F.regexp_replace(t, f"(?<=[{_NARROW}])[{_NARROW}]+(?=[{_NARROW}])", "")
+
+
+def count_graphemes(t: Column) -> Column:
+    """The number of grapheme clusters of a text; only what is not plain is taken apart."""
+    ends = F.element_at(F.transform(F.array(_ends_of_runs(t)), lambda x: F.size(graphemes(x)) - F.char_length(x)), 1)
+    return (F.char_length(t) + ends).cast("int")
+
+
 # Pictographs below the astral planes that take two columns of themselves.
 _WIDE_SIGNS = ((0x231A, 0x231B), (0x23E9, 0x23EC), (0x23F0, 0x23F0), (0x23F3, 0x23F3), (0x25FD, 0x25FE), (0x2614, 0x2615), (0x2648, 0x2653), (0x267F, 0x267F), (0x2693, 0x2693), (0x26A1, 0x26A1), (0x26AA, 0x26AB), (0x26BD, 0x26BE), (0x26C4, 0x26C5), (0x26CE, 0x26CE), (0x26D4, 0x26D4), (0x26EA, 0x26EA), (0x26F2, 0x26F3), (0x26F5, 0x26F5), (0x26FA, 0x26FA), (0x26FD, 0x26FD), (0x2705, 0x2705), (0x270A, 0x270B), (0x2728, 0x2728), (0x274C, 0x274C), (0x274E, 0x274E), (0x2753, 0x2755), (0x2757, 0x2757), (0x2795, 0x2797), (0x27B0, 0x27B0), (0x27BF, 0x27BF), (0x2B1B, 0x2B1C), (0x2B50, 0x2B50), (0x2B55, 0x2B55))
 _WIDE = ((0x1100, 0x115F), (0x2E80, 0x303E), (0x3041, 0xA4CF), (0xA960, 0xA97C), (0xAC00, 0xD7A3), (0xF900, 0xFAFF), (0xFE30, 0xFE6F), (0xFF01, 0xFF60), (0xFFE0, 0xFFE6), (0x1F300, 0x1F64F), (0x1F680, 0x1FAFF), (0x20000, 0x3FFFD))
@@ -538,7 +553,7 @@ _WIDE = ((0x1100, 0x115F), (0x2E80, 0x303E), (0x3041, 0xA4CF), (0xA960, 0xA97C),
 def display_width(t: Column) -> Column:
     """Columns on a terminal, a cluster at a time: wide bases, flags and emoji count two, what has no base none.
 
-    Texts of printable ASCII alone are their own width and are not taken apart.
+    What lies inside runs of narrow letters is as wide as it is long and is not taken apart.
     """
     pictured = f"^[#*0-9{_class(cells.PICTOGRAPHS)}].*\\x{{FE0F}}"
     one = lambda c: (
@@ -547,7 +562,8 @@ def display_width(t: Column) -> Column:
         .when(c.rlike(pictured), 2).when(c.rlike(f"^[{_class(cells.PICTOGRAPHS)}].*\\x{{FE0E}}"), 1)
         .when(c.rlike(f"^[{_class(_WIDE + _WIDE_SIGNS)}]"), 2).otherwise(1)
     )
-    return F.when(t.rlike(r"^[\x20-\x7E]*$"), F.char_length(t)).otherwise(F.aggregate(graphemes(t), F.lit(0), lambda n, c: n + one(c))).cast("int")
+    odd = lambda x: F.aggregate(graphemes(x), F.lit(0), lambda n, c: n + one(c)) - F.char_length(x)
+    return F.when(t.rlike(r"^[\x20-\x7E]*$"), F.char_length(t)).otherwise(F.char_length(t) + F.element_at(F.transform(F.array(_ends_of_runs(t)), odd), 1)).cast("int")
 
 
 # --- lines and tables -------------------------------------------------------------------

@@ -203,7 +203,8 @@ _SIGNS = "é\U0001f1e9\U0001f1ea\U0001f469‍\U0001f467你❤️"
 def display_widths(spark, sf):
     """Columns and clusters of all texts, behind a letter with a combining mark, a flag, a joined emoji, a Han sign and a heart shown as emoji."""
     t = F.concat(F.lit(_SIGNS), F.regexp_replace("text", r"[^\x20-\x7eÀ-ÿ]+", " "))
-    return N.spread(documents(spark, sf)).select("doc_id", C.display_width(t).alias("width"), F.size(C.graphemes(t)).alias("clusters"))
+    d = N.spread(documents(spark, sf).select("doc_id", "text")).select("doc_id", t.alias("t"))
+    return d.select("doc_id", C.display_width(F.col("t")).alias("width"), C.count_graphemes(F.col("t")).alias("clusters"))
 
 
 @query(f"""SELECT doc_id, '## ' || upper(source) || chr(10) || chr(10) || line || ' <' || lang || '>' || chr(10) || chr(10) || '* ' || lang AS body FROM (SELECT doc_id, source, lang, rtrim({_DUCK_LINE}) AS line FROM documents)""")
