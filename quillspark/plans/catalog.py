@@ -271,7 +271,8 @@ _LISTS = "SELECT o_custkey AS doc_id, CAST(row_number() OVER (PARTITION BY o_cus
 
 @query(f"SELECT doc_id, item_ord, 'bullet' AS list_type, '[' || CASE WHEN o_orderstatus = 'F' THEN 'x' ELSE ' ' END || '] order ' || o_orderkey AS text FROM ({_LISTS}) UNION ALL SELECT doc_id, item_ord, 'ordered', o_orderpriority FROM ({_LISTS})")
 def list_items_ranked(spark, sf):
-    return X.list_items(nodes_of(D.md_orders, spark, sf)).select("doc_id", "item_ord", "list_type", "text")
+    n = nodes_once(D.md_orders(spark, sf), kinds=("list", "item"), columns=("node_id", "parent_id", "sibling_ord", "kind", "text_content", "list_type", "list_start", "tight", "is_task_list", "checked"))
+    return X.list_items(n).select("doc_id", "item_ord", "list_type", "text")
 
 
 @query(f"SELECT doc_id, item_ord AS ord, o_orderstatus = 'F' AS checked, 'order ' || o_orderkey AS text FROM ({_LISTS})")
