@@ -173,7 +173,7 @@ def nested_list_merge(spark, sf):
     o = o.withColumn("k", F.expr("row_number() over (partition by doc_id order by o_orderkey) - 1"))
     line = F.concat(F.repeat(F.lit("  "), F.col("k")), F.lit("- order "), F.col("o_orderkey").cast("string"))
     docs = o.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", line.alias("l")))), lambda x: x["l"]), "\n").alias("text"))
-    n = stage(N.parse_nodes(docs, kinds=("list", "item")))
+    n = stage(N.parse_nodes(docs, kinds=("list", "item"), columns=("node_id", "subtree_end", "kind")))
     items = n.where("kind = 'item'")
     up = N.ancestors(n, items).where("kind = 'list'").groupBy("doc_id", F.col("of_id").alias("node_id")).agg(F.count("*").alias("depth"))
     down = N.descendants(items, items).groupBy("doc_id", F.col("root_id").alias("node_id")).agg(F.count("*").alias("below"))
