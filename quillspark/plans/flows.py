@@ -301,7 +301,8 @@ def documents_grouping_sets(spark, sf):
 def words_of_english_alone(spark, sf):
     """Words of English texts that no other text has."""
     w = N.spread(documents(spark, sf).select("lang", "text")).select("lang", F.explode(F.regexp_extract_all(F.lower("text"), F.lit("([a-z]+)"), 1)).alias("word"))
-    return w.where("lang = 'en'").select("word").subtract(w.where("lang <> 'en'").select("word"))
+    of = w.groupBy("word").agg(F.max(F.col("lang") == "en").alias("english"), F.max(F.col("lang") != "en").alias("other"))
+    return of.where("english and not other").select("word")  # of texts without a language neither is known
 
 
 @query("SELECT strftime(date_trunc('week', ts), '%Y-%m-%d') AS week, CAST(dayofweek(ts) + 1 AS INTEGER) AS weekday, CAST(hour(ts) AS INTEGER) AS hour, count(*) AS n, CAST(count(DISTINCT CAST(ts AS DATE)) AS BIGINT) AS days, strftime(max(ts), '%Y-%m-%d %H:%M') AS last FROM events GROUP BY ALL")
