@@ -180,7 +180,7 @@ def subtree_sizes(spark, sf):
 @query(from_words("doc_id, CAST(unnest(range(1, 10)) AS INTEGER) AS node_id, unnest(['heading', 'text', 'text', 'text', 'thematic_break', 'paragraph', 'text', 'text', 'thematic_break']) AS kind, unnest([0, 1, 1, 1, 0, 0, 6, 6, 0]) AS parent_id, unnest([4, 2, 3, 4, 5, 8, 7, 8, 9]) AS subtree_end, unnest([0, 0, 1, 2, 1, 2, 0, 1, 3]) AS sibling_ord, unnest([NULL, 'H', 'behind ' || k, 'last', NULL, NULL, t, 'more', NULL]) AS literal"))
 def leaves_added(spark, sf):
     """Leaves appended to and put behind nodes; ids and intervals are numbered anew."""
-    n = nodes_once(corpus(spark, sf, "# H\n\n{t}\n"))
+    n = nodes_once(corpus(spark, sf, "# H\n\n{t}\n"), columns=("node_id", "parent_id", "sibling_ord", "depth", "subtree_end", "kind", "is_block", "is_leaf", "literal"))
     leaf = lambda kind, literal: F.struct(F.lit(kind).alias("kind"), F.lit(literal).cast("string").alias("literal"))
     put = [(1, "child", 0, leaf("text", "last")), (1, "after", 0, leaf("thematic_break", None)), (3, "child", 0, leaf("text", "more")), (0, "child", 0, leaf("thematic_break", None))]
     added = documents(spark, sf).select("doc_id", F.explode(F.array(
