@@ -282,7 +282,7 @@ def task_items(spark, sf):
 
 @query(f"SELECT doc_id, item_ord AS ord, true AS checked, 'order ' || o_orderkey AS text FROM ({_LISTS}) WHERE o_orderstatus = 'F'")
 def task_items_extended(spark, sf):
-    return X.task_items(nodes_of(D.md_orders, spark, sf, extended=True), True)
+    return X.task_items(nodes_of(D.md_orders, spark, sf, extended=True, kinds=("item",), columns=("node_id", "kind", "text_content", "is_task_list", "checked")), True)
 
 
 @query("SELECT o_custkey AS doc_id, CAST(0 AS BIGINT) AS headings, CAST(2 AS BIGINT) AS lists, 2 * count(*) AS list_items, count(*) AS task_items, CAST(0 AS BIGINT) AS links FROM orders GROUP BY o_custkey")
