@@ -287,7 +287,8 @@ def task_items_extended(spark, sf):
 
 @query("SELECT o_custkey AS doc_id, CAST(0 AS BIGINT) AS headings, CAST(2 AS BIGINT) AS lists, 2 * count(*) AS list_items, count(*) AS task_items, CAST(0 AS BIGINT) AS links FROM orders GROUP BY o_custkey")
 def stats_orders(spark, sf):
-    return X.stats(nodes_of(D.md_orders, spark, sf)).select("doc_id", "headings", "lists", "list_items", "task_items", "links")
+    kinds = ("document", "heading", "list", "item", "link")
+    return X.stats(nodes_of(D.md_orders, spark, sf, kinds=kinds, columns=("kind", "level", "is_task_list"))).select("doc_id", "headings", "lists", "list_items", "task_items", "links")
 
 
 @query("SELECT doc_id, 1::BIGINT AS headings, 1::BIGINT AS h1, 0::BIGINT AS h2, 0::BIGINT AS h3, 0::BIGINT AS h4, 0::BIGINT AS h5, 0::BIGINT AS h6, 2::BIGINT AS links, 1::BIGINT AS images, 1::BIGINT AS code_blocks, 1::BIGINT AS inline_code, 0::BIGINT AS lists, 0::BIGINT AS list_items, 1::BIGINT AS blockquotes, 1::BIGINT AS thematic_breaks, 0::BIGINT AS tables, 0::BIGINT AS task_items FROM documents")
