@@ -164,7 +164,7 @@ def sibling_rows(spark, sf):
 @query(from_words("doc_id, 'H ' || k AS first_heading, 1 AS level, 'end   z' AS direct, 'end x  z' AS whole"))
 def direct_texts(spark, sf):
     """The first heading, and the last paragraph's own text beside its whole text."""
-    n = nodes_once(corpus(spark, sf, _NEST))
+    n = nodes_once(corpus(spark, sf, _NEST), kinds=("heading", "paragraph", "text"), columns=("node_id", "parent_id", "sibling_ord", "depth", "kind", "literal", "text_content", "level"))
     last = n.where("kind = 'paragraph' and depth = 1").select("doc_id", "node_id", F.col("text_content").alias("whole"))
     own = last.join(N.direct_text(n), ["doc_id", "node_id"]).select("doc_id", F.col("text").alias("direct"), "whole")
     return N.first_headings(n).select("doc_id", F.col("text").alias("first_heading"), "level").join(own, "doc_id")
