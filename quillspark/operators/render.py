@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from typing import Any
 
 import pyarrow as pa
@@ -12,7 +13,7 @@ from ..kernel import writers
 from ..kernel.html import to_html
 from ..kernel.markdown import Options, format_text, to_markdown
 from ..sources.text import FORMATS, register_format
-from .nodes import spread, tree_of
+from .nodes import CHUNK_CHARS, spread, tree_of
 
 for _name, _render, _ext, _mime in (
     ("page", writers.to_page, "html", "text/html"), ("revealjs", writers.to_revealjs, "html", "text/html"), ("html", to_html, "html", "text/html"), ("xml", writers.to_xml, "xml", "application/xml"),
@@ -21,6 +22,18 @@ for _name, _render, _ext, _mime in (
     register_format(_name, _render, _ext, _mime)
 
 
+def _bodies(batch: pa.RecordBatch, write: Callable[[str | None], str]):
+    """(doc, body) of a batch of (doc, text), in pieces of about CHUNK_CHARS: Python never holds the bodies of a whole batch."""
+    begin, bodies, chars = 0, [], 0
+    for i, t in enumerate(batch.column(1)):
+        t = t.as_py()
+        bodies.append(write(t))
+        chars += len(t or "") + len(bodies[-1])
+        if chars >= CHUNK_CHARS or i + 1 == batch.num_rows:
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(begin, len(bodies)), pa.array(bodies, pa.string())], names=["doc", "body"])
+            begin, bodies, chars = i + 1, [], 0
+
+
 def render(docs: DataFrame, fmt: str = "html", *, id_col: str = "doc_id", text_col: str = "text", extended: bool = False, smart: bool = False, shortcodes: dict[str, str] | None = None, **options: Any) -> DataFrame:
     """(id_col, body); an unknown format raises here, not in a task."""
     if fmt not in FORMATS:
@@ -30,8 +43,7 @@ def render(docs: DataFrame, fmt: str = "html", *, id_col: str = "doc_id", text_c
 
     def run(batches):
         for b in batches:
-            bodies = [write(tree_of(t.as_py(), extended, smart=smart, shortcodes=shortcodes), **options) for t in b.column(1)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(bodies, pa.string())], names=["doc", "body"])
+            yield from _bodies(b, lambda t: write(tree_of(t, extended, smart=smart, shortcodes=shortcodes), **options))
 
     return rows.mapInArrow(run, f"doc {rows.schema['doc'].dataType.simpleString()}, body string").withColumnRenamed("doc", id_col)
 
@@ -47,6 +59,6 @@ def format_documents(docs: DataFrame, *, width: int = 0, cjk_spacing: bool = Fal
 
     def run(batches):
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([format_text(t.as_py() or "", width, cjk_spacing, **options) for t in b.column(1)], pa.string())], names=["doc", "body"])
+            yield from _bodies(b, lambda t: format_text(t or "", width, cjk_spacing, **options))
 
     return rows.mapInArrow(run, f"doc {rows.schema['doc'].dataType.simpleString()}, body string").withColumnRenamed("doc", id_col)
