@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import columns as C
 from ..kernel.tex import tokenize
+from .nodes import spread
 
 
 def lines(docs: DataFrame) -> DataFrame:
@@ -73,13 +74,22 @@ def tex_tokens(docs: DataFrame) -> DataFrame:
 
     def run(batches):
         for b in batches:
-            for key, text in zip(b.column(0), b.column(1), strict=True):
-                got = tokenize(text.as_py() or "")
-                for a in range(0, len(got), 10_000):
-                    part = got[a : a + 10_000]
-                    yield pa.RecordBatch.from_arrays([pa.array([key.as_py()] * len(part), b.schema.field(0).type), pa.array(range(a, a + len(part)), pa.int32()), *(pa.array([t[k] for t in part], pa.string() if k < 2 else pa.int32()) for k in range(4))], names=["doc_id", "ord", "type", "literal", "line", "col"])
-
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, ord int, type string, literal string, line int, col int")
+            rows: list[tuple] = []
+
+            def flush(rows, like=b.schema.field(0).type):
+                types = (like, pa.int32(), pa.string(), pa.string(), pa.int32(), pa.int32())
+                return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(types)], names=["doc_id", "ord", "type", "literal", "line", "col"])
+
+            for key, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                for i, token in enumerate(tokenize(text.as_py() or "")):
+                    rows.append((key, i, *token))
+                    if len(rows) >= 10_000:
+                        yield flush(rows)
+                        rows = []
+            if rows:
+                yield flush(rows)
+
+    return spread(docs.select("doc_id", "text")).mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, ord int, type string, literal string, line int, col int")
 
 
 def toc_marker(docs: DataFrame) -> DataFrame:
