@@ -147,7 +147,7 @@ _NEST = "# H {k}\n\n- a {k}\n  - b\n    1. {t}\n  - c\n- d\n\n> - q\n\nend *x* `
 
 @query(from_words("doc_id, unnest(['a ' || k, 'b', t, 'c', 'd', 'q']) AS text, unnest([1, 2, 3, 2, 1, 1]) AS list_depth"))
 def list_depths(spark, sf):
-    n = N.with_list_depth(nodes_once(corpus(spark, sf, _NEST)))
+    n = N.with_list_depth(nodes_once(corpus(spark, sf, _NEST), columns=("node_id", "parent_id", "subtree_end", "kind", "text_content")))
     items = n.where("kind = 'item'").select("doc_id", F.col("node_id").alias("parent_id"), "list_depth")
     texts = n.where("kind = 'paragraph'").select("doc_id", "parent_id", F.col("text_content").alias("text"))
     return items.join(texts, ["doc_id", "parent_id"]).select("doc_id", "text", "list_depth")
