@@ -21,6 +21,8 @@ _ARROW = {"int": pa.int32(), "string": pa.string(), "boolean": pa.bool_(), "arra
 CHUNK_NODES = 20_000
 #: Characters of texts whose results leave a task's Python at once.
 CHUNK_CHARS = 1 << 20
+#: Pairs of a merge that leave a task's Python at once: a deep tree makes many of few rows.
+CHUNK_PAIRS = 1 << 18
 
 
 def within_limits(t: Column, max_bytes: int | None = None, max_line: int | None = None) -> Column:
@@ -149,6 +151,11 @@ def descendants(nodes: DataFrame, roots: DataFrame) -> DataFrame:
 
     def run(batches):
         doc, open_ = None, []
+
+        def flush(b, root, row):
+            got = b.take(pa.array(row, pa.int64()))
+            return pa.RecordBatch.from_arrays([pa.array(root, pa.int32()), *(got.column(i) for i in range(got.num_columns) if i != 2)], names=["root_id", *(n for i, n in enumerate(b.schema.names) if i != 2)])
+
         for b in batches:
             root, row = [], []
             for i, (d, n, end) in enumerate(zip(*_columns(b), strict=True)):
@@ -161,8 +168,10 @@ def descendants(nodes: DataFrame, roots: DataFrame) -> DataFrame:
                 else:
                     root += [r for r, _ in open_]
                     row += [i] * len(open_)
-            got = b.take(pa.array(row, pa.int64()))
-            yield pa.RecordBatch.from_arrays([pa.array(root, pa.int32()), *(got.column(i) for i in range(got.num_columns) if i != 2)], names=["root_id", *(n for i, n in enumerate(b.schema.names) if i != 2)])
+                    if len(row) >= CHUNK_PAIRS:
+                        yield flush(b, root, row)
+                        root, row = [], []
+            yield flush(b, root, row)
 
     return _merged(nodes, roots, run, [("root_id", "int")])
 
@@ -171,28 +180,36 @@ def ancestors(nodes: DataFrame, of: DataFrame) -> DataFrame:
     """(of_id, distance, node columns) of the proper ancestors of each node; distance 1 is the parent.  The same merge as in :func:`descendants`."""
 
     def run(batches):
-        doc, open_ = None, []  # nodes around this place: (last id of the subtree, batch, row)
+        doc, open_, kept = None, [], None  # nodes around this place: (last id of the subtree, row here or in kept, whether here); kept: those of batches before
+
+        def flush(b, of_id, far, rows):
+            got = b.take(pa.array(rows, pa.int64()))
+            return pa.RecordBatch.from_arrays([pa.array(of_id, pa.int32()), pa.array(far, pa.int32()), *(got.column(i) for i in range(got.num_columns) if i != 2)], names=["of_id", "distance", *(n for i, n in enumerate(b.schema.names) if i != 2)])
+
         for b in batches:
             ends = b.column(b.schema.get_field_index("subtree_end")).to_pylist()
-            found: dict[int, tuple[pa.RecordBatch, list, list, list]] = {}
+            found: tuple[tuple[list, list, list], ...] = ([], [], []), ([], [], [])  # of kept rows, of rows here
             for i, (d, n, mark) in enumerate(zip(*_columns(b), strict=True)):
                 if d != doc:
                     doc, open_ = d, []
                 while open_ and open_[-1][0] < n:
                     open_.pop()
                 if mark is None:
-                    open_.append((ends[i], b, i))
+                    open_.append((ends[i], i, True))
                 else:
-                    for distance, (_, held, row) in enumerate(reversed(open_), 1):
-                        of_id, far, rows = found.setdefault(id(held), (held, [], [], []))[1:]
+                    for distance, (_, row, here) in enumerate(reversed(open_), 1):
+                        of_id, far, rows = found[here]
                         of_id.append(n)
                         far.append(distance)
                         rows.append(row)
-            if open_:  # of batches before, only the rows that are still open are kept
-                open_ = [(end, held.slice(row, 1), 0) if held is not b else (end, b.slice(row, 1), 0) for end, held, row in open_]
-            for held, of_id, far, rows in found.values():
-                got = held.take(pa.array(rows, pa.int64()))
-                yield pa.RecordBatch.from_arrays([pa.array(of_id, pa.int32()), pa.array(far, pa.int32()), *(got.column(i) for i in range(got.num_columns) if i != 2)], names=["of_id", "distance", *(n for i, n in enumerate(b.schema.names) if i != 2)])
+                    if len(found[0][0]) + len(found[1][0]) >= CHUNK_PAIRS:
+                        yield from (flush(x, *f) for x, f in zip((kept, b), found, strict=True) if f[0])
+                        found = ([], [], []), ([], [], [])
+            yield from (flush(x, *f) for x, f in zip((kept, b), found, strict=True) if f[0])
+            held = [x.take(pa.array([row for _, row, here in open_ if here is at], pa.int64())) for x, at in ((kept, False), (b, True)) if x is not None]
+            kept = pa.Table.from_batches(held).combine_chunks().to_batches()  # older rows come first, as on the stack
+            kept = kept[0] if kept else None
+            open_ = [(end, row, False) for row, (end, _, _) in enumerate(open_)]
 
     return _merged(nodes, of, run, [("of_id", "int"), ("distance", "int")])
 

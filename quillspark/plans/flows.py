@@ -160,24 +160,18 @@ def top_words(spark, sf):
 # --- navigation by merges ----------------------------------------------------------------------------------
 
 
-_PART = "PARTITION BY o_custkey, o_orderkey // 4000"
-
-
-@query(f"SELECT o_custkey * 1000000000 + o_orderkey // 4000 AS doc_id, CAST(row_number() OVER ({_PART} ORDER BY o_orderkey) AS INTEGER) AS item, CAST(row_number() OVER ({_PART} ORDER BY o_orderkey) AS BIGINT) AS depth, CAST(count(*) OVER ({_PART}) - row_number() OVER ({_PART} ORDER BY o_orderkey) + 1 AS BIGINT) AS below FROM orders")
+@query("SELECT o_custkey AS doc_id, CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS INTEGER) AS item, CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS BIGINT) AS depth, CAST(count(*) OVER (PARTITION BY o_custkey) - row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) + 1 AS BIGINT) AS below FROM orders")
 def nested_list_merge(spark, sf):
-    """A customer's orders of a block of keys as a list nested ever deeper: lists around each item, and items below it, by merges of intervals.
-
-    A document holds the keys of one block at most, however many orders a customer has.
-    """
-    o = read_table(spark, sf, "orders").select((F.col("o_custkey") * 1_000_000_000 + F.floor(F.col("o_orderkey") / 4000)).alias("doc_id"), "o_orderkey")
-    o = o.withColumn("k", F.expr("row_number() over (partition by doc_id order by o_orderkey) - 1"))
-    line = F.concat(F.repeat(F.lit("  "), F.col("k")), F.lit("- order "), F.col("o_orderkey").cast("string"))
-    docs = o.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", line.alias("l")))), lambda x: x["l"]), "\n").alias("text"))
+    """All orders of a customer as a list nested ever deeper: lists around each item, and items below it, by merges of intervals."""
+    keys = F.array_sort(F.collect_list(F.struct("o_orderkey")))
+    lines = F.transform(keys, lambda x, k: F.concat(F.repeat(F.lit("  "), k), F.lit("- order "), F.coalesce(x["o_orderkey"].cast("string"), F.lit("-"))))
+    docs = read_table(spark, sf, "orders").groupBy(F.col("o_custkey").alias("doc_id")).agg(F.array_join(lines, "\n").alias("text"))
     n = stage(N.parse_nodes(docs, kinds=("list", "item"), columns=("node_id", "subtree_end", "kind")))
-    items = n.where("kind = 'item'")
-    up = N.ancestors(n, items).where("kind = 'list'").groupBy("doc_id", F.col("of_id").alias("node_id")).agg(F.count("*").alias("depth"))
-    down = N.descendants(items, items).groupBy("doc_id", F.col("root_id").alias("node_id")).agg(F.count("*").alias("below"))
-    return up.join(down, ["doc_id", "node_id"]).select("doc_id", F.expr("cast(row_number() over (partition by doc_id order by node_id) as int)").alias("item"), "depth", "below")
+    lists, items = n.where("kind = 'list'").drop("kind"), n.where("kind = 'item'").drop("kind")
+    up = N.ancestors(lists, items).select("doc_id", F.col("of_id").alias("item_id"), F.lit(1).alias("up"), F.lit(0).alias("down"))
+    down = N.descendants(items, items).select("doc_id", F.col("root_id").alias("item_id"), F.lit(0).alias("up"), F.lit(1).alias("down"))
+    met = up.union(down).groupBy("doc_id", "item_id").agg(F.sum("up").alias("depth"), F.sum("down").alias("below"))
+    return met.select("doc_id", F.expr("cast(row_number() over (partition by doc_id order by item_id) as int)").alias("item"), "depth", "below")
 
 
 # --- characters, breaks and writers of one's own ----------------------------------------------------------------
