@@ -150,7 +150,7 @@ def descendants(nodes: DataFrame, roots: DataFrame) -> DataFrame:
     """
 
     def run(batches):
-        doc, open_ = None, []
+        doc, last, open_ = None, [], []
 
         def flush(b, root, row):
             got = b.take(pa.array(row, pa.int64()))
@@ -160,13 +160,15 @@ def descendants(nodes: DataFrame, roots: DataFrame) -> DataFrame:
             root, row = [], []
             for i, (d, n, end) in enumerate(zip(*_columns(b), strict=True)):
                 if d != doc:
-                    doc, open_ = d, []
-                while open_ and open_[-1][1] < n:
+                    doc, last, open_ = d, [], []
+                while last and last[-1] < n:
+                    last.pop()
                     open_.pop()
                 if end is not None:
-                    open_.append((n, end))
+                    last.append(end)
+                    open_.append(n)
                 else:
-                    root += [r for r, _ in open_]
+                    root += open_
                     row += [i] * len(open_)
                     if len(row) >= CHUNK_PAIRS:
                         yield flush(b, root, row)
@@ -180,36 +182,35 @@ def ancestors(nodes: DataFrame, of: DataFrame) -> DataFrame:
     """(of_id, distance, node columns) of the proper ancestors of each node; distance 1 is the parent.  The same merge as in :func:`descendants`."""
 
     def run(batches):
-        doc, open_, kept = None, [], None  # nodes around this place: (last id of the subtree, row here or in kept, whether here); kept: those of batches before
+        doc, last, open_, kept = None, [], [], None  # nodes around this place: last ids of their subtrees, and their rows; kept: those of batches before
 
-        def flush(b, of_id, far, rows):
-            got = b.take(pa.array(rows, pa.int64()))
+        def flush(b, of_id, far, row):
+            got = b.take(pa.array(row, pa.int64()))
             return pa.RecordBatch.from_arrays([pa.array(of_id, pa.int32()), pa.array(far, pa.int32()), *(got.column(i) for i in range(got.num_columns) if i != 2)], names=["of_id", "distance", *(n for i, n in enumerate(b.schema.names) if i != 2)])
 
         for b in batches:
             ends = b.column(b.schema.get_field_index("subtree_end")).to_pylist()
-            found: tuple[tuple[list, list, list], ...] = ([], [], []), ([], [], [])  # of kept rows, of rows here
-            for i, (d, n, mark) in enumerate(zip(*_columns(b), strict=True)):
+            before = kept.num_rows if kept is not None else 0
+            both = pa.concat_batches([kept, b]) if before else b
+            of_id, far, row = [], [], []
+            for i, (d, n, mark) in enumerate(zip(*_columns(b), strict=True), before):
                 if d != doc:
-                    doc, open_ = d, []
-                while open_ and open_[-1][0] < n:
+                    doc, last, open_ = d, [], []
+                while last and last[-1] < n:
+                    last.pop()
                     open_.pop()
                 if mark is None:
-                    open_.append((ends[i], i, True))
+                    last.append(ends[i - before])
+                    open_.append(i)
                 else:
-                    for distance, (_, row, here) in enumerate(reversed(open_), 1):
-                        of_id, far, rows = found[here]
-                        of_id.append(n)
-                        far.append(distance)
-                        rows.append(row)
-                    if len(found[0][0]) + len(found[1][0]) >= CHUNK_PAIRS:
-                        yield from (flush(x, *f) for x, f in zip((kept, b), found, strict=True) if f[0])
-                        found = ([], [], []), ([], [], [])
-            yield from (flush(x, *f) for x, f in zip((kept, b), found, strict=True) if f[0])
-            held = [x.take(pa.array([row for _, row, here in open_ if here is at], pa.int64())) for x, at in ((kept, False), (b, True)) if x is not None]
-            kept = pa.Table.from_batches(held).combine_chunks().to_batches()  # older rows come first, as on the stack
-            kept = kept[0] if kept else None
-            open_ = [(end, row, False) for row, (end, _, _) in enumerate(open_)]
+                    of_id += [n] * len(open_)
+                    far += range(len(open_), 0, -1)
+                    row += open_
+                    if len(row) >= CHUNK_PAIRS:
+                        yield flush(both, of_id, far, row)
+                        of_id, far, row = [], [], []
+            yield flush(both, of_id, far, row)
+            kept, open_ = both.take(pa.array(open_, pa.int64())), [*range(len(open_))]  # of batches before, only the rows that are still open are kept
 
     return _merged(nodes, of, run, [("of_id", "int"), ("distance", "int")])
 
